@@ -1,8 +1,61 @@
-"""Corpus pipeline (filled in as its stages are written)."""
+"""The corpus pipeline: five stages, each written as Parquet and read again as the next one's documents."""
 
-STAGES = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import bpe, decontamination, language_id, line_dedup, minhash, queries
+from marlstone.llm.common import written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language is recognised go; the others stay as they are. Learned from all that name one."""
+    model = language_id.train(docs.select("doc_id", "text", "lang"))
+    told = language_id.identify_language(docs.select(*COLUMNS), model)
+    return told.where("lang_pred <> 'und'").select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 characters in at least 5 documents stay in one of them only; n_chars follows the text."""
+    return line_dedup.line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group of five-word shingle sets that are linked at a similarity of 0.8 or more."""
+    return minhash.drop_near_duplicates(docs.select(*COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.decontaminate(docs.select(*COLUMNS), queries.benchmark(spark, sf_dir))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, token_ids and n_tokens of each document, and whether the ids decode to its text."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    return coded.select("doc_id", "lang", "source", "token_ids", "n_tokens", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("minhash", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("bpe", encode),
+]
+
+#: Language identification and HyperMinHash are not expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents."""
+    docs = queries.documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

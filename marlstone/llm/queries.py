@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, token_counts, url_filter
+from . import ann, bpe, decontamination, language_id, line_dedup, minhash, quality, token_counts, toxicity, url_filter
 from .common import bucket_of
 
 
@@ -23,6 +23,17 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark", "item_id long, text string")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels", "doc_id long, quality int, toxic int")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, labels(spark, sf_dir), learn=bucket_of(F.col("doc_id"), 4) != 2)
+    held = F.coalesce(bucket_of(F.col("doc_id"), 4) == 2, F.lit(True)).alias("held_out")
+    return toxicity.score_toxicity(docs, model).select("doc_id", held, "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir).select("text"))
 
@@ -49,13 +60,32 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings", "vec_id long, embedding array<float>"), every=100, k=10)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, labels(spark, sf_dir), learn=bucket_of(F.col("doc_id"), 5) != 0)
+    held = F.coalesce(bucket_of(F.col("doc_id"), 5) == 0, F.lit(True)).alias("held_out")
+    return quality.score_quality(docs, model).select("doc_id", held, "score", "predicted")
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.classify_urls(_table(spark, sf_dir, "pages", "page_id long, url string"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_language_id, op4_decontamination, op5_line_dedup, op6_bpe, op10_url_filter)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_token_counts, op3_language_id, op4_decontamination, op5_line_dedup,
+        op6_bpe, op7_nearest, op8_quality, op9_minhash, op10_url_filter,
+    )
+}
 
 #: Leaks by brute force: all pairs of equal words on one diagonal, counted in every window of 13 item words.
 _OP4_SQL = r"""
@@ -79,4 +109,18 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_decontamination": _OP4_SQL, "op5_line_dedup": _OP5_SQL}
+#: Components by brute force: every pair of documents that share a shingle, and the least document reachable.
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * m >= 85 * (na.n + nb.n - m)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_minhash": _OP9_SQL, "op4_decontamination": _OP4_SQL, "op5_line_dedup": _OP5_SQL}
