@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from .common import map_slices, mix64, mixer
 from .sampling import sample_keys
 
-BUCKETS, DIM = 1 << 17, 6
+BUCKETS, DIM = 1 << 20, 6
 GRAMS = (3, 4, 5, 6)
-#: Words in a window.
-WINDOW = 12
+#: Words in a window, an even number.
+WINDOW = 2
 #: Labelled documents to learn from, at most, and the characters that one of them may have.
-SAMPLE, SAMPLE_CHARS = 2400, 12_000
+SAMPLE, SAMPLE_CHARS = 3200, 12_000
 #: Standard errors by which a subword's shares of toxic and clean documents must differ for it to have an embedding.
 SURE = 3.0
 #: Distinct words that a task remembers; beyond that it forgets all and starts again.
@@ -80,17 +80,6 @@ def _learn(docs: list[list[str]], y: np.ndarray, epochs: int, rate: float, seed:
     ids = [np.array([vocab.setdefault(w, len(vocab)) for w in d], np.int64) for d in docs]
     grams, starts = subwords(list(vocab))
     per = np.diff(starts)
-    cells, win, doc_of = [], [], []
-    for k, d in enumerate(ids):
-        for s in _windows(len(d)):
-            part = d[s : s + WINDOW]
-            cells.append(part)
-            win.append(np.full(len(part), len(doc_of)))
-            doc_of.append(k)
-    cell, win, doc_of = np.concatenate(cells), np.concatenate(win), np.array(doc_of)
-    n_win = len(doc_of)
-    share = 1.0 / np.maximum(1, np.bincount(win, minlength=n_win))
-    rng = np.random.default_rng(seed)
     # a subword that toxic and clean documents show alike, as far as chance goes, stands for nothing
     seen = np.zeros((2, BUCKETS))
     for d, c in zip(ids, y, strict=True):
@@ -105,12 +94,41 @@ def _learn(docs: list[list[str]], y: np.ndarray, epochs: int, rate: float, seed:
     keep = (np.abs(z) >= SURE)[grams]
     grams, word_of_gram = grams[keep], word_of_gram[keep]
     used, grams = np.unique(grams, return_inverse=True)
+    alive = np.zeros(len(per), bool)
+    alive[word_of_gram] = True
+    # windows without a subword that counts all have the zero vector: one stands for a document's, with their number
+    cells, win, doc_of, times, divisor = [], [], [], [], []
+    for k, d in enumerate(ids):
+        on = alive[d]
+        at = _windows(len(d))
+        some = np.add.reduceat(np.append(on, False), at) > 0 if len(d) else np.zeros(1, bool)
+        for s in at[some].tolist():
+            part = d[s : s + WINDOW]
+            divisor.append(max(1, len(part)))
+            part = part[alive[part]]
+            cells.append(part)
+            win.append(np.full(len(part), len(doc_of)))
+            doc_of.append(k)
+            times.append(1)
+        if not some.all():
+            doc_of.append(k)
+            times.append(int((~some).sum()))
+            divisor.append(1)
+    empty = [np.zeros(0, np.int64)]
+    cell, win, doc_of, times = np.concatenate(cells or empty), np.concatenate(win or empty), np.array(doc_of), np.array(times)
+    n_win, share = len(doc_of), 1.0 / np.array(divisor)
+    words_used, cell = np.unique(cell, return_inverse=True)
+    place = np.full(len(per), -1)
+    place[words_used] = np.arange(len(words_used))
+    inside = place[word_of_gram] >= 0
+    grams, word_of_gram, per = grams[inside], place[word_of_gram[inside]], per[words_used]
+    rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.3, (len(used), DIM)).astype(np.float32)
     w = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
     b = np.zeros(2, np.float32)
     moments = [np.zeros_like(p) for p in (e, w, b)], [np.zeros_like(p) for p in (e, w, b)]
     label, first = y[doc_of], np.flatnonzero(np.concatenate([[True], doc_of[1:] != doc_of[:-1]]))
-    on = np.ones(n_win, np.float32)
+    on = times.astype(np.float64)
     for epoch in range(epochs):
         words = np.stack([np.bincount(word_of_gram, e[grams, k], len(per)) for k in range(DIM)], 1) / per[:, None]
         mean = np.stack([np.bincount(win, words[cell, k], n_win) for k in range(DIM)], 1) * share[:, None]
@@ -118,7 +136,7 @@ def _learn(docs: list[list[str]], y: np.ndarray, epochs: int, rate: float, seed:
         p = 1 / (1 + np.exp(-np.clip(logit[:, 1] - logit[:, 0], -30, 30)))
         if epoch >= epochs // 3:  # of a toxic document, only its most toxic windows are held to be so
             top = np.maximum.reduceat(p, first)[doc_of]
-            on = np.where((label == 1) & (p < 0.7 * top), 0, 1).astype(np.float32)
+            on = np.where((label == 1) & (p < 0.7 * top), 0, times)
         weight = on * np.where(label == 1, 0.5 / max(1, (on * (label == 1)).sum()), 0.5 / max(1, (on * (label == 0)).sum()))
         g = ((p - label) * weight)[:, None] * np.array([-1.0, 1.0])
         gw, gb, gm = mean.T @ g, g.sum(0), (g @ w.T) * share[:, None]
@@ -149,10 +167,13 @@ def worst_window(logits: np.ndarray) -> float:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve through (x, y), a little drawn towards even odds; the scale is at least 0."""
+    """Scale and shift of a logistic curve through (x, y), a little drawn towards even odds; the scale is at least 0.
+
+    Clean documents weigh six times as much as toxic ones: there are more of them.
+    """
     a, b = 1.0, 0.0
     mid, spread = x.mean(), max(1e-6, x.std())
-    z, weight = (x - mid) / spread, np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    z, weight = (x - mid) / spread, np.where(y == 1, 1 / 7 / max(1, y.sum()), 6 / 7 / max(1, (1 - y).sum()))
     for _ in range(500):
         g = (1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - y) * weight
         a, b = a - 1.0 * ((g * z).sum() + 2e-3 * a), b - 1.0 * (g.sum() + 2e-3 * b)
@@ -160,7 +181,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / spread, b - a * mid / spread
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 30, rate: float = 0.05, seed: int = 7) -> Model | None:
+def fit(texts: list[str], labels: list[int], epochs: int = 100, rate: float = 0.05, seed: int = 7) -> Model | None:
     """Four fifths of the documents train the embeddings, the others set the scale of the score."""
     y = np.array(labels, float)
     if not len(y):
