@@ -1,3 +1,65 @@
-"""SQL of the registered queries."""
+"""SQL of the registered queries, written independently of the operators."""
 
-ORACLE_SQL = {}
+_GAPS = "SELECT event_id, event_type, CASE WHEN event_id % 7 <> 0 THEN value END AS value FROM events"
+_MEAN = "CAST(sum(CAST({0} AS DECIMAL(18,2))) AS DOUBLE) / count({0})"
+_BARS = """SELECT CAST(ts AS DATE) AS day, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+arg_max(value, (ts, event_id)) AS close, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM events GROUP BY 1"""
+_SIGNAL = f"""b AS ({_BARS}), t AS (SELECT *, open + 0.5 * (lag(high) OVER (ORDER BY day) - lag(low) OVER (ORDER BY day)) AS target FROM b),
+f AS (SELECT *, CASE WHEN high >= target THEN close / target ELSE 1.0 END AS factor FROM t)"""
+_TAGS = "SELECT p_partkey, p_name, unnest(string_split(p_name, ' ')) AS tag FROM part"
+_STRIP = "regexp_replace({0}, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', '', 'g')"
+_WORDS = f"len(regexp_extract_all({_STRIP.format('text')}, '[^ \\t\\n\\r\\f\\x0B]+'))"
+
+ORACLE_SQL = {
+    "regex_brand_count": """SELECT p_type, CASE WHEN contains(p_name, 'widget') THEN 'widget' ELSE 'cold' END AS brand, count(*) AS n
+FROM part WHERE contains(p_name, 'widget') OR contains(p_name, 'cold') GROUP BY 1, 2""",
+    "project_rename_swap": "SELECT c_custkey, c_name AS c_mktsegment, c_mktsegment AS segment FROM customer",
+    "positional_projection": "SELECT o_orderkey AS order_id, o_orderstatus AS status, o_totalprice AS price FROM orders",
+    "compare_filters": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 AND l_discount >= CAST(0.05 AS DOUBLE) AND l_tax < CAST(0.03 AS DOUBLE)",
+    "ratio_bands": "SELECT CASE WHEN l_tax = 0 OR l_tax IS NULL OR l_discount IS NULL THEN 'none' WHEN l_discount / l_tax * 100 >= 100 THEN 'high' ELSE 'low' END AS band, count(*) AS n FROM lineitem GROUP BY 1",
+    "null_coalesce": f"SELECT event_id, coalesce(value, CAST(event_id % 100 AS DOUBLE)) AS value FROM ({_GAPS})",
+    "inner_join_two_keys": "SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_name, CAST(round(o_totalprice * 100) AS BIGINT) AS price_cents FROM orders JOIN (SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey",
+    "index_aligned_copy": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS o_totalprice FROM orders",
+    "union_outer_schema": "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS INTEGER) AS nation FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, s_nationkey FROM supplier",
+    "distinct_rows": "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer",
+    "append_row": "SELECT r_regionkey, r_name FROM region UNION ALL SELECT CAST(99 AS INTEGER), 'ATLANTIS'",
+    "topk_nulls_last": "SELECT p_partkey, p_name FROM part ORDER BY CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END NULLS LAST, p_partkey LIMIT 10",
+    "dictionary_recode": "SELECT CASE o_orderstatus WHEN 'F' THEN 'O' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n FROM orders GROUP BY 1",
+    "patch_rows": "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 'THIRD' WHEN 4 THEN 'FOURTH' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_nationkey <> 0",
+    "count_by_ordered": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, CASE o_orderpriority WHEN '5-LOW' THEN 1 WHEN '1-URGENT' THEN 2 ELSE 3 END AS position FROM orders WHERE o_orderpriority IN ('5-LOW', '1-URGENT', '3-MEDIUM') GROUP BY 1, 2",
+    "global_mean_max": f"SELECT {_MEAN.format('c_acctbal')} AS mean_balance, max(c_acctbal) AS max_balance, count(*) AS n FROM customer",
+    "mean_by_x": f"SELECT CAST(year(o_orderdate) AS INTEGER) AS year, {_MEAN.format('o_totalprice')} AS mean, count(o_totalprice) AS n FROM orders GROUP BY 1",
+    "every_fifth_year": "SELECT CAST(y AS INTEGER) AS year FROM (SELECT y, row_number() OVER (ORDER BY y) AS rn FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders)) WHERE (rn - 1) % 5 = 0",
+    "quartiles_by_group": "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3 FROM events GROUP BY 1",
+    "crosstab": "SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS \"{t}\"" for t in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1",
+    "null_profile": f"SELECT 'event_id' AS variable, count(*) - count(event_id) AS nulls FROM ({_GAPS}) UNION ALL SELECT 'value', count(*) - count(value) FROM ({_GAPS})",
+    "column_profile": " UNION ALL ".join(f"SELECT '{c}' AS variable, '{t}' AS type, count({c}) AS non_null, count(*) AS total FROM ({_GAPS})" for c, t in (("event_id", "bigint"), ("event_type", "string"), ("value", "double"))),
+    "distinct_values": "SELECT event_type, min(event_id) AS first_row FROM events GROUP BY 1",
+    "melt": "SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part",
+    "melt_skip_first": "SELECT * FROM (SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part) ORDER BY variable, p_partkey OFFSET 1",
+    "fill_mean": f"WITH g AS ({_GAPS}), m AS (SELECT round_even(avg(value), 0) AS m FROM g) SELECT event_id, coalesce(value, m) AS value FROM g, m",
+    "align_ffill_normalise": f"""WITH s AS (SELECT CAST(ts AS DATE) AS day, {_MEAN.format('value')} AS ratio FROM events WHERE event_type = 'view' GROUP BY 1 HAVING dayofmonth(CAST(ts AS DATE)) % 3 <> 0),
+p AS (SELECT CAST(ts AS DATE) AS trade_day, max(value) AS close, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING dayofmonth(CAST(ts AS DATE)) % 4 <> 0 AND CAST(ts AS DATE) BETWEEN DATE '2023-12-01' AND DATE '2024-01-30'),
+j AS (SELECT coalesce(day, trade_day) AS key, day, ratio, close, volume FROM s FULL JOIN p ON day = trade_day),
+f AS (SELECT key, last_value(day IGNORE NULLS) OVER w AS day, last_value(ratio IGNORE NULLS) OVER w AS ratio, last_value(close IGNORE NULLS) OVER w AS close, last_value(volume IGNORE NULLS) OVER w AS volume FROM j WINDOW w AS (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT key, day, round(ratio, 6) AS ratio, close, round(volume / max(volume) OVER () * 100, 6) AS volume FROM f""",
+    "json_field": "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1",
+    "json_series": "SELECT CAST(ts AS DATE) AS period, max(value) AS ratio FROM events GROUP BY 1",
+    "density": """WITH s AS (SELECT count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h FROM events), g AS (SELECT CAST(unnest(range(0, 501, 25)) AS DOUBLE) AS x)
+SELECT x, round(sum(exp(-pow((x - value) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM events, s, g GROUP BY x""",
+    "breakout_backtest": f"WITH {_SIGNAL} SELECT day, open, high, low, close, round(target, 6) AS target, round(factor, 6) AS factor FROM f",
+    "drawdown": f"WITH {_SIGNAL}, e AS (SELECT day, exp(sum(ln(factor)) OVER (ORDER BY day)) AS equity FROM f) SELECT day, round(equity / max(equity) OVER (ORDER BY day) - 1, 6) AS drawdown FROM e",
+    "compound_return": f"WITH {_SIGNAL} SELECT round(product(factor) - 1, 6) AS total_return, count(*) AS days FROM f",
+    "lead_lag_corr": f"WITH b AS ({_BARS}), l AS (SELECT close, volume, lag(volume, 1) OVER w AS l1, lag(volume, 2) OVER w AS l2, lag(volume, 3) OVER w AS l3 FROM b WINDOW w AS (ORDER BY day)) "
+    + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS lag, round(corr(close, {c}), 6) AS correlation FROM l" for k, c in enumerate(("volume", "l1", "l2", "l3"))),
+    "region_shorten": "SELECT n_nationkey, CASE WHEN length(left(n_name, 4)) = 4 THEN n_name[1] || n_name[3] ELSE left(n_name, 2) END AS short, 'X' AS second, CAST(NULL AS VARCHAR) AS third FROM nation",
+    "marker_projection": "SELECT CAST(embedding[1] AS DOUBLE) AS lat, CAST(embedding[2] AS DOUBLE) AS lon, CAST(vec_id AS VARCHAR) || ' - ' || CASE WHEN label > 2 THEN CAST(label AS VARCHAR) ELSE '' END AS tooltip, CASE WHEN label = 3 THEN 'brown' ELSE 'green' END AS color, CAST(CASE WHEN label = 3 THEN 3 ELSE 2 END AS INTEGER) AS radius FROM embeddings",
+    "unit_conversion": "SELECT l_orderkey, l_linenumber, round(l_quantity * 64 / 365, 6) AS per_day FROM lineitem",
+    "tag_counts": f"SELECT tag, count(*) AS posts FROM ({_TAGS}) GROUP BY 1",
+    "tag_posts": f"SELECT tag, p_partkey, p_name FROM ({_TAGS})",
+    "reading_time": f"SELECT doc_id, CAST({_WORDS} AS INTEGER) AS words, CAST(greatest(1, round({_WORDS} / 200.0)) AS INTEGER) AS minutes FROM documents",
+    "post_listing": "SELECT doc_id, coalesce(nullif(source, ''), 'site') AS title, CASE WHEN doc_id % 2 = 0 THEN DATE '2021-08-26' ELSE DATE '2021-09-01' + CAST(doc_id % 30 AS INTEGER) END AS date FROM documents WHERE doc_id % 3 <> 0",
+    "url_normalise": "SELECT page_id, rtrim(replace(url, 'index.html', ''), '/') AS canonical, CASE WHEN starts_with(url, 'https') THEN CASE WHEN contains(url[6:], '://') THEN url[6:] ELSE 'http://site' || url[6:] END ELSE 'http://site' END AS absolute FROM pages",
+    "html_elements": f"""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS INTEGER) AS links,
+CAST(length(trim(regexp_replace({_STRIP.format('html')}, '\\s+', ' ', 'g'))) AS INTEGER) AS text_length FROM pages""",
+}

@@ -1,3 +1,258 @@
-"""Registered queries."""
+"""Registered queries: each applies operators to whole tables."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import content, relational, series, shape
+from ..sources import documents as sources
+
+GRID = [float(x) for x in range(0, 501, 25)]
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
+    """events with value null in every seventh row."""
+    return table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+
+
+def _bars(spark: SparkSession, d: str) -> DataFrame:
+    return series.daily_bars(table(spark, d, "events"), "ts", "event_id", "value")
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("tags"))
+
+
+def regex_brand_count(spark, d):
+    part = table(spark, d, "part").select("p_name", "p_type")
+    name = F.col("p_name")
+    hits = part.where(name.isNotNull() & relational.matches_any(name, ["cold", "widget"]))
+    return shape.count_by(hits.withColumn("brand", relational.label_by_rules(name, [("cold", "cold"), ("widget", "widget")])), "p_type", "brand")
+
+
+def project_rename_swap(spark, d):
+    df = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return relational.rename(df, {"c_name": "c_mktsegment", "c_mktsegment": "segment"})
+
+
+def positional_projection(spark, d):
+    df = relational.first_columns(table(spark, d, "orders"), 4, drop=["o_custkey"])
+    return relational.rename_by_position(df, ["order_id", "status", "price"])
+
+
+def compare_filters(spark, d):
+    df = table(spark, d, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45) & (F.col("l_discount") >= 0.05) & (F.col("l_tax") < 0.03))
+    return df.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+
+
+def ratio_bands(spark, d):
+    df = table(spark, d, "lineitem").select(relational.ratio(F.col("l_discount"), F.col("l_tax")).alias("ratio"))
+    return shape.count_by(df.select(F.coalesce(relational.band(F.col("ratio"), 100.0), F.lit("none")).alias("band")), "band")
+
+
+def null_coalesce(spark, d):
+    return _gaps(spark, d).select("event_id", F.coalesce("value", (F.col("event_id") % 100).cast("double")).alias("value"))
+
+
+def inner_join_two_keys(spark, d):
+    customers = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name").distinct()
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    joined = relational.join_keys(orders, customers, "o_custkey", "c_custkey")
+    return joined.withColumn("price_cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+
+
+def index_aligned_copy(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    totals = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    return relational.align_column(orders, totals, "o_orderkey", "o_totalprice")
+
+
+def union_outer_schema(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    return relational.union_outer(c, s)
+
+
+def distinct_rows(spark, d):
+    return table(spark, d, "customer").select("c_nationkey", "c_mktsegment").dropDuplicates()
+
+
+def append_row(spark, d):
+    return relational.append_row(table(spark, d, "region"), r_regionkey=99, r_name="ATLANTIS")
+
+
+def topk_nulls_last(spark, d):
+    df = table(spark, d, "part").select("p_partkey", "p_name", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")).alias("price"))
+    return relational.top_k(df, "price", "p_partkey", 10).select("p_partkey", "p_name")
+
+
+def dictionary_recode(spark, d):
+    df = relational.recode(table(spark, d, "orders").select("o_orderstatus"), "o_orderstatus", {"F": "O", "O": "open"})
+    return shape.count_by(df, "o_orderstatus")
+
+
+def patch_rows(spark, d):
+    return relational.patch(relational.drop_keys(table(spark, d, "nation"), "n_nationkey", [0]), "n_nationkey", "n_name", {3: "THIRD", 4: "FOURTH"})
+
+
+def count_by_ordered(spark, d):
+    return shape.count_by_ordered(table(spark, d, "orders"), "o_orderpriority", "o_orderstatus", ["5-LOW", "1-URGENT", "3-MEDIUM"])
+
+
+def global_mean_max(spark, d):
+    df = table(spark, d, "customer")
+    return df.agg((shape.exact_sum("c_acctbal") / F.count("c_acctbal")).alias("mean_balance"), F.max("c_acctbal").alias("max_balance"), F.count(F.lit(1)).alias("n"))
+
+
+def mean_by_x(spark, d):
+    df = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_totalprice")
+    return shape.mean_by(df, "year", "o_totalprice")
+
+
+def every_fifth_year(spark, d):
+    return relational.every_nth(table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct(), "year", 5)
+
+
+def quartiles_by_group(spark, d):
+    q = shape.quartiles(table(spark, d, "events"), "event_type", value="value")
+    return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")])
+
+
+def crosstab(spark, d):
+    return shape.crosstab(table(spark, d, "events").select(F.to_date("ts").alias("day"), "event_type"), "day", "event_type", EVENT_TYPES)
+
+
+def null_profile(spark, d):
+    return shape.null_counts(_gaps(spark, d).select("event_id", "value"))
+
+
+def column_profile(spark, d):
+    return shape.profile(_gaps(spark, d).select("event_id", "event_type", "value"))
+
+
+def distinct_values(spark, d):
+    return shape.distinct_in_order(table(spark, d, "events"), "event_type", "event_id")
+
+
+def melt(spark, d):
+    df = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
+    return shape.melt(df, ["p_partkey"])
+
+
+def melt_skip_first(spark, d):
+    """Long rows in column-major order without the first."""
+    return melt(spark, d).orderBy("variable", "p_partkey").offset(1)
+
+
+def fill_mean(spark, d):
+    return shape.fill_rounded_mean(_gaps(spark, d).select("event_id", "value"), "value")
+
+
+def align_ffill_normalise(spark, d):
+    events = table(spark, d, "events")
+    days = lambda kind: events.where(F.col("event_type") == kind).groupBy(F.to_date("ts").alias("day"))
+    search = days("view").agg((shape.exact_sum("value") / F.count("value")).alias("ratio")).where(F.dayofmonth("day") % 3 != 0)
+    prices = days("purchase").agg(F.max("value").alias("close"), shape.exact_sum("value").alias("volume")).withColumnRenamed("day", "trade_day").where(F.dayofmonth("trade_day") % 4 != 0)
+    prices = series.between_dates(prices, "trade_day", "2024-01-30", 60)
+    out = series.normalise_to_max(series.align(search, prices), "volume")
+    return out.select("key", "day", F.round("ratio", 6).alias("ratio"), "close", F.round("volume", 6).alias("volume"))
+
+
+def json_field(spark, d):
+    k = F.from_json("props", "k int")["k"]
+    return shape.count_by(table(spark, d, "events").select(k.alias("k")), "k")
+
+
+def json_series(spark, d):
+    """A nested document is made of daily means, then parsed and flattened again."""
+    events = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.max("value").alias("ratio"))
+    doc = events.select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.date_format("day", "yyyy-MM-dd").alias("period"), "ratio")).alias("data"))).alias("results"))).alias("json"))
+    return sources.json_series(doc, "json")
+
+
+def density(spark, d):
+    return shape.density(table(spark, d, "events"), "value", GRID).select("x", F.round("density", 9).alias("density"))
+
+
+def breakout_backtest(spark, d):
+    return series.breakout(_bars(spark, d)).select("day", "open", "high", "low", "close", F.round("target", 6).alias("target"), F.round("factor", 6).alias("factor"))
+
+
+def _curve(spark, d):
+    return series.compounded(series.breakout(_bars(spark, d)))
+
+
+def drawdown(spark, d):
+    return series.drawdown(_curve(spark, d)).select("day", F.round("drawdown", 6).alias("drawdown"))
+
+
+def compound_return(spark, d):
+    df = series.breakout(_bars(spark, d)).withColumn("rate", F.col("factor") - 1)
+    return df.agg(F.round(series.total_return(df, "rate"), 6).alias("total_return"), F.count(F.lit(1)).alias("days"))
+
+
+def lead_lag_corr(spark, d):
+    return series.lagged_correlation(_bars(spark, d), "volume", "close", [0, 1, 2, 3]).select("lag", F.round("correlation", 6).alias("correlation"))
+
+
+def region_shorten(spark, d):
+    df = table(spark, d, "nation").select("n_nationkey", F.concat(F.col("n_name"), F.lit(" X")).alias("full"), F.col("n_name"))
+    return df.select("n_nationkey", content.shorten_region(F.substring("n_name", 1, 4)).alias("short"), content.token(F.col("full"), 1).alias("second"), content.token(F.col("full"), 2).alias("third"))
+
+
+def marker_projection(spark, d):
+    df = table(spark, d, "embeddings")
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return content.marker(df, at(0), at(1), F.col("vec_id").cast("string"), F.when(F.col("label") > 2, F.col("label").cast("string")), F.col("label") == 3)
+
+
+def unit_conversion(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 64 / 365, 6).alias("per_day"))
+
+
+def tag_counts(spark, d):
+    return content.tag_counts(_tagged(spark, d))
+
+
+def tag_posts(spark, d):
+    return content.tag_posts(_tagged(spark, d), "p_partkey", "p_name")
+
+
+def reading_time(spark, d):
+    return table(spark, d, "documents").select("doc_id", content.word_count(content.strip_html(F.col("text"))).alias("words"), content.reading_minutes(F.col("text")).alias("minutes"))
+
+
+def post_listing(spark, d):
+    docs = table(spark, d, "documents").withColumn("project", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 2 == 0))
+    name = F.concat(F.lit("2021-09-"), F.lpad((F.col("doc_id") % 30 + 1).cast("string"), 2, "0"), F.lit("-post.md"))
+    return content.listing(docs).select("doc_id", content.first_text(F.col("source"), F.lit("site")).alias("title"), content.effective_date(F.when(F.col("doc_id") % 2 == 0, F.to_date(F.lit("2021-08-26"))), name).alias("date"))
+
+
+def url_normalise(spark, d):
+    return table(spark, d, "pages").select("page_id", content.canonical_url(F.col("url")).alias("canonical"), content.absolute_url(F.regexp_extract("url", "^https(.*)$", 1), "http://site").alias("absolute"))
+
+
+def html_elements(spark, d):
+    html = F.col("html")
+    return table(spark, d, "pages").select("page_id", content.title(html).alias("title"), F.size(content.links(html)).alias("links"), F.length(content.compress_html(content.strip_html(html))).alias("text_length"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        regex_brand_count, project_rename_swap, positional_projection, compare_filters, ratio_bands, null_coalesce, inner_join_two_keys,
+        index_aligned_copy, union_outer_schema, distinct_rows, append_row, topk_nulls_last, dictionary_recode, patch_rows, count_by_ordered,
+        global_mean_max, mean_by_x, every_fifth_year, quartiles_by_group, crosstab, null_profile, column_profile, distinct_values, melt,
+        melt_skip_first, fill_mean, align_ffill_normalise, json_field, json_series, density, breakout_backtest, drawdown, compound_return,
+        lead_lag_corr, region_shorten, marker_projection, unit_conversion, tag_counts, tag_posts, reading_time, post_listing, url_normalise,
+        html_elements,
+    )
+}
