@@ -2,8 +2,8 @@
 bucket's least hash; bands of registers propose pairs, a collision-corrected estimate thins them out, full shingle sets decide.
 
 Equal sets are one node from the start. A band's bucket proposes its members against its least member only; what those
-links leave apart is then compared across, so that a large group of near copies never becomes all of its pairs, and yet
-no pair that meets in a bucket is left undecided unless its two documents already belong together.
+links leave apart is then compared across, by rare shingles, so that a large group of near copies never becomes all of its
+pairs, and yet no pair that meets in a bucket is left undecided unless its two documents already belong together.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_slices, mix64, mixer, written
@@ -212,6 +212,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return map_slices(pairs, make, "a long, b long", rows=128)
 
 
+def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of `nodes` (node, c) of different components c that may reach the threshold, by prefix filtering.
+
+    Two sets that reach it share one of their n - ceil(n * percent / 100) + 1 rarest shingles, rarity counted among these
+    sets. Near copies that have grown apart show it in shingles of their own and so meet nobody; a shingle that a whole
+    component shares makes no pairs within it.
+    """
+
+    def make():
+        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = shingle_sets(batch.column("text").to_pylist(), width)
+            size = np.array([len(x) for x in sets])
+            own = np.array([np.bitwise_xor.reduce(x) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
+            spread = lambda v: pa.array(np.repeat(v, size), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), *(spread(v) for v in (batch.column("node").to_numpy(), own, size, batch.column("c").to_numpy()))], ["h", "node", "own", "n", "c"])
+
+        return fn
+
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
+    rows = written(map_slices(texts, make, "h long, node long, own long, n long, c long", rows=128))
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rarest = Window.partitionBy("node", "own").orderBy("df", "h")
+    ranked = rows.join(common, "h", "left").withColumn("df", F.coalesce("df", F.lit(1).cast("long"))).withColumn("r", F.row_number().over(rarest))
+    prefix = written(ranked.where(f"r <= n - (n * {int(percent)} + 99) div 100 + 1 and df > 1").select("h", "node", "n", "c", "r"))
+    heads = prefix.groupBy("h").agg(F.min_by("c", "node").alias("l"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h", "l")
+    met = prefix.join(heads, "h")
+    x, y = met.where("c <> l").alias("x"), met.alias("y")
+    # what two sets share begins with their first common shingle in this order; there, enough of both must be left
+    left = f"(least(x.n - x.r, y.n - y.r) + 1) * {100 + int(percent)} >= (x.n + y.n) * {int(percent)}"
+    pairs = x.join(y, "h").where(f"x.c <> y.c and (y.c = y.l or x.node < y.node) and {left}")
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`.
 
@@ -234,15 +267,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     to_leader = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = written(_verified(written(_estimated(to_leader, nodes, percent)), docs, width, percent))
 
-    # members that their bucket's leader does not reach, against all others of the bucket that they are not connected with
+    # buckets in which the leader does not reach all members: what they hold is compared across components
     reached = connected(links)
     of = lambda node, name: reached.select(F.col("node").alias(node), F.col("component").alias(name))
     placed = members.where("size > 2").join(of("node", "c"), "node", "left").join(of("leader", "l"), "leader", "left")
-    placed = written(placed.select("bucket", "node", "n", F.coalesce("c", "node").alias("c"), F.coalesce("l", "leader").alias("l")))
-    x, y = placed.where("c <> l").alias("x"), placed.alias("y")
-    cross = x.join(y, "bucket").where(f"x.c <> y.c and (y.c = y.l or x.node < y.node) and least(x.n, y.n) * 100 >= greatest(x.n, y.n) * {int(percent)}")
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    cross = written(_estimated(cross.join(to_leader, ["a", "b"], "left_anti"), nodes, percent))
+    placed = written(placed.select("bucket", "node", "leader", F.coalesce("c", "node").alias("c"), F.coalesce("l", "leader").alias("l")))
+    contested = placed.join(placed.where("c <> l").select("bucket").distinct(), "bucket")
+    contested = contested.select("node", "c").unionByName(contested.select(F.col("leader").alias("node"), F.col("l").alias("c"))).distinct()
+    cross = _cross(written(contested), docs, width, percent).join(to_leader, ["a", "b"], "left_anti")
+    cross = written(_estimated(cross, nodes, percent))
     edges = links.unionByName(copies)
     if not cross.isEmpty():
         edges = edges.unionByName(written(_verified(cross, docs, width, percent)))
