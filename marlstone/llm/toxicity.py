@@ -23,7 +23,9 @@ WINDOW = 2
 #: Labelled documents to learn from, at most, and the characters that one of them may have.
 SAMPLE, SAMPLE_CHARS = 3200, 12_000
 #: Standard errors by which a subword's shares of toxic and clean documents must differ for it to have an embedding.
-SURE = 3.0
+SURE = 4.0
+#: A word's vector is the sum of its subwords' embeddings over their number and DAMP; those that stand for nothing are left out.
+DAMP = 12
 #: Distinct words that a task remembers; beyond that it forgets all and starts again.
 REMEMBERED = 400_000
 
@@ -112,7 +114,7 @@ def _learn(docs: list[list[str]], y: np.ndarray, epochs: int, rate: float, seed:
             times.append(1)
         if not some.all():
             doc_of.append(k)
-            times.append(int((~some).sum()))
+            times.append(1)
             divisor.append(1)
     empty = [np.zeros(0, np.int64)]
     cell, win, doc_of, times = np.concatenate(cells or empty), np.concatenate(win or empty), np.array(doc_of), np.array(times)
@@ -121,7 +123,8 @@ def _learn(docs: list[list[str]], y: np.ndarray, epochs: int, rate: float, seed:
     place = np.full(len(per), -1)
     place[words_used] = np.arange(len(words_used))
     inside = place[word_of_gram] >= 0
-    grams, word_of_gram, per = grams[inside], place[word_of_gram[inside]], per[words_used]
+    grams, word_of_gram = grams[inside], place[word_of_gram[inside]]
+    per = np.bincount(word_of_gram, minlength=len(words_used)) + DAMP
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.3, (len(used), DIM)).astype(np.float32)
     w = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
@@ -154,8 +157,9 @@ def _learn(docs: list[list[str]], y: np.ndarray, epochs: int, rate: float, seed:
 
 def word_logits(model_logits: np.ndarray, words: list[str]) -> np.ndarray:
     grams, starts = subwords(words)
-    sums = np.concatenate([[0.0], np.cumsum(model_logits[grams], dtype=np.float64)])
-    return (sums[starts[1:]] - sums[starts[:-1]]) / np.diff(starts)
+    found = model_logits[grams]
+    sums, counts = (np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)]) for v in (found, found != 0))
+    return (sums[starts[1:]] - sums[starts[:-1]]) / (counts[starts[1:]] - counts[starts[:-1]] + DAMP)
 
 
 def worst_window(logits: np.ndarray) -> float:
