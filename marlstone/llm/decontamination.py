@@ -31,7 +31,9 @@ def words(text: Column) -> Column:
 
 def _seeds(table: DataFrame, at: Column, size: Column) -> DataFrame:
     """`table` (with words) and one row for each place and mask: the place as `at`, the hash as `seed`."""
-    placed = table.where(size >= WINDOW).withColumn("at", F.explode(F.sequence(F.lit(0), size - _SPAN)))
+    # outer, for a filter on the words would be pushed below what makes them, and make them twice
+    places = F.when(size >= WINDOW, F.sequence(F.lit(0), size - _SPAN))
+    placed = table.withColumn("at", F.explode_outer(places)).where(F.col("at").isNotNull())
     hashes = []
     for k, mask in enumerate(MASKS):
         seen = F.xxhash64(F.lit(k), *[F.get("words", at + o) for o in mask])
