@@ -88,7 +88,7 @@ def _plain_split(url: str) -> tuple[str, str]:
 
 
 @functools.cache
-def fit(labelled=LABELLED, epochs: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(labelled=LABELLED, epochs: int = 1500, rate: float = 2.0, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """(weights, bias) by full-batch gradient descent over the small labelled table; the same on every run."""
     rows = [_features(*_plain_split(u)) for u, _ in labelled]
     y = np.array([v for _, v in labelled], float)
