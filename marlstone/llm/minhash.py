@@ -231,7 +231,8 @@ def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
         return fn
 
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
-    rows = written(map_slices(texts, make, "h long, node long, own long, n long, c long", rows=128))
+    # rows that repeat a document's set count once, or the prefix would hold copies in place of shingles
+    rows = written(map_slices(texts, make, "h long, node long, own long, n long, c long", rows=128).distinct())
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rarest = Window.partitionBy("node", "own").orderBy("df", "h")
     ranked = rows.join(common, "h", "left").withColumn("df", F.coalesce("df", F.lit(1).cast("long"))).withColumn("r", F.row_number().over(rarest))

@@ -98,6 +98,19 @@ def test_a_group_grown_apart_is_compared_across(spark):
     assert got == brute_components(rows, 3, 85)
 
 
+def test_repeated_rows_leave_a_contested_group_linked(spark):
+    rng = random.Random(5)
+    base, rows = prose(rng, 120).split(), []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        text = " ".join(words)
+        rows += [(k, text), (k, text.upper())] * rng.choice([1, 8, 20])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert got == brute_components(list({i: (i, t.lower()) for i, t in rows}.values()), 3, 85)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (5, 60, 4000):
