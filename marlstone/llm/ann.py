@@ -70,22 +70,33 @@ def fit(ids: np.ndarray, sample: np.ndarray, total: int, k: int = 10, seed: int
     return Index(rotation, centers, probes, ids, sample, own)
 
 
-def upper_bounds(index: Index, ids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+def probed_lists(away: np.ndarray, held: np.ndarray, probes: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists by distance of their centres, and which of them each query probes: `probes`, or more until they hold more than k vectors."""
+    order = np.argsort(away, 1, kind="stable")
+    least = (np.cumsum(held[order], 1) <= k).sum(1) + 1  # more than k: the query may be among them
+    return order, np.arange(away.shape[1]) < np.maximum(probes, least)[:, None]
+
+
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of row i of q and row i of x, in double precision."""
+    return np.sqrt(((q.astype(np.float64) - x) ** 2).sum(1))
+
+
+def upper_bounds(index: Index, ids: np.ndarray, q: np.ndarray, open_: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distance within which each query has 2 k sampled neighbours in its probed lists; infinite where it has fewer.
 
-    The query itself is left out. Twice k, so that k are found even if the test should abandon one wrongly.
+    Also the ids and distances of these neighbours, a row a query; of no meaning where the bound is infinite. The query
+    itself is left out. Twice k, so that k are found even if the test should abandon one wrongly.
     """
     k *= 2
     if len(index.sample_ids) <= k:
-        return np.full(len(q), np.inf)
+        return np.full(len(q), np.inf), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
     away = _squares(q, index.sample)
     away[ids[:, None] == index.sample_ids[None, :]] = np.inf
-    open_ = np.zeros((len(q), len(index.centers)), bool)
-    np.put_along_axis(open_, probed, True, 1)
     away[~open_[:, index.sample_list]] = np.inf
     near = np.argpartition(away, k - 1, 1)[:, :k]
-    exact = np.sqrt(((q[:, None, :].astype(np.float64) - index.sample[near]) ** 2).sum(2))
-    return np.where(np.isinf(np.take_along_axis(away, near, 1)).any(1), np.inf, exact.max(1))
+    exact = _distances(np.repeat(q, k, 0), index.sample[near.ravel()]).reshape(near.shape)
+    return np.where(np.isinf(np.take_along_axis(away, near, 1)).any(1), np.inf, exact.max(1)), index.sample_ids[near], exact
 
 
 def scan(rotation: np.ndarray, q: np.ndarray, bound: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,24 +122,30 @@ def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
 
 
 def _search(rotation: np.ndarray, k: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-    """The k nearest vectors of a block, within the bound, of each query."""
+    """The k nearest vectors of a block, within the bound, of each query.
+
+    Without a bound from the sample, the block's own 2 k measured vectors are never abandoned.
+    """
     d, found = len(rotation), []
     if vectors.num_rows and queries.num_rows:
         x, ids = _matrix(vectors["v"], d), vectors["vec_id"].to_numpy()
         all_q, all_ids, bounds = _matrix(queries["v"], d), queries["query_id"].to_numpy(), queries["bound"].to_numpy()
         for at in range(0, len(all_q), _SCANNED):
             q, own, bound = all_q[at : at + _SCANNED], all_ids[at : at + _SCANNED], bounds[at : at + _SCANNED]
+            spared = np.zeros((2, 0), np.int64)
             if len(x) > 2 * k:  # what the block itself allows: the 2 k nearest after the first columns, measured
                 t = min(COLUMNS, d)
                 first = _squares((q @ rotation[:, :t]), x @ rotation[:, :t])
                 first[own[:, None] == ids[None, :]] = np.inf
                 near = np.argpartition(first, 2 * k - 1, 1)[:, : 2 * k]
-                local = np.sqrt(((q[:, None, :].astype(np.float64) - x[near]) ** 2).sum(2).max(1))
+                local = _distances(np.repeat(q, 2 * k, 0), x[near.ravel()]).reshape(near.shape).max(1)
+                free = np.flatnonzero(np.isinf(bound))
+                spared = np.stack([np.repeat(free, 2 * k), near[free].ravel()])
                 bound = np.minimum(bound, np.where(np.isinf(np.take_along_axis(first, near, 1)).any(1), np.inf, local))
-            who, what = scan(rotation, q, bound, x)
+            who, what = np.unique(np.concatenate([scan(rotation, q, bound, x), spared], 1), axis=1) if spared.size else scan(rotation, q, bound, x)
             other = own[who] != ids[what]
             who, what = who[other], what[other]
-            score = np.sqrt(((q[who].astype(np.float64) - x[what]) ** 2).sum(1))
+            score = _distances(q[who], x[what])
             order = np.lexsort((ids[what], score, who))
             order = order[score[order] <= bound[who[order]]]
             who = who[order]
@@ -155,7 +172,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
     Euclidean distance in double precision on the original vectors, ties to the smaller vec_id; all candidates where
-    there are fewer than k. A query is no candidate of its own. See `clean` for the rows that take part; without any,
+    there are fewer than k: a query's lists are extended until they hold k. A query is no candidate of its own. See `clean` for the rows that take part; without any,
     the result is empty. Other columns are not read.
     The index is fitted on a bounded sample (SAMPLE_VALUES, SAMPLE_ROWS), and every vector is indexed. A list of many
     vectors or queries is cut into blocks by hashes of ids, so its size burdens no single task.
@@ -181,18 +198,23 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
             away = _squares(x, m.centers)
             if not ask:
                 return pa.RecordBatch.from_arrays([pa.array(away.argmin(1).astype(np.int32)), ids, pa.array(raw, pa.binary())], ["list", "vec_id", "v"])
-            probed = np.argsort(away, 1, kind="stable")[:, : m.probes]
-            bound = upper_bounds(m, ids.to_numpy(), x, probed, k)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * m.probes, pa.int32()), pa.array(probed.ravel().astype(np.int32)))
-            return pa.RecordBatch.from_arrays([lists, ids, pa.array(raw, pa.binary()), pa.array(bound)], ["lists", "query_id", "v", "bound"])
+            order, first = probed_lists(away, held, m.probes, k)
+            open_ = np.zeros(away.shape, bool)
+            np.put_along_axis(open_, order, first, 1)
+            bound, near, score = upper_bounds(m, ids.to_numpy(), x, open_, k)
+            bounded = np.isfinite(bound)
+            ragged = lambda v, mask, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mask.sum(1))), pa.int32()), pa.array(v[mask], kind))
+            use = np.broadcast_to(bounded[:, None], near.shape)
+            return pa.RecordBatch.from_arrays([ragged(order, first, pa.int32()), ids, pa.array(raw, pa.binary()), pa.array(bound), ragged(near, use, pa.int64()), ragged(score, use, pa.float64())], ["lists", "query_id", "v", "bound", "near", "scores"])
 
         return lambda: fn
 
     placed = map_slices(whole, dealt(False), "list int, vec_id long, v binary", rows=512)
-    asked = map_slices(whole.where(F.col("vec_id") % every == 0), dealt(True), "lists array<int>, query_id long, v binary, bound double")
-    asked = asked.select(F.explode("lists").alias("list"), "query_id", "v", "bound")
     # at most MAX_LISTS counts of either kind come to the driver
     n_vectors = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
+    held = np.array([n_vectors.get(i, 0) for i in range(lists)])
+    queries = map_slices(whole.where(F.col("vec_id") % every == 0), dealt(True), "lists array<int>, query_id long, v binary, bound double, near array<long>, scores array<double>")
+    asked = queries.select(F.explode("lists").alias("list"), "query_id", "v", "bound")
     n_asked = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
     cuts = [F.array(*[F.lit(-(-n.get(i, 0) // size) or 1) for i in range(lists)]) for n, size in ((n_vectors, BLOCK), (n_asked, QUERY_BLOCK))]
     shards, chunks = (F.get(c, F.col("list")) for c in cuts)
@@ -202,6 +224,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     keys = ["list", "shard", "chunk"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search(rotation, k, a, b), schema)
     best = F.struct("score", "vec_id")
+    # the sampled neighbours behind a bound are measured, so they stay even where a scan abandons what lies in one direction
+    sampled = queries.select("query_id", F.explode(F.arrays_zip(F.col("near").alias("vec_id"), F.col("scores").alias("score"))).alias("s")).select("query_id", "s.vec_id", "s.score")
     # each block's best k are merged by query; within the sampled bound there are few
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("near"))
+    merged = found.unionByName(sampled).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(best)), 1, k).alias("near"))
     return merged.select("query_id", F.posexplode("near").alias("p", "n")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score"))

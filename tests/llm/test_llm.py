@@ -251,6 +251,20 @@ def test_nearest_reaches_recall_and_is_exact(spark):
     assert [(r["rank"], r.vec_id) for r in few.orderBy("rank").collect()] == [(1, 2), (2, 1)]
 
 
+def test_nearest_gives_k_to_outliers_of_tight_clusters(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(30, 24)), 100, 0) + rng.normal(size=(3000, 24)) * 1e-3, rng.normal(size=(40, 24)) * 30]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), 1, 10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == list(range(len(x)))
+    for q, near in got.items():
+        near.sort()
+        assert [n[0] for n in near] == list(range(1, 11)) and len({v for _, v, _ in near} - {q}) == 10
+        assert all(abs(np.linalg.norm(x[v].astype(np.float64) - x[q]) - s) < 1e-9 for _, v, s in near)
+
+
 # ---- classifiers
 
 
