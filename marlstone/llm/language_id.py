@@ -123,6 +123,8 @@ def predict(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
 def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, families: dict[str, str] = FAMILIES) -> Model | None:
     """Model fitted on at most `sample` documents with a language, equal shares a language; None where there are none.
 
+    Every language is learned: of many, each keeps sampling.FLOOR documents beyond `sample`; of more than
+    sampling.MAX_CLASSES, a ValueError is raised.
     The sample is chosen by hash of doc_id among rows where `learn` holds. Executors turn whole texts into feature
     rows of fixed width, so what the driver receives is bounded whatever the texts' lengths.
     """

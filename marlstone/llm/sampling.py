@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Keys of a class, where it has so many, however many classes share the sample; classes beyond which sampling refuses.
+FLOOR, MAX_CLASSES = 16, 512
 
-def sample_keys(rows: DataFrame, key: str, cls: str, total: int, max_classes: int = 64) -> list[tuple]:
-    """At most `total` (key, class) pairs, classes given equal shares, lowest hash of the key first.
+
+def sample_keys(rows: DataFrame, key: str, cls: str, total: int, max_classes: int = MAX_CLASSES) -> list[tuple]:
+    """At most `total` (key, class) pairs, or FLOOR a class where that is more; equal shares, lowest hash of the key first.
 
     `rows` has key and class; nulls in either are passed over, and a key that repeats counts once (its least class).
-    Only keys travel; each task sends at most its share of candidates, and at most `total` pairs reach the driver.
-    Of more than `max_classes` classes, the most frequent are learned (ties: text order).
+    Only keys travel; each task sends at most its share of candidates, and what reaches the driver is bounded.
+    Every class has its share. More than `max_classes` classes raise a ValueError, for none is left out silently.
     """
     rows = rows.select(F.col(key).alias("k"), F.col(cls).alias("c")).where(F.col("k").isNotNull() & F.col("c").isNotNull())
-    classes = [r["c"] for r in rows.groupBy("c").count().orderBy(F.desc("count"), "c").limit(max_classes).collect()]
+    rows = rows.groupBy("k").agg(F.min("c").alias("c"))
+    classes = rows.select("c").distinct().limit(max_classes + 1).count()
     if not classes:
         return []
-    share = max(1, total // len(classes))
+    if classes > max_classes:
+        raise ValueError(f"more than {max_classes} different values of {cls}")
+    share = max(FLOOR, total // classes)
     order: list[Column] = [F.xxhash64(F.col("k").cast("string")), F.col("k")]
-    ranked = rows.where(F.col("c").isin(classes)).withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*order)))
-    best: dict = {}
-    for k, c in ranked.where(F.col("r") <= share).select("k", "c").collect():
-        best[k] = min(c, best.get(k, c))
-    return sorted(best.items())
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy(*order)))
+    return sorted((k, c) for k, c in ranked.where(F.col("r") <= share).select("k", "c").collect())

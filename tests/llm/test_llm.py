@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, bpe, decontamination, language_id, line_dedup, minhash, quality, token_counts, toxicity, url_filter
+from marlstone.llm import ann, bpe, decontamination, language_id, line_dedup, minhash, quality, sampling, token_counts, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, score string, lang_pred int, n_lines string, bitmap string, decoded int, predicted string"
 WORDS = ["alpha", "beta", "gamma", "delta", "Omega", "the", "of", "nord", "süd", "été", "x1"]
@@ -268,6 +268,19 @@ def test_nearest_gives_k_to_outliers_of_tight_clusters(spark):
 # ---- classifiers
 
 
+def test_every_class_has_its_share_and_repeated_keys_count_once(spark):
+    rows = [(100 * c + k, f"c{c:03}") for c in range(70) for k in range(30)]
+    rows += [(i, f"c{i // 100:03}") for c in range(70) for i in range(100 * c, 100 * c + 5)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = sampling.sample_keys(df, "doc_id", "lang", 1400)
+    assert len({k for k, _ in got}) == len(got) == 1400
+    assert all(sum(c == f"c{n:03}" for _, c in got) == 20 for n in range(70))
+    few = sampling.sample_keys(df, "doc_id", "lang", 70)
+    assert len(few) == sampling.FLOOR * 70
+    with pytest.raises(ValueError):
+        sampling.sample_keys(df, "doc_id", "lang", 1400, max_classes=69)
+
+
 def test_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
