@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, mix64, mixer
-from .sampling import sample_keys
+from .sampling import candidates, chosen
 
 DIM = 1 << 13
 ORDERS = (1, 2, 3)
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 1600
+#: Bytes whose n-grams are hashed at once, and texts whose feature rows a task holds.
+PIECE, ROWS = 1 << 17, 128
 
 #: Language -> family. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -40,25 +42,34 @@ class Model:
 
 
 def features(texts: list[str | None]) -> np.ndarray:
-    """Unit vectors of square-rooted counts of hashed byte n-grams; one row a text, over its whole length."""
+    """Unit vectors of square-rooted counts of hashed byte n-grams; one row a text, over its whole length.
+
+    A row depends on its own text alone. Texts are gone through in pieces of PIECE bytes, so memory grows with their
+    bytes by a small factor only.
+    """
     parts = [(" " + t.lower() + " ").encode("utf-8", "surrogatepass") if t else b" " for t in texts]
     data = _KEEP[np.frombuffer(b"".join(parts), np.uint8)]
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    keep = np.ones(len(data), bool)
-    keep[1:] = (data[1:] != 32) | (data[:-1] != 32)
+    owner = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    keep = np.ones(len(data), bool)  # runs of borders count once, but each text has its own
+    keep[1:] = (data[1:] != 32) | (data[:-1] != 32) | (owner[1:] != owner[:-1])
     data, owner = data[keep], owner[keep]
-    table, counts = mixer(3), np.zeros(len(parts) * DIM)
-    h = np.zeros(len(data), np.uint64)
-    for n in range(1, max(ORDERS) + 1):
-        m = len(data) - n + 1
-        if m <= 0:
-            break
-        h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + table[data[n - 1 :]]
-        if n in ORDERS:
-            inside = owner[:m] == owner[n - 1 :]
-            slot = (mix64(h + np.uint64(n)) & np.uint64(DIM - 1)).astype(np.int64) + owner[:m] * DIM
-            counts += np.bincount(slot[inside], minlength=len(counts))
-    x = np.sqrt(counts).astype(np.float32).reshape(len(parts), DIM)
+    table, counts, longest = mixer(3), np.zeros(len(parts) * DIM, np.float32), max(ORDERS)
+    for at in range(0, len(data), PIECE):
+        d, o = data[at : at + PIECE + longest - 1], owner[at : at + PIECE + longest - 1]
+        first = int(o[0])
+        h = np.zeros(len(d), np.uint64)
+        for n in range(1, longest + 1):
+            m = len(d) - n + 1
+            if m <= 0:
+                break
+            h = h[:m] * np.uint64(0x9E3779B97F4A7C15) + table[d[n - 1 :]]
+            if n in ORDERS:
+                here = min(m, PIECE)  # n-grams that begin in this piece
+                inside = o[:here] == o[n - 1 : n - 1 + here]
+                slot = (mix64(h[:here][inside] + np.uint64(n)) & np.uint64(DIM - 1)).astype(np.int64) + (o[:here][inside] - first).astype(np.int64) * DIM
+                found = np.bincount(slot)
+                counts[first * DIM : first * DIM + len(found)] += found
+    x = np.sqrt(counts).reshape(len(parts), DIM)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
@@ -98,14 +109,21 @@ def _sure(margin: np.ndarray) -> np.ndarray:
 
 
 def predict(model: Model, x: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Languages and scores of rows of features. Equal votes go to the larger sum of margins, then to text order."""
-    margin = x @ model.family_w[:-1] + model.family_w[-1]
+    """Languages and scores of rows of features. Equal votes go to the larger sum of margins, then to text order.
+
+    Each row is multiplied by itself, so that its result is the same to the last bit whatever rows stand beside it.
+    """
+
+    def margins(rows: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return np.stack([r @ w[:-1] + w[-1] for r in rows])
+
+    margin = margins(x, model.family_w)
     fam = margin.argmax(1)
     score = _sure(margin[np.arange(len(x)), fam]) if len(model.families) > 1 else np.ones(len(x))
     out = [""] * len(x)
     for f in np.unique(fam):
         rows, names = np.flatnonzero(fam == f), model.members[f]
-        m = x[rows] @ model.pair_w[f][:-1] + model.pair_w[f][-1]
+        m = margins(x[rows], model.pair_w[f])
         votes = np.zeros((len(rows), len(names)))
         least = np.full((len(rows), len(names)), np.inf)
         for k, (a, b) in enumerate(model.pairs[f]):
@@ -126,27 +144,28 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, fa
     Every language is learned: of many, each keeps sampling.FLOOR documents beyond `sample`; of more than
     sampling.MAX_CLASSES, a ValueError is raised.
     The sample is chosen by hash of doc_id among rows where `learn` holds. Executors turn whole texts into feature
-    rows of fixed width, so what the driver receives is bounded whatever the texts' lengths.
+    rows of fixed width, so what the driver receives is bounded whatever the texts' lengths. Of rows that repeat an id
+    in one language, the least text counts; null texts count nowhere.
     """
     pool = docs.where(learn) if learn is not None else docs
-    pool = pool.select("doc_id", "text", "lang").where(F.col("text").isNotNull())
-    keys = sample_keys(pool, "doc_id", "lang", sample)
+    share, keys = candidates(pool, "doc_id", "lang", sample)
     if not keys:
         return None
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = features(batch.column("text").to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
         return fn
 
-    chosen = docs.sparkSession.createDataFrame([(k,) for k, _ in keys], "doc_id long")  # at most `sample` ids
-    rows = map_slices(pool.join(F.broadcast(chosen), "doc_id", "left_semi"), make, "doc_id long, lang string, x binary").collect()
-    lang_of = dict(keys)
-    kept = {r["doc_id"]: r["x"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["x"])) if r["lang"] == lang_of[r["doc_id"]]}
-    ids = sorted(kept)
-    return fit(np.stack([np.frombuffer(kept[i], np.float32) for i in ids]), [lang_of[i] for i in ids], families)
+    texts = pool.select("doc_id", "text", "lang").where(F.col("text").isNotNull()).join(chosen(docs.sparkSession, keys, "doc_id"), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    rows = {(r["doc_id"], r["lang"]): r["x"] for r in map_slices(texts, make, "doc_id long, lang string, x binary", rows=ROWS).collect()}
+    picked = [(k, c) for c, ks in sorted(keys.items()) for k in [k for k in ks if (k, c) in rows][:share]]
+    if not picked:
+        return None
+    return fit(np.stack([np.frombuffer(rows[p], np.float16) for p in picked]).astype(np.float32), [c for _, c in picked], families)
 
 
 def identify_language(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -172,4 +191,4 @@ def identify_language(docs: DataFrame, model: Model | None) -> DataFrame:
 
         return fn
 
-    return map_slices(docs.select(*kept), make, schema)
+    return map_slices(docs.select(*dict.fromkeys([*kept, "text"])), make, schema, rows=ROWS)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, mix64, mixer
-from .sampling import sample_keys
+from .sampling import labelled_texts, settled
 
 #: Words in a passage; the last of a text may have fewer.
 PASSAGE = 40
@@ -35,7 +35,7 @@ _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(rows, DIM) features of all passages of whole texts, and the number of passages of each text (one even of none).
 
-    A passage's features: square roots of the shares of pairs of kinds of adjacent bytes; the shares of words that equal
+    A row depends on its own text alone. Its features: square roots of the shares of pairs of kinds of adjacent bytes; the shares of words that equal
     the one or the second before them, and of distinct words; word length and the passage's length.
     """
     parts = [b" " + t.encode("utf-8", "surrogatepass") + b" " if t else b"  " for t in texts]
@@ -53,15 +53,16 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     rows = int(base[-1])
     if not len(start):
         return np.zeros((rows, DIM), np.float32), count
-    # bytes of a passage: from its first word to the next passage's, or to the text's end
-    new = np.flatnonzero(np.diff(of_word, prepend=-1))
-    own = np.zeros(len(data), np.int64)
-    own[start[new]] = 1
-    own[begins[:-1][words == 0]] += 1
-    # white space before a text's first word goes with the text before it: only blanks, counted like any other pair
-    own = np.maximum(np.cumsum(own) - 1, 0)
+    # bytes of a passage: from its first word (a text's first passage: from the text's start) to the next one's
+    own = np.zeros(len(data), np.int32)
+    own[start[np.flatnonzero(np.diff(of_word, prepend=-1))]] = 1
+    own[start[first[:-1][words > 0]]] = 0
+    own[begins[:-1]] = 1
+    own = np.cumsum(own, dtype=np.int32) - 1
     kind = _KIND[data]
-    pairs = np.bincount(own[:-1] * (KINDS * KINDS) + kind[:-1] * KINDS + kind[1:], minlength=rows * KINDS * KINDS).reshape(rows, -1)
+    pair = own[:-1] * np.int64(KINDS * KINDS) + kind[:-1] * KINDS + kind[1:]
+    pair = np.delete(pair, begins[1:-1] - 1)  # what stands on either side of a text's end is no pair
+    pairs = np.bincount(pair, minlength=rows * KINDS * KINDS).reshape(rows, -1)
     out = np.zeros((rows, DIM), np.float32)
     out[:, :-OTHERS] = np.sqrt(pairs / np.maximum(1, pairs.sum(1, keepdims=True)))
     size = end - start
@@ -78,6 +79,7 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out[:, -3] = np.bincount(of_word[order][fresh], minlength=rows) / n
     out[:, -2] = np.minimum(np.bincount(of_word, size, rows) / n, 40) / 10
     out[:, -1] = np.log1p(n) / 4
+    out[base[:-1][words == 0]] = 0  # as for a text alone
     return out, count
 
 
@@ -136,8 +138,10 @@ def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, epochs: int = 250, rate
 
 
 def score_bags(model: Model, x: np.ndarray, count: np.ndarray) -> np.ndarray:
-    f = _forward(model.weights, np.clip((x - model.mean) / model.spread, -6, 6), count)
-    return 1 / (1 + np.exp(-np.clip(f["logit"], -30, 30)))
+    """Scores of bags, each computed by itself: the same to the last bit whatever bags stand beside it."""
+    x, ends = np.clip((x - model.mean) / model.spread, -6, 6), np.cumsum(count)
+    logit = np.array([_forward(model.weights, x[e - c : e], np.array([c]))["logit"][0] for e, c in zip(ends, count, strict=True)])
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, sample: int = SAMPLE) -> Model | None:
@@ -145,16 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
 
     Both labels get equal shares, chosen by hash of doc_id among rows where `learn` (a condition on doc_id) holds; of
     rows that repeat an id, the first in text order counts. Executors turn texts into passages' features; at most
-    sample * SAMPLE_CHARS / (2 * PASSAGE) rows of DIM numbers reach the driver.
+    SPARE * sample * SAMPLE_CHARS / (2 * PASSAGE) rows of DIM numbers reach the driver.
     """
-    pool = docs.where(learn) if learn is not None else docs
-    pool = pool.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "text")
-    known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    keys = dict(sample_keys(known.join(pool.select("doc_id"), "doc_id", "left_semi"), "doc_id", "label", sample))
-    if not keys:
+    share, keys, texts = labelled_texts(docs, labels, label, learn, sample, SAMPLE_CHARS)
+    if texts is None:
         return None
-    chosen = docs.sparkSession.createDataFrame([(k,) for k in keys], "doc_id long")  # at most `sample` ids
-    texts = pool.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -164,9 +163,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
 
         return fn
 
-    rows = sorted(map_slices(texts, make, "doc_id long, x binary").collect(), key=lambda r: r["doc_id"])
-    bags = [np.frombuffer(r["x"], np.float16).reshape(-1, DIM).astype(np.float32) for r in rows]
-    return fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([keys[r["doc_id"]] for r in rows], float))
+    rows = {r["doc_id"]: r["x"] for r in map_slices(texts, make, "doc_id long, x binary").collect()}
+    label_of = settled(share, keys, set(rows))
+    if not label_of:
+        return None
+    ids = sorted(label_of)
+    bags = [np.frombuffer(rows[k], np.float16).reshape(-1, DIM).astype(np.float32) for k in ids]
+    return fit(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([label_of[k] for k in ids], float))
 
 
 def score_quality(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:

@@ -6,6 +6,7 @@ consecutive words: the average of each goes through the softmax, and the most to
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_slices, mix64, mixer
-from .sampling import sample_keys
+from .sampling import labelled_texts, settled
 
 BUCKETS, DIM = 1 << 20, 6
 GRAMS = (3, 4, 5, 6)
@@ -27,7 +28,7 @@ SURE = 4.0
 #: A word's vector is the sum of its subwords' embeddings over their number and DAMP; those that stand for nothing are left out.
 DAMP = 12
 #: Distinct words that a task remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 #: ASCII bytes that are neither letters nor digits are left out at a word's ends.
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
@@ -157,9 +158,11 @@ def _learn(docs: list[list[str]], y: np.ndarray, epochs: int, rate: float, seed:
 
 def word_logits(model_logits: np.ndarray, words: list[str]) -> np.ndarray:
     grams, starts = subwords(words)
-    found = model_logits[grams]
-    sums, counts = (np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)]) for v in (found, found != 0))
-    return (sums[starts[1:]] - sums[starts[:-1]]) / (counts[starts[1:]] - counts[starts[:-1]] + DAMP)
+    if not words:
+        return np.zeros(0)
+    found = model_logits[grams].astype(np.float64)
+    # each word is summed up by itself: its logit is the same whatever words stand beside it
+    return np.add.reduceat(found, starts[:-1]) / (np.add.reduceat((found != 0).astype(np.int64), starts[:-1]) + DAMP)
 
 
 def worst_window(logits: np.ndarray) -> float:
@@ -204,23 +207,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     """Model fitted on at most `sample` labelled documents of at most SAMPLE_CHARS characters; None without any.
 
     Both classes get equal shares, chosen by hash of doc_id among rows where `learn` (a condition on doc_id) holds.
-    At most sample x SAMPLE_CHARS characters reach the driver.
+    At most SPARE x sample x SAMPLE_CHARS characters reach the driver.
     """
-    texts = sampled_texts(docs, labels, label, learn, sample, SAMPLE_CHARS)
-    return fit([t for t, _ in texts], [c for _, c in texts])
-
-
-def sampled_texts(docs: DataFrame, labels: DataFrame, label: str, learn: Column | None, sample: int, chars: int) -> list[tuple[str, int]]:
-    pool = docs.where(learn) if learn is not None else docs
-    pool = pool.where(F.length("text").between(1, chars)).select("doc_id", "text")
-    known = labels.where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
-    keys = dict(sample_keys(known.join(pool.select("doc_id"), "doc_id", "left_semi"), "doc_id", "label", sample))
-    if not keys:
-        return []
-    chosen = docs.sparkSession.createDataFrame([(k,) for k in keys], "doc_id long")  # at most `sample` ids
-    # of rows that repeat an id, the least text
-    rows = pool.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id")).collect()
-    return [(r["text"], keys[r["doc_id"]]) for r in rows]
+    share, keys, texts = labelled_texts(docs, labels, label, learn, sample, SAMPLE_CHARS)
+    if texts is None:
+        return None
+    rows = {r["doc_id"]: r["text"] for r in texts.collect()}
+    label_of = settled(share, keys, set(rows))
+    order = sorted(label_of, key=lambda k: zlib.crc32(str(k).encode() + b"."))  # classes mixed, the same on every run
+    return fit([rows[k] for k in order], [label_of[k] for k in order])
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:

@@ -269,16 +269,39 @@ def test_nearest_gives_k_to_outliers_of_tight_clusters(spark):
 
 
 def test_every_class_has_its_share_and_repeated_keys_count_once(spark):
-    rows = [(100 * c + k, f"c{c:03}") for c in range(70) for k in range(30)]
-    rows += [(i, f"c{i // 100:03}") for c in range(70) for i in range(100 * c, 100 * c + 5)] * 40
+    rows = [(100 * c + k, f"c{c:03}") for c in range(100) for k in range(60)]
+    rows += [(i, f"c{i // 100:03}") for c in range(100) for i in range(100 * c, 100 * c + 5)] * 40
+    rows += [(7, "c000")] * 3000 + [(None, "c001"), (8, None)]
     df = spark.createDataFrame(rows, "doc_id long, lang string")
-    got = sampling.sample_keys(df, "doc_id", "lang", 1400)
-    assert len({k for k, _ in got}) == len(got) == 1400
-    assert all(sum(c == f"c{n:03}" for _, c in got) == 20 for n in range(70))
-    few = sampling.sample_keys(df, "doc_id", "lang", 70)
-    assert len(few) == sampling.FLOOR * 70
+    share, got = sampling.candidates(df, "doc_id", "lang", 2000)
+    assert share == 20 and len(got) == 100
+    assert all(len(keys) == len(set(keys)) == 40 and {k // 100 for k in keys} == {int(c[1:])} for c, keys in got.items())
+    again = sampling.candidates(df.repartition(7), "doc_id", "lang", 2000)
+    assert again == (share, got)
+    assert sampling.candidates(df, "doc_id", "lang", 100)[0] == sampling.FLOOR
+    settled = sampling.settled(20, got, {k for keys in got.values() for k in keys[::2]})
+    assert len(settled) == 2000 and all(settled[k] == c for c, keys in got.items() for k in keys[::2])
     with pytest.raises(ValueError):
-        sampling.sample_keys(df, "doc_id", "lang", 1400, max_classes=69)
+        sampling.candidates(df, "doc_id", "lang", 1400, max_classes=99)
+
+
+def test_a_text_scores_alike_alone_and_among_others(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    texts = [r.text for r in docs.select("text").orderBy("doc_id").limit(40).collect()]
+    texts += [None, "", "\n" * 3000 + texts[0], "  \t\n", "\n\n" + texts[1] + "\n" * 50, "x", "12 34", " " * 500 + "y z"] + texts[:3]
+    frame_of = lambda ts: spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    models = [(language_id.identify_language, language_id.train(docs), ("lang_pred", "score")), (quality.score_quality, quality.train(docs, labels), ("score",)), (toxicity.score_toxicity, toxicity.train(docs, labels), ("score",))]
+    order = list(range(len(texts)))
+    random.Random(3).shuffle(order)
+    for apply, model, names in models:
+        assert model is not None
+        told = lambda df: {r.doc_id: tuple(r[n] for n in names) for r in df.collect()}
+        alone = told(apply(frame_of(texts).repartition(len(texts), "doc_id"), model))
+        batched = told(apply(frame_of(texts).coalesce(1), model))
+        mixed = told(apply(frame_of([texts[i] for i in order]).coalesce(1), model))
+        assert alone == batched == {i: mixed[k] for k, i in enumerate(order)}
+        assert alone[0] == alone[len(texts) - 3]
 
 
 def test_languages(spark):
