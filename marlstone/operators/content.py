@@ -16,14 +16,44 @@ def tag_posts(posts: DataFrame, key: str, title: str, tags: str = "tags") -> Dat
     return posts.where(F.col(title).isNotNull()).select(F.explode(tags).alias("tag"), key, title)
 
 
+def sorted_tags(posts: DataFrame, tags: str = "tags") -> DataFrame:
+    """tag_counts in the tags' order of characters."""
+    return tag_counts(posts, tags).orderBy("tag")
+
+
+def keywords(tags: Column) -> Column:
+    """The tags of a post as one text, parted by a comma and a blank; null without any."""
+    return F.nullif(F.array_join(tags, ", "), F.lit(""))
+
+
+def split_list(text: Column) -> Column:
+    """The entries of a list that is written with blanks between them; runs of blanks part as one."""
+    return F.filter(F.split(text, " "), lambda x: x != "")
+
+
+def column_class(columns: Column) -> Column:
+    """The style class of a gallery of so many columns: half for 2, third for 3, else empty."""
+    return F.when(columns == 2, "half").when(columns == 3, "third").otherwise("")
+
+
+def date_text(date: Column) -> Column:
+    """Day, short English month and year: 14 Sep 2021."""
+    return F.date_format(date, "dd MMM yyyy")
+
+
 def strip_html(html: Column) -> Column:
     """Text without scripts, styles, comments and tags."""
     return F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>", "")
 
 
 def compress_html(html: Column) -> Column:
-    """Runs of white space as one blank, comments removed; for pages without <pre>."""
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?-->", ""), r"\s+", " "))
+    """Runs of white space as one blank, except inside <pre>, which stays as it is; comments outside <pre> are removed.
+
+    What follows the last </pre> of a piece is compressed; a <pre> that is not closed is kept to the end.
+    """
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?s)<!--.*?-->", ""), r"\s+", " ")
+    pieces = F.split(html, r"(?i)(?=<pre[\s>])|(?<=</pre>)")
+    return F.trim(F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"(?i)\A<pre[\s>]"), p).otherwise(plain(p))), ""))
 
 
 def word_count(text: Column) -> Column:
@@ -31,9 +61,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
 
 
-def reading_minutes(text: Column, words_per_minute: int = 200) -> Column:
+def minutes_of(words: Column, words_per_minute: int = 200) -> Column:
     """Words over words_per_minute, rounded half up, at least 1."""
-    return F.greatest(F.lit(1), F.round(word_count(strip_html(text)) / words_per_minute).cast("int"))
+    return F.greatest(F.lit(1), F.round(words / words_per_minute).cast("int"))
+
+
+def reading_minutes(text: Column, words_per_minute: int = 200) -> Column:
+    """minutes_of the words of a text without its markup."""
+    return minutes_of(word_count(strip_html(text)), words_per_minute)
 
 
 def listing(posts: DataFrame, project: bool | None = None, flag: str = "project") -> DataFrame:
@@ -41,6 +76,11 @@ def listing(posts: DataFrame, project: bool | None = None, flag: str = "project"
     return posts.where(F.col(flag).isNull() if project is None else F.coalesce(F.col(flag), F.lit(False)))
 
 
+def newest_first(posts: DataFrame, date: str, tie: str) -> DataFrame:
+    """Posts by date, the latest first; those without a date last; ties by `tie`."""
+    return posts.orderBy(F.desc_nulls_last(date), tie)
+
+
 def effective_date(front_matter: Column, filename: Column) -> Column:
     """The date that the post names, else the one of its filename."""
     return F.coalesce(front_matter, F.to_date(F.try_element_at(F.regexp_extract_all(filename, F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0)), F.lit(1))))

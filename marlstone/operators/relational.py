@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,14 @@ def rename_by_position(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.toDF(*names)
 
 
+def rename_by(df: DataFrame, name: Callable[[str], str]) -> DataFrame:
+    """New names as `name` makes them of the old ones, all at once; two columns of one name raise."""
+    names = [name(c) for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns would share a name: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    return df.toDF(*names)
+
+
 def first_columns(df: DataFrame, n: int, drop: Sequence[str] = ()) -> DataFrame:
     """The first n columns, without those of `drop`."""
     return df.select(*[c for c in df.columns[:n] if c not in drop])
@@ -45,6 +53,11 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, denominator) * 100
 
 
+def total(*columns: Column) -> Column:
+    """Sum of columns; null where one of them is."""
+    return reduce(lambda a, b: a + b, columns)
+
+
 def band(value: Column, limit: float, low: str = "low", high: str = "high") -> Column:
     """`high` from the limit on, `low` below; null and NaN are in neither."""
     return F.when(F.isnan(value), None).when(value >= limit, high).when(value < limit, low)

@@ -28,17 +28,18 @@ def between_dates(df: DataFrame, day: str, as_of: str, days_back: int) -> DataFr
     return df.where(F.col(day).between(F.date_sub(end, days_back), end))
 
 
-def align(search: DataFrame, prices: DataFrame, keep_key: bool = False) -> DataFrame:
-    """Outer join of search(day, ratio) and prices(trade_day, …), filled forward in day order.
+def align(search: DataFrame, prices: DataFrame, keep_key: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """Outer join of search(day, ratio) and prices(trade_day, …), filled forward in day order for each of `within`.
 
     By default `day` is filled too, so that a day with prices only shows the day of the last search, as a fill over all
-    columns does; keep_key=True shows the day itself. `key` is the row's own day in both cases.
+    columns does; keep_key=True shows the day itself. `key` is the row's own day in both cases. Without `within`, both
+    are one series of a row a day.
     """
-    joined = search.join(prices, search["day"] == prices["trade_day"], "full")
-    joined = joined.withColumn("key", F.coalesce("day", "trade_day")).drop("trade_day")
+    ids = list(within)
+    joined = search.withColumn("key", F.col("day")).join(prices.withColumnRenamed("trade_day", "key"), ["key", *ids], "full")
     if keep_key:
         joined = joined.withColumn("day", F.col("key"))
-    return forward_fill(joined, [F.col("key")], [c for c in joined.columns if c != "key"])
+    return forward_fill(joined, [F.col("key")], [c for c in joined.columns if c != "key" and c not in ids], ids)
 
 
 def normalise_to_max(df: DataFrame, column: str, to: float = 100.0, within: Sequence[str] = ()) -> DataFrame:

@@ -8,12 +8,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = None) -> DataFrame:
     """Wide to long: ids, variable, value. Without `values`, all other columns; they need one common type."""
     return df.unpivot(list(ids), list(values or [c for c in df.columns if c not in ids]), "variable", "value")
 
 
+def skip_first(df: DataFrame, *order: str) -> DataFrame:
+    """Without the row that comes first in `order`, whose columns together are unique and not null; the rest keeps no order.
+
+    The first row is an aggregate, so rows are not brought together to be counted off.
+    """
+    first = df.agg(F.min(F.struct(*order)).alias("_first"))
+    return df.crossJoin(F.broadcast(first)).where(F.struct(*order) != F.col("_first")).drop("_first")  # one row
+
+
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
     """Counts of each row value by the listed column values, 0 where there are none. Listing them saves a pass."""
     return df.groupBy(row).pivot(column, list(values)).count().na.fill(0)
@@ -53,24 +64,45 @@ def mean_by(df: DataFrame, x: str, y: str, scale: int = 2) -> DataFrame:
     return df.groupBy(x).agg((exact_sum(y, scale) / F.count(y)).alias("mean"), F.count(y).alias("n"))
 
 
-def quartiles(df: DataFrame, *keys: str, value: str) -> DataFrame:
-    """Exact lower quartile, median and upper quartile of each group, interpolated."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+QUARTILES = ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
+
 
+def quartiles(df: DataFrame, *keys: str, value: str) -> DataFrame:
+    """Exact lower quartile, median and upper quartile of each group, interpolated; nulls are left out.
 
-def density(df: DataFrame, column: str, grid: Sequence[float]) -> DataFrame:
-    """x, density: Gaussian kernel density at the points of `grid`, bandwidth sd * n ** (-1/5).
+    Equal values are counted first. The counts are ranged over partitions, their running sums taken within each and
+    continued from one to the next, so that no task needs a whole group however many values it has.
+    """
+    counts = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = written(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    parts = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))  # a row for each group and partition
+    parts = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_s").over(so_far), F.lit(0)).alias("_before"), F.sum("_s").over(whole).alias("_all"))
+    within = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_part") == F.col("_p")]
+    placed = ranged.withColumn("_end", F.sum("_n").over(within)).join(parts, same).select(*keys, "_v", "_n", (F.col("_end") + F.col("_before")).alias("_end"), "_all")
+    first, last = F.col("_end") - F.col("_n"), F.col("_end") - 1  # places from 0 that the value takes
+    at = {p: F.col("_all") * p - p for p, _ in QUARTILES}
+    sides = [F.max(F.when(r(at[p]).between(first, last), F.col("_v"))).alias(f"_{i}{n}") for i, (p, _) in enumerate(QUARTILES) for n, r in (("a", F.floor), ("b", F.ceil))]
+    found = placed.groupBy(*keys).agg(F.first("_all").alias("_all"), *sides)
+    return found.select(*keys, *[(F.col(f"_{i}a") + (at[p] - F.floor(at[p])) * (F.col(f"_{i}b") - F.col(f"_{i}a"))).alias(n) for i, (p, n) in enumerate(QUARTILES)])
+
+
+def density(df: DataFrame, column: str, grid: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
+    """x, density: Gaussian kernel density at the points of `grid`, bandwidth sd * n ** (-1/5); one curve a group.
 
     A point of the grid is one aggregate, so rows are summed up where they are read and nothing but sums is shuffled.
-    Nulls and NaN are left out; fewer than two distinct values have null density.
+    Nulls, NaN and rows with a null key are left out; fewer than two distinct values have null density.
     """
-    x = F.col(column).cast("double")
-    data = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("_x"))
-    stats = data.agg(F.count("_x").alias("_n"), (F.stddev_samp("_x") * F.pow(F.count("_x").cast("double"), F.lit(-0.2))).alias("_h"))
+    x, keys = F.col(column).cast("double"), list(within)
+    data = df.where(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_x")).dropna(subset=keys or None)
+    stats = data.groupBy(*keys).agg(F.count("_x").alias("_n"), (F.stddev_samp("_x") * F.pow(F.count("_x").cast("double"), F.lit(-0.2))).alias("_h"))
     u = [(F.lit(float(g)) - F.col("_x")) / F.nullif(F.col("_h"), F.lit(0.0)) for g in grid]
-    sums = data.crossJoin(F.broadcast(stats)).agg(F.first("_n").alias("_n"), F.first("_h").alias("_h"), *[F.sum(F.exp(-(v * v) / 2)).alias(f"_s{i}") for i, v in enumerate(u)])  # one row
+    both = data.join(stats, keys) if keys else data.crossJoin(F.broadcast(stats))  # without keys, one row
+    sums = both.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_h").alias("_h"), *[F.sum(F.exp(-(v * v) / 2)).alias(f"_s{i}") for i, v in enumerate(u)])
     points = F.array(*[F.struct(F.lit(float(g)).alias("x"), (F.col(f"_s{i}") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density")) for i, g in enumerate(grid)])
-    return sums.select(F.inline(points))
+    return sums.select(*keys, F.inline(points))
 
 
 def null_counts(df: DataFrame) -> DataFrame:

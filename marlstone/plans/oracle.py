@@ -10,6 +10,8 @@ _TAGS = "SELECT p_partkey, p_name, unnest(string_split(p_name, ' ')) AS tag FROM
 _STRIP = "regexp_replace({0}, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', '', 'g')"
 _WORDS = f"len(regexp_extract_all({_STRIP.format('text')}, '[^ \\t\\n\\r\\f\\x0B]+'))"
 
+_POSTED = "CASE WHEN doc_id % 2 = 0 THEN DATE '2021-08-26' ELSE DATE '2021-09-01' + CAST(doc_id % 30 AS INTEGER) END"
+
 ORACLE_SQL = {
     "regex_brand_count": """SELECT p_type, CASE WHEN contains(p_name, 'widget') THEN 'widget' ELSE 'cold' END AS brand, count(*) AS n
 FROM part WHERE contains(p_name, 'widget') OR contains(p_name, 'cold') GROUP BY 1, 2""",
@@ -18,7 +20,7 @@ FROM part WHERE contains(p_name, 'widget') OR contains(p_name, 'cold') GROUP BY
     "compare_filters": "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 AND l_discount >= CAST(0.05 AS DOUBLE) AND l_tax < CAST(0.03 AS DOUBLE)",
     "ratio_bands": "SELECT CASE WHEN l_tax = 0 OR l_tax IS NULL OR l_discount IS NULL THEN 'none' WHEN l_discount / l_tax * 100 >= 100 THEN 'high' ELSE 'low' END AS band, count(*) AS n FROM lineitem GROUP BY 1",
     "null_coalesce": f"SELECT event_id, coalesce(value, CAST(event_id % 100 AS DOUBLE)) AS value FROM ({_GAPS})",
-    "inner_join_two_keys": "SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_name, CAST(round(o_totalprice * 100) AS BIGINT) AS price_cents FROM orders JOIN (SELECT DISTINCT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey",
+    "inner_join_two_keys": "SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_name, CAST(round(o_totalprice * 100) AS BIGINT) AS price_cents FROM orders JOIN (SELECT DISTINCT c_custkey, c_name FROM customer) ON o_custkey = c_custkey",
     "index_aligned_copy": "SELECT o_orderkey, o_custkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS o_totalprice FROM orders",
     "union_outer_schema": "SELECT c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, CAST(NULL AS INTEGER) AS nation FROM customer UNION ALL SELECT s_name, s_acctbal, NULL, s_nationkey FROM supplier",
     "distinct_rows": "SELECT DISTINCT c_nationkey, c_mktsegment FROM customer",
@@ -38,15 +40,23 @@ FROM part WHERE contains(p_name, 'widget') OR contains(p_name, 'cold') GROUP BY
     "melt": "SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part",
     "melt_skip_first": "SELECT * FROM (SELECT p_partkey, 'p_size' AS variable, CAST(p_size AS DOUBLE) AS value FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part) ORDER BY variable, p_partkey OFFSET 1",
     "fill_mean": f"WITH g AS ({_GAPS}), m AS (SELECT round_even(avg(value), 0) AS m FROM g) SELECT event_id, coalesce(value, m) AS value FROM g, m",
-    "align_ffill_normalise": f"""WITH s AS (SELECT CAST(ts AS DATE) AS day, {_MEAN.format('value')} AS ratio FROM events WHERE event_type = 'view' GROUP BY 1 HAVING dayofmonth(CAST(ts AS DATE)) % 3 <> 0),
-p AS (SELECT CAST(ts AS DATE) AS trade_day, max(value) AS close, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS volume FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING dayofmonth(CAST(ts AS DATE)) % 4 <> 0 AND CAST(ts AS DATE) BETWEEN DATE '2023-12-01' AND DATE '2024-01-30'),
+    "align_ffill_normalise": f"""WITH s AS (SELECT CAST(ts AS DATE) AS day, CASE WHEN dayofmonth(CAST(ts AS DATE)) % 3 <> 0 THEN {_MEAN.format('value')} END AS ratio FROM events WHERE event_type = 'view' GROUP BY 1),
+p AS (SELECT CAST(ts AS DATE) AS trade_day, CASE WHEN dayofmonth(CAST(ts AS DATE)) % 4 <> 0 THEN max(value) END AS close, CASE WHEN dayofmonth(CAST(ts AS DATE)) % 4 <> 0 THEN CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) END AS volume FROM events WHERE event_type = 'purchase' GROUP BY 1 HAVING CAST(ts AS DATE) BETWEEN DATE '2023-12-01' AND DATE '2024-01-30'),
 j AS (SELECT coalesce(day, trade_day) AS key, day, ratio, close, volume FROM s FULL JOIN p ON day = trade_day),
 f AS (SELECT key, last_value(day IGNORE NULLS) OVER w AS day, last_value(ratio IGNORE NULLS) OVER w AS ratio, last_value(close IGNORE NULLS) OVER w AS close, last_value(volume IGNORE NULLS) OVER w AS volume FROM j WINDOW w AS (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT key, day, round(ratio, 6) AS ratio, close, round(volume / max(volume) OVER () * 100, 6) AS volume FROM f""",
+    "align_by_symbol": f"""WITH s AS (SELECT CAST(ts AS DATE) AS day, user_id % 5 AS symbol, CASE WHEN dayofmonth(CAST(ts AS DATE)) % 3 <> 0 THEN {_MEAN.format('value')} END AS ratio FROM events WHERE event_type = 'view' GROUP BY 1, 2),
+p AS (SELECT CAST(ts AS DATE) AS day, user_id % 5 AS symbol, CASE WHEN dayofmonth(CAST(ts AS DATE)) % 4 <> 0 THEN max(value) END AS close, CASE WHEN dayofmonth(CAST(ts AS DATE)) % 4 <> 0 THEN CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) END AS volume FROM events WHERE event_type = 'purchase' GROUP BY 1, 2 HAVING CAST(ts AS DATE) BETWEEN DATE '2023-12-01' AND DATE '2024-01-30'),
+j AS (SELECT symbol, day, ratio, close, volume FROM s FULL JOIN p USING (symbol, day)),
+f AS (SELECT symbol, day, last_value(ratio IGNORE NULLS) OVER w AS ratio, last_value(close IGNORE NULLS) OVER w AS close, last_value(volume IGNORE NULLS) OVER w AS volume FROM j WINDOW w AS (PARTITION BY symbol ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT symbol, day, round(ratio, 6) AS ratio, close, round(volume / max(volume) OVER (PARTITION BY symbol) * 100, 6) AS volume FROM f""",
     "json_field": "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1",
     "json_series": "SELECT CAST(ts AS DATE) AS period, max(value) AS ratio FROM events GROUP BY 1",
     "density": """WITH s AS (SELECT count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h FROM events), g AS (SELECT CAST(unnest(range(0, 501, 25)) AS DOUBLE) AS x)
 SELECT x, round(sum(exp(-pow((x - value) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM events, s, g GROUP BY x""",
+    "json_series_groups": "SELECT CAST(0 AS INTEGER) AS \"group\", CAST(ts AS DATE) AS period, max(value) AS ratio FROM events GROUP BY 2 UNION ALL SELECT 1, CAST(ts AS DATE), min(value) FROM events GROUP BY 2",
+    "density_by_group": """WITH s AS (SELECT event_type, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h FROM events GROUP BY 1), g AS (SELECT CAST(unnest(range(0, 501, 25)) AS DOUBLE) AS x)
+SELECT event_type, x, round(sum(exp(-pow((x - value) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM events JOIN s USING (event_type), g GROUP BY 1, 2""",
     "breakout_backtest": f"WITH {_SIGNAL} SELECT day, open, high, low, close, round(target, 6) AS target, round(factor, 6) AS factor FROM f",
     "drawdown": f"WITH {_SIGNAL}, e AS (SELECT day, exp(sum(ln(factor)) OVER (ORDER BY day)) AS equity FROM f) SELECT day, round(equity / max(equity) OVER (ORDER BY day) - 1, 6) AS drawdown FROM e",
     "compound_return": f"WITH {_SIGNAL} SELECT round(product(factor) - 1, 6) AS total_return, count(*) AS days FROM f",
@@ -58,8 +68,14 @@ SELECT x, round(sum(exp(-pow((x - value) / h, 2) / 2)) / (any_value(n) * any_val
     "tag_counts": f"SELECT tag, count(*) AS posts FROM ({_TAGS}) GROUP BY 1",
     "tag_posts": f"SELECT tag, p_partkey, p_name FROM ({_TAGS})",
     "reading_time": f"SELECT doc_id, CAST({_WORDS} AS INTEGER) AS words, CAST(greatest(1, round({_WORDS} / 200.0)) AS INTEGER) AS minutes FROM documents",
-    "post_listing": "SELECT doc_id, coalesce(nullif(source, ''), 'site') AS title, CASE WHEN doc_id % 2 = 0 THEN DATE '2021-08-26' ELSE DATE '2021-09-01' + CAST(doc_id % 30 AS INTEGER) END AS date FROM documents WHERE doc_id % 3 <> 0",
+    "sorted_tags": f"SELECT tag, count(*) AS posts FROM ({_TAGS}) GROUP BY 1 ORDER BY tag",
+    "post_keywords": "SELECT p_partkey, nullif(replace(p_name, ' ', ', '), '') AS keywords, CASE len(string_split(p_name, ' ')) WHEN 2 THEN 'half' WHEN 3 THEN 'third' ELSE '' END AS class FROM part",
+    "list_entries": "SELECT p_partkey, CAST(unnest(range(len(w))) AS INTEGER) AS place, unnest(w) AS entry FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)",
+    "row_totals": "SELECT p_partkey, CASE WHEN p_size > 10 THEN CAST(p_size AS DOUBLE) + p_retailprice END AS total FROM part",
+    "post_listing": f"SELECT doc_id, coalesce(nullif(source, ''), 'site') AS title, {_POSTED} AS date, strftime({_POSTED}, '%d %b %Y') AS shown FROM documents WHERE lang IS NULL OR lang NOT IN ('fr', 'es')",
+    "project_listing": f"SELECT doc_id, coalesce(nullif(source, ''), 'site') AS title, {_POSTED} AS date FROM documents WHERE lang = 'fr'",
     "url_normalise": "SELECT page_id, rtrim(replace(url, 'index.html', ''), '/') AS canonical, CASE WHEN starts_with(url, 'https') THEN CASE WHEN contains(url[6:], '://') THEN url[6:] ELSE 'http://site' || url[6:] END ELSE 'http://site' END AS absolute FROM pages",
     "html_elements": f"""SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS INTEGER) AS links,
 CAST(length(trim(regexp_replace({_STRIP.format('html')}, '\\s+', ' ', 'g'))) AS INTEGER) AS text_length FROM pages""",
+    "compressed_html": """SELECT page_id, md5(ltrim(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '\\s+', ' ', 'g'), ' ') || '<pre>' || chr(10) || '  a  b' || chr(10) || '</pre> <p> end') AS digest FROM pages""",
 }

@@ -63,7 +63,7 @@ def null_coalesce(spark, d):
 
 
 def inner_join_two_keys(spark, d):
-    customers = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name").distinct()
+    customers = table(spark, d, "customer").select("c_custkey", "c_name").distinct()
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     joined = relational.join_keys(orders, customers, "o_custkey", "c_custkey")
     return joined.withColumn("price_cents", F.round(F.col("o_totalprice") * 100).cast("long"))
@@ -148,40 +148,68 @@ def melt(spark, d):
 
 
 def melt_skip_first(spark, d):
-    """Long rows in column-major order without the first."""
-    return melt(spark, d).orderBy("variable", "p_partkey").offset(1)
+    """Long rows without the first in column-major order."""
+    return shape.skip_first(melt(spark, d), "variable", "p_partkey")
 
 
 def fill_mean(spark, d):
     return shape.fill_rounded_mean(_gaps(spark, d).select("event_id", "value"), "value")
 
 
-def align_ffill_normalise(spark, d):
+def _search_and_prices(spark, d, *within):
+    """Two daily series of events with gaps: every third search and every fourth price is null."""
     events = table(spark, d, "events")
-    days = lambda kind: events.where(F.col("event_type") == kind).groupBy(F.to_date("ts").alias("day"))
-    search = days("view").agg((shape.exact_sum("value") / F.count("value")).alias("ratio")).where(F.dayofmonth("day") % 3 != 0)
-    prices = days("purchase").agg(F.max("value").alias("close"), shape.exact_sum("value").alias("volume")).withColumnRenamed("day", "trade_day").where(F.dayofmonth("trade_day") % 4 != 0)
-    prices = series.between_dates(prices, "trade_day", "2024-01-30", 60)
-    out = series.normalise_to_max(series.align(search, prices), "volume")
+    days = lambda kind, *more: events.where(F.col("event_type") == kind).groupBy(F.to_date("ts").alias("day"), *more)
+    user = [(F.col("user_id") % 5).alias(k) for k in within]
+    search = days("view", *user).agg((shape.exact_sum("value") / F.count("value")).alias("ratio"))
+    search = search.withColumn("ratio", F.when(F.dayofmonth("day") % 3 != 0, F.col("ratio")))
+    prices = days("purchase", *user).agg(F.max("value").alias("close"), shape.exact_sum("value").alias("volume")).withColumnRenamed("day", "trade_day")
+    there = F.dayofmonth("trade_day") % 4 != 0
+    prices = prices.withColumns({c: F.when(there, F.col(c)) for c in ("close", "volume")})
+    return search, series.between_dates(prices, "trade_day", "2024-01-30", 60)
+
+
+def align_ffill_normalise(spark, d):
+    out = series.normalise_to_max(series.align(*_search_and_prices(spark, d)), "volume")
     return out.select("key", "day", F.round("ratio", 6).alias("ratio"), "close", F.round("volume", 6).alias("volume"))
 
 
+def align_by_symbol(spark, d):
+    """The same for five symbols side by side: the fills and the maxima stay within each."""
+    out = series.align(*_search_and_prices(spark, d, "symbol"), keep_key=True, within=["symbol"])
+    out = series.normalise_to_max(out, "volume", within=["symbol"])
+    return out.select("symbol", "day", F.round("ratio", 6).alias("ratio"), "close", F.round("volume", 6).alias("volume"))
+
+
 def json_field(spark, d):
     k = F.from_json("props", "k int")["k"]
     return shape.count_by(table(spark, d, "events").select(k.alias("k")), "k")
 
 
 def json_series(spark, d):
-    """A nested document is made of daily means, then parsed and flattened again."""
-    events = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.max("value").alias("ratio"))
-    doc = events.select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.date_format("day", "yyyy-MM-dd").alias("period"), "ratio")).alias("data"))).alias("results"))).alias("json"))
-    return sources.json_series(doc, "json")
+    """A nested document of two groups is made of daily values; its first group is read back."""
+    return sources.json_series(_nested(spark, d), "json")
+
+
+def json_series_groups(spark, d):
+    return sources.json_series(_nested(spark, d), "json", group=None)
+
+
+def _nested(spark, d):
+    events = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.max("value").alias("high"), F.min("value").alias("low"))
+    of = lambda c: F.struct(F.array(F.struct(F.date_format("day", "yyyy-MM-dd").alias("period"), F.col(c).alias("ratio"))).alias("data"))
+    return events.select(F.to_json(F.struct(F.array(of("high"), of("low")).alias("results"))).alias("json"))
 
 
 def density(spark, d):
     return shape.density(table(spark, d, "events"), "value", GRID).select("x", F.round("density", 9).alias("density"))
 
 
+def density_by_group(spark, d):
+    """The curves of a violin plot, one an event type."""
+    return shape.density(table(spark, d, "events"), "value", GRID, ["event_type"]).select("event_type", "x", F.round("density", 9).alias("density"))
+
+
 def breakout_backtest(spark, d):
     return series.breakout(_bars(spark, d)).select("day", "open", "high", "low", "close", F.round("target", 6).alias("target"), F.round("factor", 6).alias("factor"))
 
@@ -226,14 +254,44 @@ def tag_posts(spark, d):
     return content.tag_posts(_tagged(spark, d), "p_partkey", "p_name")
 
 
+def sorted_tags(spark, d):
+    return content.sorted_tags(_tagged(spark, d))
+
+
+def post_keywords(spark, d):
+    return _tagged(spark, d).select("p_partkey", content.keywords(F.col("tags")).alias("keywords"), content.column_class(F.size("tags")).alias("class"))
+
+
+def list_entries(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.posexplode(content.split_list(F.col("p_name"))).alias("place", "entry"))
+
+
+def row_totals(spark, d):
+    df = table(spark, d, "part")
+    return df.select("p_partkey", relational.total(F.col("p_size").cast("double"), F.when(F.col("p_size") > 10, F.col("p_retailprice"))).alias("total"))
+
+
 def reading_time(spark, d):
-    return table(spark, d, "documents").select("doc_id", content.word_count(content.strip_html(F.col("text"))).alias("words"), content.reading_minutes(F.col("text")).alias("minutes"))
+    """Words of each text, counted once, and the minutes that they take."""
+    words = table(spark, d, "documents").select("doc_id", content.word_count(content.strip_html(F.col("text"))).alias("words"))
+    return words.select("doc_id", "words", content.minutes_of(F.col("words")).alias("minutes"))
 
 
-def post_listing(spark, d):
-    docs = table(spark, d, "documents").withColumn("project", F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 2 == 0))
+def _posts(spark, d):
+    """Documents as posts: those of one language are projects, those of another say that they are none."""
+    docs = table(spark, d, "documents").withColumn("project", F.when(F.col("lang") == "fr", True).when(F.col("lang") == "es", False))
     name = F.concat(F.lit("2021-09-"), F.lpad((F.col("doc_id") % 30 + 1).cast("string"), 2, "0"), F.lit("-post.md"))
-    return content.listing(docs).select("doc_id", content.first_text(F.col("source"), F.lit("site")).alias("title"), content.effective_date(F.when(F.col("doc_id") % 2 == 0, F.to_date(F.lit("2021-08-26"))), name).alias("date"))
+    date = content.effective_date(F.when(F.col("doc_id") % 2 == 0, F.to_date(F.lit("2021-08-26"))), name)
+    return docs.select("doc_id", content.first_text(F.col("source"), F.lit("site")).alias("title"), date.alias("date"), "project")
+
+
+def post_listing(spark, d):
+    posts = content.newest_first(content.listing(_posts(spark, d)), "date", "doc_id")
+    return posts.select("doc_id", "title", "date", content.date_text(F.col("date")).alias("shown"))
+
+
+def project_listing(spark, d):
+    return content.newest_first(content.listing(_posts(spark, d), project=True), "date", "doc_id").drop("project")
 
 
 def url_normalise(spark, d):
@@ -245,14 +303,21 @@ def html_elements(spark, d):
     return table(spark, d, "pages").select("page_id", content.title(html).alias("title"), F.size(content.links(html)).alias("links"), F.length(content.compress_html(content.strip_html(html))).alias("text_length"))
 
 
+def compressed_html(spark, d):
+    """Pages with a <pre> of their own text between: white space inside it stays."""
+    html = F.concat(F.col("html"), F.lit("<pre>\n  a  b\n</pre> \n <p>  end"))
+    return table(spark, d, "pages").select("page_id", F.md5(content.compress_html(html)).alias("digest"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         regex_brand_count, project_rename_swap, positional_projection, compare_filters, ratio_bands, null_coalesce, inner_join_two_keys,
         index_aligned_copy, union_outer_schema, distinct_rows, append_row, topk_nulls_last, dictionary_recode, patch_rows, count_by_ordered,
         global_mean_max, mean_by_x, every_fifth_year, quartiles_by_group, crosstab, null_profile, column_profile, distinct_values, melt,
-        melt_skip_first, fill_mean, align_ffill_normalise, json_field, json_series, density, breakout_backtest, drawdown, compound_return,
-        lead_lag_corr, region_shorten, marker_projection, unit_conversion, tag_counts, tag_posts, reading_time, post_listing, url_normalise,
-        html_elements,
+        melt_skip_first, fill_mean, align_ffill_normalise, align_by_symbol, json_field, json_series, json_series_groups, density,
+        density_by_group, breakout_backtest, drawdown, compound_return,
+        lead_lag_corr, region_shorten, marker_projection, unit_conversion, tag_counts, tag_posts, sorted_tags,
+        post_keywords, list_entries, row_totals, reading_time, post_listing, project_listing, url_normalise, html_elements, compressed_html,
     )
 }

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import csv
-import io
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 SERIES = "results array<struct<data: array<struct<period: string, ratio: double>>>>"
 
@@ -21,20 +19,38 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str
 
 
 def read_csv_in(spark: SparkSession, path: str, schema: str, encoding: str = "cp949") -> DataFrame:
-    """CSV with a header in a character set that Spark does not read. Each file is decoded by one task, whole: such
-    exports are small; convert large ones to UTF-8 first. Bytes that are not of the set raise; empty fields are null."""
-    files = spark.read.format("binaryFile").load(path).select("content")
-    names = spark.createDataFrame([], schema).columns
+    """CSV with a header in a character set that Spark does not read, one record a line, of files of any size.
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Spark splits files and cells as bytes (Latin-1), which suits every set in which commas, quotes and line ends are no
+    part of a longer character, as in CP949 and Shift JIS; Python then decodes batches of cells. Bytes that are not of
+    the set raise; empty fields are null.
+    """
+    if encoding.lower().replace("-", "").startswith(("utf16", "utf32")):
+        raise ValueError("Spark reads UTF-16 and UTF-32 itself: use read_csv")
+    target = spark.createDataFrame([], schema).schema
+    texts = StructType([StructField(f.name, StringType()) for f in target])
+    raw = spark.read.schema(texts).csv(path, header=True, encoding="ISO-8859-1", escape='"', enforceSchema=True, mode="FAILFAST")
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                rows = list(csv.reader(io.StringIO(bytes(content).decode(encoding))))[1:]
-                yield pd.DataFrame([[v or None for v in r] for r in rows if r], columns=names, dtype=object)
+            yield batch.map(lambda v: v.encode("latin-1").decode(encoding) if v else None)
+
+    return raw.mapInPandas(decode, texts).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target])
 
-    text = files.mapInPandas(parse, ", ".join(f"`{n}` string" for n in names))
-    target = spark.createDataFrame([], schema).schema
-    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target])
+
+def price_history(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, symbol: str | None = None) -> DataFrame:
+    """Date, Open, High, Low, Close, Volume of landed daily prices (CSV) from `start` to `end`, both included.
+
+    Bounds that are None are open; the end is a parameter, not the clock. With `symbol`, the files have a column Symbol
+    first, and only its rows are read. A malformed date or number raises.
+    """
+    columns = "Date date, Open double, High double, Low double, Close double, Volume long"
+    df = read_csv(spark, path, columns if symbol is None else f"Symbol string, {columns}")
+    if symbol is not None:
+        df = df.where(F.col("Symbol") == symbol).drop("Symbol")
+    if start is not None:
+        df = df.where(F.col("Date") >= F.lit(start).cast("date"))
+    return df if end is None else df.where(F.col("Date") <= F.lit(end).cast("date"))
 
 
 def read_two_row_header(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
@@ -46,11 +62,18 @@ def read_two_row_header(spark: SparkSession, path: str, names: Sequence[str]) ->
     return df.where(F.col(names[-1]).try_cast("double").isNotNull())
 
 
-def json_series(df: DataFrame, column: str) -> DataFrame:
-    """period date, ratio: {"results": [{"data": [{period, ratio}, …]}, …]} flattened. Malformed JSON gives no rows; a
-    malformed date raises."""
-    parsed = df.select(F.from_json(column, SERIES)["results"].alias("r"))
-    return parsed.select(F.inline(F.flatten(F.transform("r", lambda x: x["data"])))).select(F.to_date("period", "yyyy-MM-dd").alias("period"), "ratio")
+def json_series(df: DataFrame, column: str, group: int | None = 0) -> DataFrame:
+    """period date, ratio of {"results": [{"data": [{period, ratio}, …]}, …]}: the series of one group of `results`.
+
+    `group` is its place from 0, the first by default; None gives those of all groups, with their place as `group`.
+    Malformed JSON and a place that is not there give no rows; a malformed date raises.
+    """
+    results = df.select(F.from_json(column, SERIES)["results"].alias("r"))
+    if group is None:
+        rows = results.select(F.posexplode("r").alias("group", "x")).select("group", F.inline("x.data"))
+    else:
+        rows = results.select(F.inline(F.get("r", F.lit(group))["data"]))
+    return rows.withColumn("period", F.to_date("period", "yyyy-MM-dd"))
 
 
 def zip_series(df: DataFrame, period: str, first: str, second: str) -> DataFrame:
@@ -127,31 +150,56 @@ def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return pages.select(key, html).mapInPandas(parse, f"`{key}` {kind}, table_no int, row_no int, cells array<string>")
 
 
+def _file_name() -> Column:
+    """The name of the file that a row comes from; Spark has it percent-encoded, with plus signs as they are."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file")
+
+
+def _yaml_scalar(head: str, name: str) -> Column:
+    """Value of `name:` at the start of a line: quoted, or plain up to a comment; null where absent or empty."""
+    line = rf"""(?m)^[ \t]*{name}:[ \t]*(?:"([^"\n]*)"|'((?:[^'\n]|'')*)'|([^\n]*?))(?:[ \t]+#[^\n]*)?[ \t]*$"""
+    double, single, plain = (F.regexp_extract(head, line, k) for k in (1, 2, 3))
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in (double, F.replace(single, F.lit("''"), F.lit("'")), plain)])
+
+
+def _unquoted(item: Column) -> Column:
+    """An entry of a list without white space, a comment behind it, and the quotes around it."""
+    bare = F.trim(F.regexp_replace(item, r"""\A\s*("[^"]*"|'[^']*'|.*?)(?:\s+#.*)?\s*\z""", "$1"))
+    return F.regexp_replace(bare, r"""\A(["'])(.*)\1\z""", "$2")
+
+
 def front_matter(spark: SparkSession, path: str) -> DataFrame:
     """Markdown posts with YAML front matter: file, layout, title, date, excerpt, tags, comments, project, body.
 
-    Scalars, inline lists and indented lists are read, as posts use them; keys that are absent are null, and text
-    without front matter is body alone.
+    Scalars, inline lists and lists of a line an entry are read, as posts use them, quoted or plain, without the comments
+    behind them; a quoted entry may hold a comma. Keys that are absent are null, and text without front matter is body
+    alone. `file` is the file's own name, blanks and all.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1).alias("file"), F.col("value"))
+    raw = spark.read.text(path, wholetext=True).select(_file_name(), F.col("value"))
     head = F.regexp_extract("value", r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)", 1)
     df = raw.select("file", head.alias("head"), F.regexp_replace("value", r"(?s)\A---\s*\n.*?\n---\s*(?:\n|\z)", "").alias("body"))
-
-    def scalar(name: str):
-        found = F.regexp_extract("head", rf"(?m)^{name}:[ \t]*(.*?)[ \t]*$", 1)
-        return F.nullif(F.regexp_replace(found, "^[\"']|[\"']$", ""), F.lit(""))
-
-    inline = F.regexp_extract("head", r"(?m)^tags?:[ \t]*\[(.*?)\]", 1)
+    scalar = lambda name: _yaml_scalar("head", name)
+    inline = F.regexp_extract("head", r"""(?m)^tags?:[ \t]*\[((?:"[^"\n]*"|[^\]"\n])*)\]""", 1)
+    entries = F.regexp_extract_all(inline, F.lit(r"""\s*("[^"]*"|'[^']*'|[^,]+)\s*(?:,|$)"""), F.lit(1))
     block = F.regexp_extract("head", r"(?m)^tags?:[ \t]*\n((?:[ \t]*-[ \t]*.*(?:\n|\z))+)", 1)
     lines = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*-[ \t]*(.*?)[ \t]*$"), F.lit(1))
-    tags = F.when(inline != "", F.split(inline, r"\s*,\s*")).when(block != "", lines).otherwise(F.array().cast("array<string>"))
-    tags = F.transform(tags, lambda t: F.regexp_replace(F.trim(t), "^[\"']|[\"']$", ""))
+    tags = F.when(inline != "", entries).when(block != "", lines).otherwise(F.array().cast("array<string>"))
     return df.select(
         "file", scalar("layout").alias("layout"), scalar("title").alias("title"), F.to_date(F.substring(scalar("date"), 1, 10)).alias("date"), scalar("excerpt").alias("excerpt"),
-        tags.alias("tags"), (scalar("comments") == "true").alias("comments"), (scalar("project") == "true").alias("project"), "body",
+        F.transform(tags, _unquoted).alias("tags"), (scalar("comments") == "true").alias("comments"), (scalar("project") == "true").alias("project"), "body",
     )
 
 
+def yaml_table(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """file, place and the named columns of YAML files that hold a list of flat mappings, an entry a row from place 0.
+
+    Keys that an entry lacks are null. Comments and the order of keys do no harm; nested values are not read.
+    """
+    raw = spark.read.text(path, wholetext=True).select(_file_name(), F.split("value", r"(?m)^-[ \t]+", -1).alias("parts"))
+    rows = raw.select("file", F.posexplode(F.slice("parts", F.lit(2), F.greatest(F.size("parts") - 1, F.lit(0)))).alias("place", "entry"))
+    return rows.select("file", "place", *[_yaml_scalar("entry", n).alias(n) for n in names])
+
+
 def feed_entries(spark: SparkSession, path: str) -> DataFrame:
     """title, link, published of the items of a landed RSS file."""
     return spark.read.schema("title string, link string, pubDate string").format("xml").option("rowTag", "item").load(path).select("title", "link", F.col("pubDate").alias("published"))

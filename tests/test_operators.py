@@ -122,3 +122,60 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "k int, s string, v double, tags array<string>")
     assert shape.count_by(df, "s").count() == 0 and shape.profile(df).count() == 4 and content.tag_counts(df).count() == 0
     assert shape.fill_rounded_mean(df, "v").count() == 0 and series.lagged_correlation(df.withColumn("day", F.col("k")), "v", "v", [0, 1]).count() == 2
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", None]), st.one_of(st.none(), st.integers(-5, 5).map(float))), max_size=60))
+def test_quartiles_equal_the_built_in_percentile(spark, rows):
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = shape.quartiles(df.repartition(3), "k", value="v")
+    want = df.where("v is not null").groupBy("k").agg(*[F.percentile("v", p).alias(n) for p, n in shape.QUARTILES])
+    assert sorted(values(got, "k", "q1", "median", "q3"), key=str) == sorted(values(want, "k", "q1", "median", "q3"), key=str)
+
+
+def test_quartiles_without_keys(spark):
+    assert values(shape.quartiles(spark.range(0, 1001, numPartitions=5), value="id"), "q1", "median", "q3") == [(250.0, 500.0, 750.0)]
+
+
+def test_density_by_group_is_the_density_of_each_group(spark):
+    df = spark.createDataFrame([("a", float(i % 7)) for i in range(40)] + [("b", 2.0), ("b", 5.0), ("c", 1.0), (None, 3.0), ("a", None), ("a", float("nan"))], "k string, v double")
+    got = values(shape.density(df, "v", [0.0, 3.0], ["k"]), "k", "x", "density")
+    for k in ("a", "b", "c"):
+        alone = values(shape.density(df.where(F.col("k") == k), "v", [0.0, 3.0]), "x", "density")
+        mine = sorted((x, d) for g, x, d in got if g == k)
+        assert all(d == pytest.approx(e) if e is not None else d is None for (_, d), (_, e) in zip(mine, sorted(alone), strict=True))
+    assert {g for g, _, _ in got} == {"a", "b", "c"}
+
+
+def test_pre_is_kept_and_the_rest_compressed(spark):
+    page = "<p> a  \n b <!-- x\ny --><PRE class=x>\n  1  <!-- kept -->\n</PRE>\n\n c<pre>2\n\n3</pre><prefix>  d</prefix><pre>  open"
+    df = spark.createDataFrame([(page,), (None,), ("",)], "h string")
+    assert [r[0] for r in df.select(content.compress_html(F.col("h"))).collect()] == ["<p> a b <PRE class=x>\n  1  <!-- kept -->\n</PRE> c<pre>2\n\n3</pre><prefix> d</prefix><pre>  open", None, ""]
+
+
+def test_listings_are_ordered_and_texts_made(spark):
+    df = spark.createDataFrame([(1, "2021-09-14"), (2, None), (3, "2021-10-01"), (4, "2021-09-14")], "id int, d string").withColumn("d", F.to_date("d"))
+    assert values(content.newest_first(df, "d", "id"), "id") == [(3,), (1,), (4,), (2,)]
+    assert values(df.orderBy("id").select(content.date_text(F.col("d")).alias("t")), "t") == [("14 Sep 2021",), (None,), ("01 Oct 2021",), ("14 Sep 2021",)]
+    tags = spark.createDataFrame([(["b", "a"],), (["a", "Z"],), ([],), (None,)], "tags array<string>")
+    assert values(content.sorted_tags(tags), "tag", "posts") == [("Z", 1), ("a", 2), ("b", 1)]
+    assert values(tags.select(content.keywords(F.col("tags")).alias("k")), "k") == [("b, a",), ("a, Z",), (None,), (None,)]
+    n = spark.createDataFrame([(1,), (2,), (3,), (7,), (None,)], "n int")
+    assert values(n.select(content.column_class(F.col("n")).alias("c")), "c") == [("",), ("half",), ("third",), ("",), ("",)]
+
+
+def test_skip_first_and_totals_and_renames(spark):
+    df = spark.createDataFrame([("x", 2), ("a", 9), ("a", 3)], "k string, v int")
+    assert sorted(values(shape.skip_first(df, "k", "v"), "k", "v")) == [("a", 9), ("x", 2)] and shape.skip_first(df.limit(0), "k", "v").count() == 0
+    both = spark.createDataFrame([(1, 2), (None, 2)], "a int, b int")
+    assert values(both.select(relational.total(F.col("a"), F.col("b")).alias("t")), "t") == [(3,), (None,)]
+    assert relational.rename_by(both, str.upper).columns == ["A", "B"]
+    with pytest.raises(ValueError):
+        relational.rename_by(both, lambda c: "z")
+
+
+def test_align_keeps_symbols_apart(spark):
+    search = spark.createDataFrame([("p", 1, 5.0), ("q", 2, 7.0)], "s string, day int, ratio double")
+    prices = spark.createDataFrame([("p", 2, 1.0), ("q", 1, 3.0)], "s string, trade_day int, close double")
+    got = sorted(values(series.align(search, prices, within=["s"]), "s", "key", "day", "ratio", "close"), key=str)
+    assert got == [("p", 1, 1, 5.0, None), ("p", 2, 1, 5.0, 1.0), ("q", 1, None, None, 3.0), ("q", 2, 2, 7.0, 3.0)]

@@ -11,6 +11,38 @@ def test_csv_in_another_character_set(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("우성8차", 3), ("한신", None)]
 
 
+def test_csv_in_another_character_set_splits_and_keeps_odd_cells(spark, tmp_path):
+    rows = [(f"개포우성{i}차, 동", i) for i in range(3000)] + [('따옴표 "안" 값', 7), ("끝\\", None)]
+    text = "이름,값\n" + "".join('"{}",{}\n'.format(n.replace('"', '""'), "" if v is None else v) for n, v in rows)
+    (tmp_path / "b.csv").write_bytes(text.encode("cp949"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = sources.read_csv_in(spark, str(tmp_path / "b.csv"), "name string, v int")
+        assert df.rdd.getNumPartitions() > 1 and sorted(map(tuple, df.collect()), key=str) == sorted(rows, key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "c.csv").write_bytes(b"a,b\n\xff\xff,1\n")
+    with pytest.raises(Exception, match="decode"):
+        sources.read_csv_in(spark, str(tmp_path / "c.csv"), "a string, b int").collect()
+
+
+def test_price_history_keeps_to_its_bounds(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("Symbol,Date,Open,High,Low,Close,Volume\n" + "".join(f"{s},2021-04-{d:02},1,2,0.5,{d},{d * 10}\n" for s in ("052300", "000001") for d in range(1, 31)))
+    rows = sources.price_history(spark, str(tmp_path / "p.csv"), "2021-04-03", "2021-04-05", "052300").orderBy("Date").collect()
+    assert [(str(r.Date), r.Close, r.Volume) for r in rows] == [(f"2021-04-0{d}", float(d), d * 10) for d in (3, 4, 5)]
+    (tmp_path / "q.csv").write_text("Date,Open,High,Low,Close,Volume\n2021-04-01,1,1,1,1,1\n")
+    assert sources.price_history(spark, str(tmp_path / "q.csv")).count() == 1 and sources.price_history(spark, str(tmp_path / "q.csv"), start="2021-04-02").count() == 0
+
+
+def test_yaml_table(spark, tmp_path):
+    (tmp_path / "n.yml").write_text("# links\n\n- title: Projects\n  url: /projects/\n- url: '/it''s/' # there\n- title: \"A: b\"\n  other: x\n")
+    rows = sources.yaml_table(spark, str(tmp_path / "n.yml"), ["title", "url"]).orderBy("place").collect()
+    assert [tuple(r) for r in rows] == [("n.yml", 0, "Projects", "/projects/"), ("n.yml", 1, None, "/it's/"), ("n.yml", 2, "A: b", None)]
+    (tmp_path / "e.yml").write_text("# nothing\n")
+    assert sources.yaml_table(spark, str(tmp_path / "e.yml"), ["title"]).count() == 0
+
+
 def test_declared_schema_raises_on_malformed_numbers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("n,v\nx,1\ny,zz\n")
     with pytest.raises(Exception, match="zz|MALFORMED"):
@@ -38,6 +70,22 @@ def test_front_matter(spark, tmp_path):
     assert rows["q.md"]["tags"] == ["one", "two"] and rows["r.md"]["body"] == "bare" and rows["r.md"]["title"] is None
 
 
+def test_front_matter_with_blanks_commas_and_comments(spark, tmp_path):
+    (tmp_path / "2021-09-14-Coffee shop.md").write_text('---\nlayout: post # fixed\ntitle:  "One # two"\ntag: ["a, b", c d, \'e, f\', don\'t]\nexcerpt: it\'s #1\n---\nx')
+    (tmp_path / "s+1 ü%20.md").write_text("---\ntitle: 'it''s'\ntag:\n- Seoul Map\n- \"x, y\" # both\nproject: false\n---\n")
+    rows = {r["file"]: r for r in sources.front_matter(spark, str(tmp_path)).collect()}
+    r = rows["2021-09-14-Coffee shop.md"]
+    assert (r["layout"], r["title"], r["tags"], r["excerpt"]) == ("post", "One # two", ["a, b", "c d", "e, f", "don't"], "it's")
+    assert (rows["s+1 ü%20.md"]["title"], rows["s+1 ü%20.md"]["tags"], rows["s+1 ü%20.md"]["project"]) == ("it's", ["Seoul Map", "x, y"], False)
+
+
+def test_series_of_one_group_or_all(spark):
+    doc = spark.createDataFrame([('{"results":[{"data":[{"period":"2021-01-02","ratio":1.5}]},{"data":[{"period":"2021-01-03","ratio":2.5}]}]}',), ('{"results":[]}',), (None,)], "json string")
+    told = lambda **k: sorted((str(r.period), r.ratio) for r in sources.json_series(doc, "json", **k).collect())
+    assert told() == [("2021-01-02", 1.5)] and told(group=1) == [("2021-01-03", 2.5)] and told(group=2) == []
+    assert sorted((r.group, r.ratio) for r in sources.json_series(doc, "json", group=None).collect()) == [(0, 1.5), (1, 2.5)]
+
+
 def test_series_feed_and_status(spark, tmp_path):
     doc = spark.createDataFrame([('{"results":[{"data":[{"period":"2021-01-02","ratio":1.5}]}]}',), ("{",)], "json string")
     assert [(str(r.period), r.ratio) for r in sources.json_series(doc, "json").collect()] == [("2021-01-02", 1.5)]
