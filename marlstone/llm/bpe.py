@@ -20,10 +20,10 @@ from .common import map_slices
 
 #: Bytes of a word up to which the plain scan is used.
 SHORT = 64
-#: Rows that a task encodes at once: enough for words of equal length to fill an array.
-ROWS = 1024
+#: Rows and bytes that a task encodes at once: enough for words of equal length to fill an array.
+ROWS, BYTES = 1024, 1 << 21
 #: Distinct words that a task remembers; beyond that it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NONE = np.iinfo(np.int32).max
 #: Marks before units; lone surrogates, which no UTF-8 text has.
 _WHOLE, _SPECIAL = "\ud800", "\ud801"
@@ -276,7 +276,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, keep_text: bool = Tru
 
         return fn
 
-    return map_slices(docs.select(*kept, *(["text"] if "text" not in kept else [])), make, f"{schema}token_ids array<int>, n_tokens long", rows=ROWS)
+    return map_slices(docs.select(*kept, *(["text"] if "text" not in kept else [])), make, f"{schema}token_ids array<int>, n_tokens long", rows=ROWS, limit=BYTES)
 
 
 def decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -297,4 +297,4 @@ def decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         return fn
 
-    return map_slices(docs, make, f"{schema}decoded string")
+    return map_slices(docs, make, f"{schema}decoded string", limit=BYTES)

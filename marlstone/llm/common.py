@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,15 +12,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python task holds at once; a slice of an Arrow batch.
-SLICE = 256
+#: Rows that a Python task works on at once, and the bytes that they have together; a longer row is a slice of its own.
+SLICE, SLICE_BYTES = 256, 1 << 19
+#: Bytes of an Arrow batch between Spark and Python, where the session leaves Spark's own default of 64 MB.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that start outside its folder. Does nothing the second time."""
+    """Make this package importable on executors that start outside its folder; the second time, that is left as it is.
+
+    A session whose Arrow batches have Spark's default size gets batches of BATCH_BYTES: texts are long.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if (spark.conf.get(size, None) or "").rstrip("b") == str(64 << 20):
+        spark.conf.set(size, str(BATCH_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_marlstone_shipped", False):
         return
@@ -35,15 +45,32 @@ def ship(spark: SparkSession) -> None:
     sc._marlstone_shipped = True
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = SLICE) -> DataFrame:
-    """df.mapInArrow over slices of at most `rows` rows. `make` runs once a task and returns the function of a slice."""
+def slices(batch: pa.RecordBatch, rows: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """`batch` in consecutive slices of at most `rows` rows and `limit` bytes of variable width, or of one row."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        kind = column.type
+        if pa.types.is_string(kind) or pa.types.is_binary(kind):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(kind):
+            size += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + limit, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = SLICE, limit: int = SLICE_BYTES) -> DataFrame:
+    """df.mapInArrow over slices of at most `rows` rows and `limit` bytes. `make` runs once a task and returns the function of a slice."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = fn(batch.slice(at, rows))
+            for part in slices(batch, rows, limit):
+                out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 
@@ -53,12 +80,14 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
 def shared_dir(spark: SparkSession) -> str:
     """A new folder for written tables below spark.checkpoint.dir, which driver and executors share.
 
-    Where that setting is absent (single-machine tests), a folder of our own is set.
+    Where that setting is absent, a local master (tests) gets a folder of its own; any other raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
@@ -68,7 +97,23 @@ def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and the loss of an executor costs nothing already written."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing lazy reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column of `taken` is called so."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = "_" + name
+    return name
 
 
 def bucket_of(doc_id: Column, n: int) -> Column:

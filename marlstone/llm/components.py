@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,15 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges do no harm, null ends are passed over. No edges give no rows. Rounds grow with the
     logarithm of the longest path; a node of many neighbours is aggregated before it is shuffled and joined in splits.
+    The result reads the last round's table, the only one that stays.
     """
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
     while True:
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == seen or not now[0]:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        seen, edges = now, written(_small(_large(edges)))
+            out = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+            out.stored_at = edges.stored_at
+            return out
+        before, seen, edges = edges, now, written(_small(_large(edges)))
+        forget(before)

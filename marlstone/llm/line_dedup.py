@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, map_slices, ship, written
+from .common import ascii_lower, forget, fresh, map_slices, ship, written
 
 #: What counts as blank at a line's ends: [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
@@ -102,7 +102,9 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, par
     rows = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "place")
     order = ["h1", "h2", F.desc("doc_id"), "place"]
     n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(rows)  # the bounds of the ranges are sampled from it, so texts are split once
     told = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(lambda it: _stream(min_docs, it), _OUT))
+    forget(rows)
 
     runs = told.where("place = -1")  # at most two a partition
     beside = Window.partitionBy("h1", "h2").orderBy("part")
@@ -153,17 +155,19 @@ def keep_lines(text: str, bitmap: bytes | None) -> tuple[str, int, int]:
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Every row of `docs` with its text reduced to the kept lines, plus n_lines (before) and n_dropped.
 
-    Null and empty texts are one empty line and come back empty. Columns named n_lines or n_dropped are replaced.
-    The join is by doc_id and digest; text is shuffled once.
+    Null and empty texts are one empty line and come back empty. Columns named n_lines or n_dropped are replaced; all
+    others stay, whatever their names. The join is by doc_id and digest; text is shuffled once.
     """
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "bitmap", "text_digest", "text")]
-    keyed = docs.select(*kept, "text", F.shiftright(_place(F.col("text"), F.lit(0)), 32).alias("text_digest"))
-    joined = keyed.join(bitmaps.select("doc_id", "text_digest", "bitmap"), ["doc_id", "text_digest"], "left").select(*kept, "text", "bitmap")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "text")]
+    digest, bitmap = fresh("text_digest", kept), fresh("bitmap", kept)
+    keyed = docs.select(*kept, "text", F.shiftright(_place(F.col("text"), F.lit(0)), 32).alias(digest))
+    maps = bitmaps.select("doc_id", F.col("text_digest").alias(digest), F.col("bitmap").alias(bitmap))
+    joined = keyed.join(maps, ["doc_id", digest], "left").select(*kept, "text", bitmap)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + ["text string, n_lines long, n_dropped long"])
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = [keep_lines(t or "", b) for t, b in zip(batch.column("text").to_pylist(), batch.column("bitmap").to_pylist(), strict=True)]
+            out = [keep_lines(t or "", b) for t, b in zip(batch.column("text").to_pylist(), batch.column(bitmap).to_pylist(), strict=True)]
             text, n, gone = zip(*out, strict=True)
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(text, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], [*kept, "text", "n_lines", "n_dropped"])
 

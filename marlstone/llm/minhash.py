@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, mix64, mixer, written
+from .common import forget, map_slices, mix64, mixer, written
 from .components import connected
 
 #: Registers of a sketch: 2**P buckets; bits of mantissa kept beside the leading-zero count.
@@ -29,13 +29,17 @@ SLACK = 6.5
 #: Expected random collisions of two registers, times 2**MANTISSA, for sets of equal size (a constant of the published analysis).
 COLLISIONS = 0.169919487159739093975315012348630288992889
 _EMPTY = np.uint16(0xFFFF)
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 17
+#: Sets that meet over one shingle in one task, at most (on average): more are dealt out over shards.
+SHARD = 512
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
 _PRIME = 0x9E3779B97F4A7C15
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of _PRIME and of its inverse modulo 2**64."""
     up = np.cumprod(np.full(n, _PRIME, np.uint64))
@@ -44,17 +48,26 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, A-Z lower-cased, and the number of words of each text."""
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, A-Z lower-cased, and the number of words of each text.
+
+    Words are hashed in runs of about PIECE bytes, which bounds the memory beside the texts and their words.
+    """
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = _LOWER[np.frombuffer(b" ".join(parts) + b" ", np.uint8)]
     begins = np.cumsum([0, *[len(p) + 1 for p in parts]])
-    blank = _BLANK[data]
-    edge = np.flatnonzero(np.diff(blank.astype(np.int8), prepend=1))
+    edge = np.flatnonzero(np.diff(_BLANK[data].astype(np.int8), prepend=1))
     start, end = edge[::2], edge[1::2]
-    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mixer(9)[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[end] - sums[start]) * down[start]), np.diff(np.searchsorted(start, begins))
+    out, k = np.empty(len(start), np.uint64), 0
+    while k < len(start):
+        stop = max(k + 1, int(np.searchsorted(end, start[k] + PIECE, "right")))
+        low, high = start[k], end[stop - 1]
+        up, down = _powers(max(PIECE, 1 << int(high - low).bit_length()))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(mixer(9)[data[low:high]] * up[: high - low], out=sums[1:])
+        a, b = start[k:stop] - low, end[k:stop] - low
+        out[k:stop] = mix64((sums[b] - sums[a]) * down[a])
+        k = stop
+    return out, np.diff(np.searchsorted(start, begins))
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -237,13 +250,18 @@ def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     rarest = Window.partitionBy("node", "own").orderBy("df", "h")
     ranked = rows.join(common, "h", "left").withColumn("df", F.coalesce("df", F.lit(1).cast("long"))).withColumn("r", F.row_number().over(rarest))
     prefix = written(ranked.where(f"r <= n - (n * {int(percent)} + 99) div 100 + 1 and df > 1").select("h", "node", "n", "c", "r"))
-    heads = prefix.groupBy("h").agg(F.min_by("c", "node").alias("l"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("h", "l")
-    met = prefix.join(heads, "h")
-    x, y = met.where("c <> l").alias("x"), met.alias("y")
+    forget(rows)
+    heads = prefix.groupBy("h").agg(F.min_by("c", "node").alias("l"), F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
+    met = prefix.join(heads.select("h", "l", F.ceil(F.col("m") / SHARD).cast("int").alias("shards")), "h")
+    # of a frequent shingle, one side is dealt out over shards and the other goes to each of them
+    x = met.where("c <> l").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).alias("x")
+    y = met.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).alias("y")
     # what two sets share begins with their first common shingle in this order; there, enough of both must be left
     left = f"(least(x.n - x.r, y.n - y.r) + 1) * {100 + int(percent)} >= (x.n + y.n) * {int(percent)}"
-    pairs = x.join(y, "h").where(f"x.c <> y.c and (y.c = y.l or x.node < y.node) and {left}")
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = x.join(y, ["h", "shard"]).where(f"x.c <> y.c and (y.c = y.l or x.node < y.node) and {left}")
+    pairs = written(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
+    forget(prefix)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -266,7 +284,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     shared = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(bands.join(shared, "bucket").where("node <> leader"))
     to_leader = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(_verified(written(_estimated(to_leader, nodes, percent)), docs, width, percent))
+    likely = written(_estimated(to_leader, nodes, percent))
+    links = written(_verified(likely, docs, width, percent))
 
     # buckets in which the leader does not reach all members: what they hold is compared across components
     reached = connected(links)
@@ -274,13 +293,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     placed = members.where("size > 2").join(of("node", "c"), "node", "left").join(of("leader", "l"), "leader", "left")
     placed = written(placed.select("bucket", "node", "leader", F.coalesce("c", "node").alias("c"), F.coalesce("l", "leader").alias("l")))
     contested = placed.join(placed.where("c <> l").select("bucket").distinct(), "bucket")
-    contested = contested.select("node", "c").unionByName(contested.select(F.col("leader").alias("node"), F.col("l").alias("c"))).distinct()
-    cross = _cross(written(contested), docs, width, percent).join(to_leader, ["a", "b"], "left_anti")
-    cross = written(_estimated(cross, nodes, percent))
-    edges = links.unionByName(copies)
-    if not cross.isEmpty():
-        edges = edges.unionByName(written(_verified(cross, docs, width, percent)))
-    comps = connected(edges).select(F.col("node").alias("doc_id"), "component")
+    contested = written(contested.select("node", "c").unionByName(contested.select(F.col("leader").alias("node"), F.col("l").alias("c"))).distinct())
+    met = _cross(contested, docs, width, percent)
+    cross = written(_estimated(met.join(to_leader, ["a", "b"], "left_anti"), nodes, percent))
+    across = written(_verified(cross, docs, width, percent))
+    linked = connected(links.unionByName(copies).unionByName(across))
+    forget(likely, links, reached, placed, contested, met, cross, across, members, nodes)
+    comps = linked.select(F.col("node").alias("doc_id"), "component")
     out = sketches.select("doc_id", "n_shingles").join(comps, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
