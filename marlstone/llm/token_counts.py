@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import map_slices
+from .common import map_slices, written
 
 #: Lengths in a block: suffix sums run within blocks and over the blocks' totals.
-BLOCK = 4096
+BLOCK = 256
 
 
 def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         encoder = bpe.load(path)
         return lambda batch: pa.RecordBatch.from_arrays([pa.array([len(r) // 4 for r in encoder.encode(batch.column(0).to_pylist())], pa.int64())], ["n_tokens"])
 
-    return map_slices(docs.select("text"), make, "n_tokens long", rows=bpe.ROWS)
+    return map_slices(docs.select("text"), make, "n_tokens long", rows=bpe.ROWS, limit=bpe.BYTES)
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
@@ -59,5 +59,8 @@ def at_limit(histogram: DataFrame, limit: int) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """context_limits of the lengths of all texts of `docs`. Ids, ties and repeated rows play no part: each row counts."""
-    return context_limits(length_histogram(token_lengths(docs, vocabulary)))
+    """context_limits of the lengths of all texts of `docs`. Ids, ties and repeated rows play no part: each row counts.
+
+    The histogram, which has a row for each length that occurs, is written once: its two uses don't encode twice.
+    """
+    return context_limits(written(length_histogram(token_lengths(docs, vocabulary))))
