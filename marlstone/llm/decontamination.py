@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 WINDOW, MATCHES = 13, 11
 #: Word positions that each mask looks at; the others may differ.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
-#: Word positions of the benchmark up to which its seeds are broadcast; beyond it, they are joined by a shuffle.
+#: Words of the benchmark up to which its seeds are broadcast (about 45 MB); beyond it, they are joined by a shuffle.
 BROADCAST_WORDS = 100_000
+#: Parts into which each seed of the documents is dealt in that shuffle; the benchmark's go to every part.
+SALTS = 16
 #: What separates words, as a regular expression.
 BREAKS = r"[^\p{L}\p{N}\p{M}]+"
 
@@ -29,8 +31,14 @@ def words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BREAKS, " ")), " ")
 
 
-def _seeds(table: DataFrame, at: Column, size: Column) -> DataFrame:
+def _hashed(text: Column) -> Column:
+    """64-bit hashes of the words: what is compared from here on. Unlike words share one with a chance of 5e-20."""
+    return F.transform(words(text), lambda w: F.xxhash64(w))
+
+
+def _seeds(table: DataFrame) -> DataFrame:
     """`table` (with words) and one row for each place and mask: the place as `at`, the hash as `seed`."""
+    at, size = F.col("at"), F.size("words")
     # outer, for a filter on the words would be pushed below what makes them, and make them twice
     places = F.when(size >= WINDOW, F.sequence(F.lit(0), size - _SPAN))
     placed = table.withColumn("at", F.explode_outer(places)).where(F.col("at").isNotNull())
@@ -41,29 +49,44 @@ def _seeds(table: DataFrame, at: Column, size: Column) -> DataFrame:
     return placed.withColumn("seed", F.explode(F.array(*hashes))).where(F.col("seed").isNotNull())
 
 
+def _met(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """doc_id, words, at, item_id, near of the places that share a seed, for a benchmark too large to broadcast.
+
+    Only ids, places and seeds of the documents are shuffled, a seed in SALTS parts, so that a passage that many
+    documents share is not one task's; what meets is joined with the words again.
+    """
+    keyed = texts.withColumn("key", F.xxhash64("words"))  # rows of one doc_id may have several texts
+    slim = _seeds(keyed).select("doc_id", "key", "at", "seed", F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS)).cast("int").alias("salt"))
+    spread = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # sizes are not guessed from the small tables that all this is made of: both joins sort
+    met = slim.join(spread.hint("merge"), ["seed", "salt"]).select("doc_id", "key", "at", "item_id", "near").distinct()
+    return met.join(keyed.hint("merge"), ["doc_id", "key"]).select("doc_id", "words", "at", "item_id", "near")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, best_match int: one row for each document and item that it leaks.
 
     best_match is the most agreeing words of any window of 13.
     Documents or items of fewer than 13 words are too short for a leak; null ids, null and empty texts have none.
     Rows that repeat an id are one document (or item) with several texts: their leaks add up. Very long texts are
-    searched whole; other columns are not read. Only confirmed hits are shuffled, and those are summed up first.
+    searched whole; other columns are not read. With a benchmark of up to BROADCAST_WORDS words, only confirmed hits
+    are shuffled, and those are summed up first.
     """
-    items = benchmark.select(F.col("item_id"), words(F.col("text")).alias("words")).where(F.col("item_id").isNotNull())
-    near = F.transform(F.sequence(F.lit(-_BACK), F.lit(WINDOW - 1)), lambda j: F.get("words", F.col("at") + j))
+    items = benchmark.select(F.col("item_id"), _hashed(F.col("text")).alias("words")).where(F.col("item_id").isNotNull())
     at = F.col("at")
-    seeds = _seeds(items, at, F.size("words")).select("seed", "item_id", near.alias("near")).distinct()
+    near = F.transform(F.sequence(F.lit(-_BACK), F.lit(WINDOW - 1)), lambda j: F.get("words", at + j))
+    seeds = _seeds(items).select("seed", "item_id", near.alias("near")).distinct()
     n_words = items.where(F.size("words") >= WINDOW).agg(F.sum(F.size("words"))).first()[0] or 0
-    if n_words <= BROADCAST_WORDS:
-        seeds = F.broadcast(seeds)
-
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", words(F.col("text")).alias("words"))
-    hits = _seeds(texts, at, F.size("words")).join(seeds, "seed")
-    agree = {j: F.coalesce((F.get("words", at + j) == F.get("near", F.lit(j + _BACK))).cast("int"), F.lit(0)) for j in range(-_BACK, WINDOW)}
-    hits = hits.select("doc_id", "item_id", *[agree[j].alias(f"_{j + _BACK}") for j in agree])
-    sums = [reduce(lambda a, b: a + b, [F.col(f"_{o + k}") for k in range(WINDOW)]) for o in range(_BACK + 1)]
-    scored = hits.select("doc_id", "item_id", F.greatest(*sums).alias("m")).where(F.col("m") >= MATCHES)
-    return scored.groupBy("doc_id", "item_id").agg(F.max("m").alias("best_match"))
+
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", _hashed(F.col("text")).alias("words"))
+    hits = _seeds(texts).join(F.broadcast(seeds), "seed") if n_words <= BROADCAST_WORDS else _met(texts, seeds)
+    # bit k of `mask`: word at - _BACK + k agrees. The largest count is filtered only once it is summed up: as a condition
+    # of the join, it would be part of the code that each seed runs through, and too long for the JVM to compile
+    same = [F.get("words", at + k - _BACK) == F.get("near", F.lit(k)) for k in range(_BACK + WINDOW)]
+    mask = reduce(lambda x, y: x.bitwiseOR(y), [F.when(v, 1 << k).otherwise(0) for k, v in enumerate(same)])
+    hits = hits.select("doc_id", "item_id", mask.alias("mask"))
+    agreeing = [F.bit_count(F.shiftright("mask", o).bitwiseAND(F.lit((1 << WINDOW) - 1))) for o in range(_BACK + 1)]
+    return hits.groupBy("doc_id", "item_id").agg(F.max(F.greatest(*agreeing)).alias("best_match")).where(F.col("best_match") >= MATCHES)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
