@@ -3,6 +3,10 @@ probed list goes through blocks of columns, and a hypothesis test on the partial
 
 After t of d rotated columns, partial distance * d / t estimates the whole; a candidate is abandoned where that exceeds
 the query's bound by more than the factor (1 + ERROR / sqrt(t))**2. What survives is measured on the original vectors.
+
+Each query probes as many lists as it needs. Its nearest lists come first, until they hold more than k vectors; the k-th
+distance found there is its bound, and of the other lists only those follow that can hold anything within it: a list
+whose centre is further away than the bound and the list's own radius together is passed over.
 """
 
 from __future__ import annotations
@@ -11,70 +15,76 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_slices, ship, written
+from ..storage import forget, written
+from .common import map_slices, ship
 
-#: Numbers in the sample that the index is fitted on, at most, and its vectors, at most.
-SAMPLE_VALUES, SAMPLE_ROWS = 1 << 20, 16_384
-#: Sampled vectors to a list, at least, and the lists that this allows at most.
-PER_LIST, MAX_LISTS = 16, 1024
+#: Numbers in the sample that the lists of a dimension are fitted on, at most, and its vectors, at most.
+SAMPLE_VALUES, SAMPLE_ROWS = 1 << 22, 1 << 16
+#: Sampled vectors to a list, at least, and the lists of a dimension, at most.
+PER_LIST, MAX_LISTS = 16, 4096
+#: Different dimensions beyond which a table is refused.
+MAX_DIMENSIONS = 64
 #: Columns of a block, and the test's factor.
 COLUMNS, ERROR = 16, 2.1
-#: Share of the true neighbours that probing must reach among the sample.
-RECALL = 0.95
 #: Vectors and queries that meet in one group, at most (on average, where ids are hashed).
 BLOCK, QUERY_BLOCK = 8192, 4096
 _SCANNED = 256
 
 
 @dataclass
-class Index:
+class Lists:
+    """The inverted lists of one dimension. Those of several are numbered on: the first one's number is `base`."""
+
+    base: int
     rotation: np.ndarray  # (d, d)
-    centers: np.ndarray  # (lists, d)
-    probes: int
-    sample_ids: np.ndarray
-    sample: np.ndarray  # (rows, d), original
-    sample_list: np.ndarray  # the list that each of them is in
+    centers: np.ndarray  # (lists, d), double
+    held: np.ndarray  # vectors in each list
+    radius: np.ndarray  # distance of each list's furthest vector from its centre; minus infinity for an empty list
 
 
 def _squares(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * q).sum(1)[:, None] - 2 * (q @ x.T) + (x * x).sum(1)
 
 
-def fit(ids: np.ndarray, sample: np.ndarray, total: int, k: int = 10, seed: int = 17) -> Index:
-    """Rotation, k-means centres and the number of lists to probe, all from the sample.
+def _own_list(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.concatenate([_squares(x[i : i + 2048], centers).argmin(1) for i in range(0, len(x), 2048)])
 
-    The lists are half the root of `total`, as far as the sample allows. As many of them are probed as hold, on average,
-    RECALL of the k nearest sampled neighbours of up to 256 sampled vectors.
-    """
+
+def fit(sample: np.ndarray, total: int, base: int = 0, seed: int = 17) -> Lists:
+    """Rotation and k-means centres from the sample; half the root of `total` lists, as far as the sample allows."""
     rng, (n, d) = np.random.default_rng(seed), sample.shape
     rotation = np.linalg.qr(rng.normal(size=(d, d)))[0].astype(np.float32)
     lists = int(max(1, min(total**0.5 / 2, n / PER_LIST, MAX_LISTS)))
     centers = sample[rng.choice(n, lists, replace=False)].copy()
-    for _ in range(10):
-        own = _squares(sample, centers).argmin(1)
+    for _ in range(10 if lists > 1 else 1):
+        own = _own_list(sample, centers)
         size = np.bincount(own, minlength=lists)
         sums = np.stack([np.bincount(own, sample[:, j], lists) for j in range(d)], 1)
         centers = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centers).astype(np.float32)
-    own, tried = _squares(sample, centers).argmin(1), np.arange(min(n, 256))
-    probes = lists
-    if n > k and lists > 1:
-        away = _squares(sample[tried], sample)
-        away[tried, tried] = np.inf
-        near = np.argpartition(away, k - 1, 1)[:, :k]
-        rank = np.argsort(np.argsort(_squares(sample[tried], centers), 1), 1)
-        at = np.sort(np.take_along_axis(rank, own[near], 1).ravel())
-        probes = int(at[min(len(at) - 1, int(np.ceil(RECALL * len(at))) - 1)]) + 1
-    return Index(rotation, centers, probes, ids, sample, own)
+    return Lists(base, rotation, centers.astype(np.float64), np.zeros(lists, np.int64), np.full(lists, -np.inf))
+
 
+def center_distances(lists: Lists, q: np.ndarray) -> np.ndarray:
+    """(queries, lists) distances from the centres, in double precision."""
+    return np.sqrt(np.maximum(0, _squares(q.astype(np.float64), lists.centers)))
 
-def probed_lists(away: np.ndarray, held: np.ndarray, probes: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lists by distance of their centres, and which of them each query probes: `probes`, or more until they hold more than k vectors."""
-    order = np.argsort(away, 1, kind="stable")
-    least = (np.cumsum(held[order], 1) <= k).sum(1) + 1  # more than k: the query may be among them
-    return order, np.arange(away.shape[1]) < np.maximum(probes, least)[:, None]
+
+def first_lists(lists: Lists, away: np.ndarray, k: int) -> np.ndarray:
+    """(queries, lists) booleans: the nearest lists, until they hold more than k vectors: the query may be among them."""
+    order = np.argsort(np.where(lists.held > 0, away, np.inf), 1, kind="stable")
+    before = np.cumsum(lists.held[order], 1) - lists.held[order]
+    first = np.zeros(away.shape, bool)
+    np.put_along_axis(first, order, (before <= k) & (lists.held[order] > 0), 1)
+    return first
+
+
+def other_lists(lists: Lists, away: np.ndarray, k: int, bound: np.ndarray) -> np.ndarray:
+    """(queries, lists) booleans: the lists besides first_lists that can hold a vector within the bound."""
+    slack = 1e-6 * (1 + away)
+    return (away - lists.radius - slack <= bound[:, None]) & (lists.held > 0) & ~first_lists(lists, away, k)
 
 
 def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -82,54 +92,46 @@ def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(((q.astype(np.float64) - x) ** 2).sum(1))
 
 
-def upper_bounds(index: Index, ids: np.ndarray, q: np.ndarray, open_: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distance within which each query has 2 k sampled neighbours in its probed lists; infinite where it has fewer.
+def scan(rotation: np.ndarray, q: np.ndarray, bound: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) pairs that survive all blocks of columns; a pair within the bound is abandoned with small chance only.
 
-    Also the ids and distances of these neighbours, a row a query; of no meaning where the bound is infinite. The query
-    itself is left out. Twice k, so that k are found even if the test should abandon one wrongly.
+    Vectors are taken relative to the candidates' mean; what rounding may still add to the first block is allowed for.
     """
-    k *= 2
-    if len(index.sample_ids) <= k:
-        return np.full(len(q), np.inf), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
-    away = _squares(q, index.sample)
-    away[ids[:, None] == index.sample_ids[None, :]] = np.inf
-    away[~open_[:, index.sample_list]] = np.inf
-    near = np.argpartition(away, k - 1, 1)[:, :k]
-    exact = _distances(np.repeat(q, k, 0), index.sample[near.ravel()]).reshape(near.shape)
-    return np.where(np.isinf(np.take_along_axis(away, near, 1)).any(1), np.inf, exact.max(1)), index.sample_ids[near], exact
-
-
-def scan(rotation: np.ndarray, q: np.ndarray, bound: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(query, candidate) pairs that survive all blocks of columns; a pair within the bound is abandoned with small chance only."""
+    mean = x.mean(0, dtype=np.float64)
+    q, x = ((v - mean).astype(np.float32) for v in (q, x))
     d, limit = x.shape[1], (bound * bound) * (1 + 1e-5)
     rq, columns = q @ rotation, np.ascontiguousarray((x @ rotation).T)
     t = min(COLUMNS, d)
-    first = _squares(rq[:, :t], columns[:t].T)
-    who, what = np.nonzero(first * (d / t) <= (limit * (1 + ERROR / t**0.5) ** 2)[:, None])
-    part = first[who, what]
+    first = np.maximum(0, _squares(rq[:, :t], columns[:t].T))
+    rounding = 1e-6 * ((rq[:, :t] ** 2).sum(1)[:, None] + (columns[:t] ** 2).sum(0))
+    who, what = np.nonzero((first - rounding) * (d / t) <= (limit * (1 + ERROR / t**0.5) ** 2)[:, None])
+    part = ((rq[who, :t] - columns[:t, what].T) ** 2).sum(1)
     while t < d:
         end = min(t + COLUMNS, d)
         part = part + ((rq[who, t:end] - columns[t:end, what].T) ** 2).sum(1)
         t = end
         factor = 1.0 if t == d else d / t / (1 + ERROR / t**0.5) ** 2
-        on = part * factor <= limit[who] * (1 + 1e-5)
+        on = part * factor <= limit[who] * (1 + 1e-5) + 1e-12
         who, what, part = who[on], what[on], part[on]
     return who, what
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, d)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), -1)
 
 
-def _search(rotation: np.ndarray, k: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
+def _search(rotations: dict[int, np.ndarray], k: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
     """The k nearest vectors of a block, within the bound, of each query.
 
-    Without a bound from the sample, the block's own 2 k measured vectors are never abandoned.
+    Without a bound, the block's own 2 k measured vectors are never abandoned.
     """
-    d, found = len(rotation), []
+    found = []
     if vectors.num_rows and queries.num_rows:
-        x, ids = _matrix(vectors["v"], d), vectors["vec_id"].to_numpy()
-        all_q, all_ids, bounds = _matrix(queries["v"], d), queries["query_id"].to_numpy(), queries["bound"].to_numpy()
+        x, ids = _matrix(vectors["v"]), vectors["vec_id"].to_numpy()
+        all_q, all_ids, bounds = _matrix(queries["v"]), queries["query_id"].to_numpy(), queries["bound"].to_numpy()
+        d = x.shape[1]
+        rotation = rotations[d]
         for at in range(0, len(all_q), _SCANNED):
             q, own, bound = all_q[at : at + _SCANNED], all_ids[at : at + _SCANNED], bounds[at : at + _SCANNED]
             spared = np.zeros((2, 0), np.int64)
@@ -160,7 +162,7 @@ def clean(vectors: DataFrame) -> DataFrame:
     """vec_id, embedding of the rows that take part, one a vec_id.
 
     Out go null ids, null, empty and zero vectors, and those with null or non-finite numbers. Of rows that repeat a
-    vec_id, the least vector stays. Of several dimensions, only the most frequent takes part (ties: the smallest).
+    vec_id, the least vector stays. Vectors of several dimensions may stand side by side.
     """
     e = F.col("embedding")
     finite = F.forall(e, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -168,64 +170,106 @@ def clean(vectors: DataFrame) -> DataFrame:
     return good.where(F.col("vec_id").isNotNull() & e.isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda v: v != 0)).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
+def _sampled(whole: DataFrame, sizes: dict[int, int]) -> dict[int, np.ndarray]:
+    """Of each dimension, the vectors of lowest hash: SAMPLE_ROWS and SAMPLE_VALUES at most.
+
+    Rows below a hash that follows from their number are fetched, about a fifth more than needed; nothing is sorted by Spark.
+    """
+    most = {d: max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // d)) for d in sizes}
+    cut = {d: min(1 << 62, int((1.2 * most[d] + 200) / n * (1 << 62))) for d, n in sizes.items()}
+    below = F.element_at(F.create_map(*[x for d, v in cut.items() for x in (F.lit(d), F.lit(v).cast("long"))]), F.size("embedding"))
+    rows = whole.withColumn("h", F.shiftrightunsigned(F.xxhash64("vec_id"), 2)).where(F.col("h") < below).collect()
+    by: dict[int, list] = {d: [] for d in sizes}
+    for r in rows:
+        by[len(r["embedding"])].append((r["h"], r["vec_id"], r["embedding"]))
+    return {d: np.array([v for _, _, v in sorted(found, key=lambda f: f[:2])[: most[d]]], np.float32) for d, found in by.items() if found}
+
+
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by `every`.
 
     Euclidean distance in double precision on the original vectors, ties to the smaller vec_id; all candidates where
-    there are fewer than k: a query's lists are extended until they hold k. A query is no candidate of its own. See `clean` for the rows that take part; without any,
-    the result is empty. Other columns are not read.
-    The index is fitted on a bounded sample (SAMPLE_VALUES, SAMPLE_ROWS), and every vector is indexed. A list of many
-    vectors or queries is cut into blocks by hashes of ids, so its size burdens no single task.
+    there are fewer than k. A query is no candidate of its own; candidates are the vectors of its own dimension. See
+    `clean` for the rows that take part; without any, the result is empty. More than MAX_DIMENSIONS dimensions raise a
+    ValueError. Other columns are not read.
+
+    Only the scans' tests can miss a neighbour: every list that can hold one is probed. The lists are fitted on a
+    bounded sample (SAMPLE_VALUES, SAMPLE_ROWS), and every vector is in one. A list of many vectors or queries is cut
+    into blocks by hashes of ids, so its size burdens no single task; each block sends a query's k nearest at most, and
+    these are thinned out again before they are shuffled.
     """
     spark = vectors.sparkSession
     ship(spark)
     whole = written(clean(vectors))
-    sizes = whole.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    schema = "query_id long, vec_id long, score double"
+    sizes = {r["d"]: r["n"] for r in whole.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_DIMENSIONS + 1).collect()}
+    if len(sizes) > MAX_DIMENSIONS:
+        raise ValueError(f"vectors of more than {MAX_DIMENSIONS} dimensions")
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    d, total = sizes[0]["d"], sizes[0]["count"]
-    whole = whole.where(F.size("embedding") == d)
-    rows = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // d))).collect()
-    index = spark.sparkContext.broadcast(fit(np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float32), total, k))
-    rotation, lists = index.value.rotation, len(index.value.centers)
+    samples, index, base = _sampled(whole, sizes), {}, 0
+    for d in sorted(sizes):
+        index[d] = fit(samples.get(d, np.zeros((1, d), np.float32)), sizes[d], base)
+        base += len(index[d].held)
+    deal = spark.sparkContext.broadcast({d: (m.base, m.centers) for d, m in index.items()})
 
-    def dealt(ask: bool):
+    def dealt():
+        def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [np.array(v, np.float32) for v in batch.column("embedding").to_pylist()]
+            size, place, away = np.array([len(v) for v in rows]), np.zeros(len(rows), np.int32), np.zeros(len(rows))
+            for d in np.unique(size).tolist():
+                at, (first, centers) = np.flatnonzero(size == d), deal.value[d]
+                x = np.stack([rows[i] for i in at])
+                own = _own_list(x, centers)
+                place[at], away[at] = first + own, _distances(x, centers[own])
+            return pa.RecordBatch.from_arrays([pa.array(place), batch.column("vec_id"), pa.array([v.tobytes() for v in rows], pa.binary()), pa.array(away)], ["list", "vec_id", "v", "away"])
+
+        return fn
+
+    placed = written(map_slices(whole, dealt, "list int, vec_id long, v binary, away double"))
+    forget(whole)
+    stats = {r["list"]: r for r in placed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("radius")).collect()}  # a row a list
+    for m in index.values():
+        for i in range(len(m.held)):
+            if m.base + i in stats:
+                m.held[i], m.radius[i] = stats[m.base + i]["n"], stats[m.base + i]["radius"]
+    known, rotations = spark.sparkContext.broadcast(index), {d: m.rotation for d, m in index.items()}
+    asked = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
+
+    def probing(bounded: bool):
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            m, ids = index.value, batch.column("vec_id")
-            x = batch.column("embedding").flatten().to_numpy().reshape(-1, d).astype(np.float32)
-            raw = [v.tobytes() for v in x]
-            away = _squares(x, m.centers)
-            if not ask:
-                return pa.RecordBatch.from_arrays([pa.array(away.argmin(1).astype(np.int32)), ids, pa.array(raw, pa.binary())], ["list", "vec_id", "v"])
-            order, first = probed_lists(away, held, m.probes, k)
-            open_ = np.zeros(away.shape, bool)
-            np.put_along_axis(open_, order, first, 1)
-            bound, near, score = upper_bounds(m, ids.to_numpy(), x, open_, k)
-            bounded = np.isfinite(bound)
-            ragged = lambda v, mask, kind: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(mask.sum(1))), pa.int32()), pa.array(v[mask], kind))
-            use = np.broadcast_to(bounded[:, None], near.shape)
-            return pa.RecordBatch.from_arrays([ragged(order, first, pa.int32()), ids, pa.array(raw, pa.binary()), pa.array(bound), ragged(near, use, pa.int64()), ragged(score, use, pa.float64())], ["lists", "query_id", "v", "bound", "near", "scores"])
+            raw, lists = batch.column("v").to_pylist(), [None] * batch.num_rows
+            size, bound = np.array([len(v) // 4 for v in raw]), batch.column("bound").to_numpy()
+            for d in np.unique(size).tolist():
+                at, m = np.flatnonzero(size == d), known.value[d]
+                away = center_distances(m, np.frombuffer(b"".join([raw[i] for i in at]), np.float32).reshape(-1, d))
+                which = other_lists(m, away, k, bound[at]) if bounded else first_lists(m, away, k)
+                for i, row in zip(at, which, strict=True):
+                    lists[i] = m.base + np.flatnonzero(row)
+            return pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("v"), batch.column("bound"), pa.array(lists, pa.list_(pa.int32()))], ["query_id", "v", "bound", "lists"])
 
         return lambda: fn
 
-    placed = map_slices(whole, dealt(False), "list int, vec_id long, v binary", rows=512)
-    # at most MAX_LISTS counts of either kind come to the driver
-    n_vectors = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}
-    held = np.array([n_vectors.get(i, 0) for i in range(lists)])
-    queries = map_slices(whole.where(F.col("vec_id") % every == 0), dealt(True), "lists array<int>, query_id long, v binary, bound double, near array<long>, scores array<double>")
-    asked = queries.select(F.explode("lists").alias("list"), "query_id", "v", "bound")
-    n_asked = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}
-    cuts = [F.array(*[F.lit(-(-n.get(i, 0) // size) or 1) for i in range(lists)]) for n, size in ((n_vectors, BLOCK), (n_asked, QUERY_BLOCK))]
-    shards, chunks = (F.get(c, F.col("list")) for c in cuts)
-    every_chunk, every_shard = F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard")
-    left = placed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), shards).cast("int")).select("*", every_chunk)
-    right = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), chunks).cast("int")).select("*", every_shard)
-    keys = ["list", "shard", "chunk"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search(rotation, k, a, b), schema)
-    best = F.struct("score", "vec_id")
-    # the sampled neighbours behind a bound are measured, so they stay even where a scan abandons what lies in one direction
-    sampled = queries.select("query_id", F.explode(F.arrays_zip(F.col("near").alias("vec_id"), F.col("scores").alias("score"))).alias("s")).select("query_id", "s.vec_id", "s.score")
-    # each block's best k are merged by query; within the sampled bound there are few
-    merged = found.unionByName(sampled).groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(best)), 1, k).alias("near"))
-    return merged.select("query_id", F.posexplode("near").alias("p", "n")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("n.vec_id").alias("vec_id"), F.col("n.score").alias("score"))
+    def found(queries: DataFrame, bounded: bool) -> tuple[DataFrame, DataFrame]:
+        """What the lists that `queries` (query_id, v, bound) probe hold within their bounds, and the table behind it."""
+        probes = written(map_slices(queries, probing(bounded), "query_id long, v binary, bound double, lists array<int>"))
+        pairs = probes.select(F.explode("lists").alias("list"), "query_id", "v", "bound")
+        n_asked = {r["list"]: r["count"] for r in pairs.groupBy("list").count().collect()}  # a row a list
+        cuts = [(i, -(-stats[i]["n"] // BLOCK), -(-n // QUERY_BLOCK)) for i, n in n_asked.items()]
+        cuts = F.broadcast(spark.createDataFrame(cuts, "list int, shards int, chunks int"))  # of the lists that are probed
+        every_chunk, every_shard = (F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("chunks", "shards"))
+        left = placed.join(cuts, "list").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).select("list", "vec_id", "v", "shard", every_chunk.alias("chunk"))
+        right = pairs.join(cuts, "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).select("list", "query_id", "v", "bound", "chunk", every_shard.alias("shard"))
+        keys = ["list", "shard", "chunk"]
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search(rotations, k, a, b), "query_id long, vec_id long, score double"), probes
+
+    def best(rows: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return rows.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near, probes = found(asked.withColumn("bound", F.lit(float("inf"))), False)
+    near = written(best(near))
+    forget(probes)
+    bounds = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
+    bounded = asked.join(bounds, "query_id", "left").select("query_id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    further, _ = found(bounded, True)
+    return best(near.select("query_id", "vec_id", "score").unionByName(further))
