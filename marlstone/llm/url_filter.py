@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import random
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, map_slices
+from .common import ascii_lower, map_slices, ngram_hashes
 
 DIM = 1 << 14
 GRAMS = (3, 4, 5)
@@ -23,32 +24,54 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: The labelled table that the regression learns from: (url, 1 to block).
-LABELLED = tuple(
-    (u, y)
-    for y, urls in (
-        (
-            1,
-            """http://casino-bonus.example.org/win/jackpot http://free-pills.example.biz/buy/cheap http://xxx-video.example.info/adult/cam
-            http://slots.example.org/casino/free-spins http://cheap-meds.example.org/viagra/order http://login-verify.example.info/account/update.php
-            http://track.example.org/click?aff=1 http://ads.example.net/banner/popup http://popunder.example.biz/redirect http://warez.example.org/crack/keygen
-            http://torrent.example.info/download/crack.exe http://poker.example.org/bet/bonus http://bet-now.example.biz/odds/jackpot
-            http://adult.example.org/xxx/gallery http://escort.example.info/girls http://loan-fast.example.biz/payday/apply
-            http://secure-login.example.biz/bank/verify http://win-prize.example.org/claim/now http://spam.example.org/unsubscribe
-            http://cheap-replica.example.info/watches/sale http://clickbait.example.org/shocking/ads http://hot-cams.example.biz/adult/live""",
-        ),
-        (
-            0,
-            """https://www.example.org/about https://docs.example.org/guide/install https://blog.example.org/en/12345 https://news.example.org/world/2021/report
-            https://library.example.org/catalog/book https://wiki.example.org/wiki/History https://m.example.org/de/4521 https://school.example.org/courses/math
-            https://blog.thtion.example.org/fr/2231.html https://research.example.org/papers/2020 https://museum.example.org/collection/item
-            https://forum.example.org/thread/778 https://example.org/contact https://city.example.org/services/water https://health.example.org/topics/sleep
-            https://recipes.example.org/soup/onion https://weather.example.org/today https://science.example.org/articles/physics
-            https://www.example.net/en/9981 https://archive.example.org/es/3321 https://en.example.org/en/17/ https://maps.example.org/place/park""",
-        ),
-    )
-    for u in urls.split()
-)
+# What the labelled urls are made of. Both labels share everything but the words.
+ORDINARY = (
+    "about academy alphabet analytics archive architecture art astronomy atlas better bicycle biology book botany bridge campus camera "
+    "canal castle catalog chemistry choir city class climate clinic cocktail college community contact cooking council courses craft "
+    "culture design dictionary docs drama economy education engineering essex events family farm festival film forest forum garden "
+    "geography glossary grammar guide harbour health history home hospital house install island journal kitchen lake law learning lectures "
+    "letters library linux market maths medicine meeting mountain museum music nature news notes novel opera orchestra papers park "
+    "parliament pharmacy philosophy photo physics pillow planet poetry politics port post press profile project psychology quilt railway "
+    "readme recipes reports research review river school science services sleep society software soup sport station stories street studio "
+    "sussex tax teaching theatre therapist timeslot tools topics tourism town trade training travel university valley video village water "
+    "weather wiki wildlife windows winter world writing zoo"
+).split()
+UNWANTED = (
+    "adult affiliate bet betting blackjack bonus cams casino cheap-meds cialis clickbait counterfeit crack cracked dating-hot diet-pills "
+    "escort escorts fake-login free-spins gamble gambling girls-live hardcore hot-cams jackpot keygen lottery nude nudes odds payday "
+    "payday-loan phishing pills poker popunder popup porn porno replica roulette sex sexcam sexy slots spam spins sportsbook torrent "
+    "verify-account viagra warez win-prize xxx xxx-video"
+).split()
+SUFFIXES = "com org net info biz edu io dev co.uk ac.uk gov.uk de fr es it nl".split()
+FRONTS = ("", "", "www.", "m.", "blog.", "en.", "shop.")
+PLAIN = "en es fr de 2021 2024 index.html page list item search archive account update user login click view buy order cheap free win now today online best".split()
+
+
+def _made_up(rng: random.Random) -> str:
+    """A word of no meaning: what most hosts are called."""
+    return "".join(rng.choice("b c d f g h k l m n p r s t v w st th tr br ch sh".split()) + rng.choice("a e i o u ai ea ou".split()) + rng.choice(("", "", "n", "r", "l", "s", "t", "x", "ng")) for _ in range(rng.choice((1, 2, 2, 3))))
+
+
+def labelled_urls(unwanted_urls: int = 400, seed: int = 10, ordinary=ORDINARY, unwanted=UNWANTED) -> tuple[tuple[str, int], ...]:
+    """(url, 1 to block): the small table that the regression learns from, made by rule: so many unwanted urls, twice as many others.
+
+    Scheme, front, suffix, plain path parts and made-up words are dealt alike to both labels. An unwanted url has an
+    unwanted word in its host, its path or both; an ordinary one has none. The url without host and path is ordinary.
+    """
+    rng, rows = random.Random(seed), [("", 0)] * 8
+    word = lambda: rng.choice(ordinary) if rng.random() < 0.5 else _made_up(rng)
+    for k in range(3 * unwanted_urls):
+        bad = int(k % 3 == 0)
+        where = rng.choice((1, 2, 3)) if bad else 0  # bit 0: the host, bit 1: the path
+        host = [rng.choice(unwanted) if where & 1 else word()] + [word() if rng.random() < 0.7 else rng.choice(PLAIN[4:])] * rng.choice((0, 0, 1))
+        rng.shuffle(host)
+        parts = [rng.choice(PLAIN) if rng.random() < 0.4 else word() for _ in range(rng.choice((0, 1, 1, 2)))]
+        parts += [str(rng.randrange(10 ** rng.randrange(1, 6)))] * (rng.random() < 0.4)
+        if where & 2:
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(unwanted))
+        path = "/" + "/".join(parts) + rng.choice(("", "", "/", ".html", ".php")) if parts else rng.choice(("", "/"))
+        rows.append((f"{rng.choice(('http', 'https'))}://{rng.choice(FRONTS)}{rng.choice(('-', '')).join(host)}.{rng.choice(SUFFIXES)}{path}", bad))
+    return tuple(rows)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -69,15 +92,19 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _features(host: str, path: str) -> np.ndarray:
-    """Indices of the n-grams of `^host$` and `^path$`, hashed with a seed of their own each."""
-    from .common import ngram_hashes
-
-    found = []
-    for seed, part in ((11, host), (12, path)):
-        data = np.frombuffer(b"^" + part.encode("utf-8", "surrogatepass") + b"$", np.uint8)
-        found += [ngram_hashes(data, n, seed + 10 * n) & np.uint64(DIM - 1) for n in GRAMS]
-    return np.concatenate(found).astype(np.int64)
+def _grams(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the n-grams of `^host$` and `^path$` of all rows, hashed with a seed of their own each, and their rows."""
+    slots, rows = [], []
+    for seed, texts in ((11, hosts), (12, paths)):
+        parts = [b"^" + t.encode("utf-8", "surrogatepass") + b"$" for t in texts]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        for n in GRAMS:
+            h = ngram_hashes(data, n, seed + 10 * n)
+            inside = owner[: len(h)] == owner[n - 1 : n - 1 + len(h)]
+            slots.append((h[inside] & np.uint64(DIM - 1)).astype(np.int64))
+            rows.append(owner[: len(h)][inside])
+    return np.concatenate(slots), np.concatenate(rows)
 
 
 def _plain_split(url: str) -> tuple[str, str]:
@@ -87,46 +114,61 @@ def _plain_split(url: str) -> tuple[str, str]:
     return tail[:cut].lower(), path[: min((i for i in (path.find(c) for c in "?#") if i >= 0), default=len(path))]
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 @functools.cache
-def fit(labelled=LABELLED, epochs: int = 1500, rate: float = 2.0, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """(weights, bias) by full-batch gradient descent over the small labelled table; the same on every run."""
-    rows = [_features(*_plain_split(u)) for u, _ in labelled]
+def fit(labelled: tuple[tuple[str, int], ...], epochs: int = 1500, rate: float = 4.0, ridge: float = 3e-5) -> tuple[np.ndarray, float]:
+    """(weights, bias) by full-batch gradient descent over the small labelled table; the same on every run.
+
+    Both labels weigh the same. An empty table gives weights and bias of 0 less a little: it blocks nothing.
+    """
+    if not labelled:
+        return np.zeros(DIM), -1.0
+    slot, row = _grams(*map(list, zip(*[_plain_split(u) for u, _ in labelled], strict=True)))
     y = np.array([v for _, v in labelled], float)
-    x = np.zeros((len(rows), DIM))
-    for i, f in enumerate(rows):
-        np.add.at(x[i], f, 1.0 / max(1, len(f)) ** 0.5)
+    unit = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(y))))
+    weight = np.where(y == 1, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) / 2
     w, b = np.zeros(DIM), 0.0
     for _ in range(epochs):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        g = p - y
-        w -= rate * (x.T @ g / len(y) + ridge * w)
-        b -= rate * g.mean()
+        g = (_sigmoid(np.bincount(row, w[slot], len(y)) * unit + b) - y) * weight
+        w -= rate * (np.bincount(slot, (g * unit)[row], DIM) + ridge * w)
+        b -= rate * g.sum()
     return w, b
 
 
-def classify_urls(pages: DataFrame, rules=RULES, labelled=LABELLED, threshold: float = 0.5) -> DataFrame:
+def url_scores(model: tuple[np.ndarray, float], hosts: list[str], paths: list[str]) -> np.ndarray:
+    """Chances that urls are unwanted; each depends on its own host and path alone. Without n-grams, the bias decides."""
+    w, b = model
+    slot, row = _grams(hosts, paths)
+    return _sigmoid(np.bincount(row, w[slot], len(hosts)) / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(hosts)))) + b)
+
+
+def classify_urls(pages: DataFrame, rules=RULES, labelled: tuple[tuple[str, int], ...] | None = None, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, score for every row of `pages`.
 
     The verdict is the longest fitting rule's; without one it is `block` where the regression's score is at least
-    `threshold`. A null or malformed url has empty host and path and score as those. Rows that repeat are judged each.
-    Columns other than page_id and url are not read, so clashing names do no harm. Nothing is shuffled.
+    `threshold`, else `allow`. A row that a rule judges is not scored (null). A null or malformed url has empty host
+    and path and scores as an ordinary url does. Rows that repeat are judged each, an empty table gives no rows.
+    Columns other than page_id and url are not read, so clashing names do no harm. `labelled` are (url, 1 to block),
+    labelled_urls() by default; the model has a fixed size and goes to the tasks with the function. Nothing is shuffled.
     """
     host, path = split_url(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_r", rule_for(F.col("host"), F.col("path"), rules))
     parts = parts.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled"))
+    model = fit(labelled_urls() if labelled is None else labelled)
 
     def make():
-        w, b = fit(labelled)
-
         def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-            d = {n: batch.column(n) for n in ("page_id", "host", "path", "rule", "ruled")}
-            score, verdict = [], []
-            for h, p, r in zip(d["host"].to_pylist(), d["path"].to_pylist(), d["ruled"].to_pylist(), strict=True):
-                f = _features(h, p)
-                s = float(1 / (1 + np.exp(-(w[f].sum() / max(1, len(f)) ** 0.5 + b))))
-                score.append(s)
-                verdict.append(r or ("block" if s >= threshold else "allow"))
-            return pa.RecordBatch.from_arrays([d["page_id"], d["host"], d["path"], d["rule"], pa.array(verdict, pa.string()), pa.array(score, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
+            ruled = batch.column("ruled")
+            free = np.flatnonzero(ruled.is_null().to_numpy(zero_copy_only=False))
+            hosts, paths = (batch.column(n).take(pa.array(free)).to_pylist() for n in ("host", "path"))
+            score = np.full(batch.num_rows, np.nan)
+            score[free] = url_scores(model, hosts, paths) if len(free) else ()
+            own = np.where(score >= threshold, "block", "allow")
+            verdict = [r or o for r, o in zip(ruled.to_pylist(), own.tolist(), strict=True)]
+            return pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(score, pa.float64(), from_pandas=True)], ["page_id", "host", "path", "rule", "verdict", "score"])
 
         return judge
 
