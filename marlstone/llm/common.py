@@ -1,12 +1,10 @@
-"""What the operators of this subpackage share: Arrow plumbing, hashing and shared storage."""
+"""What the operators of this subpackage share: Arrow plumbing and hashing."""
 
 from __future__ import annotations
 
 import functools
 import os
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -77,38 +75,6 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder for written tables below spark.checkpoint.dir, which driver and executors share.
-
-    Where that setting is absent, a local master (tests) gets a folder of its own; any other raises.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and the loss of an executor costs nothing already written."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables of `written` that nothing lazy reads any more."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(name: str, taken: list[str]) -> str:
     """`name`, with underscores before it until no column of `taken` is called so."""
     while name.lower() in {t.lower() for t in taken}:
