@@ -256,14 +256,20 @@ def _others(docs: DataFrame, added: tuple[str, ...]) -> tuple[list[str], str]:
     return kept, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, keep_text: bool = True) -> DataFrame:
+def _text(coder: ByteBpe, ids: np.ndarray) -> str:
+    return coder.decode(ids).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, keep_text: bool = True, decoded: bool = False) -> DataFrame:
     """`docs` with token_ids array<int> and n_tokens long. The file is read on the executors: it stands on each of them.
 
-    Null and empty texts have no tokens. Very long texts and words are encoded whole. Columns of these names are
-    replaced; keep_text=False leaves `text` out. No shuffle; rows that repeat are encoded each.
+    With `decoded`, the ids are decoded again in the same pass and stand as text in a column of this name, as `decode`
+    gives it. Null and empty texts have no tokens. Very long texts and words are encoded whole. Columns of these names
+    are replaced; keep_text=False leaves `text` out. No shuffle; rows that repeat are encoded each.
     """
     path = vocabulary or default_vocabulary()
-    kept, schema = _others(docs if keep_text else docs.drop("text"), ("token_ids", "n_tokens"))
+    added = ("token_ids", "n_tokens") + (("decoded",) if decoded else ())
+    kept, schema = _others(docs if keep_text else docs.drop("text"), added)
 
     def make():
         bpe = load(path)
@@ -272,11 +278,15 @@ def encode(docs: DataFrame, vocabulary: str | None = None, keep_text: bool = Tru
             rows = bpe.encode(batch.column("text").to_pylist())
             ends = np.cumsum([0, *[len(r) // 4 for r in rows]])
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids, pa.array(np.diff(ends), pa.int64())], [*kept, "token_ids", "n_tokens"])
+            made = [ids, pa.array(np.diff(ends), pa.int64())]
+            if decoded:
+                made.append(pa.array([_text(bpe, np.frombuffer(r, np.int32)) for r in rows], pa.string()))
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *added])
 
         return fn
 
-    return map_slices(docs.select(*kept, *(["text"] if "text" not in kept else [])), make, f"{schema}token_ids array<int>, n_tokens long", rows=ROWS, limit=BYTES)
+    schema += "token_ids array<int>, n_tokens long" + (", decoded string" if decoded else "")
+    return map_slices(docs.select(*kept, *(["text"] if "text" not in kept else [])), make, schema, rows=ROWS, limit=BYTES)
 
 
 def decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -292,7 +302,7 @@ def decode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             lists = batch.column("token_ids")
-            text = [bpe.decode(lists[i].values.to_numpy(zero_copy_only=False)).decode("utf-8", "replace") if lists[i].is_valid else "" for i in range(len(lists))]
+            text = [_text(bpe, lists[i].values.to_numpy(zero_copy_only=False)) if lists[i].is_valid else "" for i in range(len(lists))]
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(text, pa.string())], [*kept, "decoded"])
 
         return fn

@@ -55,7 +55,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False))
+    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), keep_text=False, decoded=True)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return coded.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
