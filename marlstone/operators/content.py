@@ -121,6 +121,11 @@ def token(text: Column, place: int, lenient: bool = True) -> Column:
     return F.get(parts, F.lit(place)) if lenient else parts[place]
 
 
+def points(df: DataFrame, x: Column, y: Column, hue: Column) -> DataFrame:
+    """x, y, hue: a row a point of a scatter plot; points without a place are left out, those without a hue stay."""
+    return df.select(x.alias("x"), y.alias("y"), hue.alias("hue")).where("x is not null and y is not null")
+
+
 def marker(df: DataFrame, lat: Column, lon: Column, name: Column, place: Column, hot: Column) -> DataFrame:
     """lat, lon, tooltip, color, radius of each row; null names and places are empty in the tooltip."""
     text = F.concat_ws(" - ", F.coalesce(name, F.lit("")), F.coalesce(place, F.lit("")))

@@ -116,6 +116,17 @@ def recode(df: DataFrame, column: str, mapping: Mapping[str, str] | DataFrame) -
     return df.withColumn(column, F.coalesce(F.try_element_at(table, F.col(column)), F.col(column)))
 
 
+def head(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order that is named: rows of a table have none of their own."""
+    return df.orderBy(*order).limit(n)
+
+
+def steps(df: DataFrame, every: int) -> DataFrame:
+    """place: 0, every, 2 * every … below the number of rows of `df`; no rows give none."""
+    n = df.agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+    return n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(every).cast("long"))).alias("place"))
+
+
 def top_k(df: DataFrame, by: str, tie: str, k: int = 10) -> DataFrame:
     """The k rows with the least `by`, nulls last, ties by `tie`."""
     return df.orderBy(F.asc_nulls_last(by), tie).limit(k)

@@ -64,6 +64,9 @@ SELECT event_type, x, round(sum(exp(-pow((x - value) / h, 2) / 2)) / (any_value(
     + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS lag, round(corr(close, {c}), 6) AS correlation FROM l" for k, c in enumerate(("volume", "l1", "l2", "l3"))),
     "region_shorten": "SELECT n_nationkey, CASE WHEN length(left(n_name, 4)) = 4 THEN n_name[1] || n_name[3] ELSE left(n_name, 2) END AS short, 'X' AS second, CAST(NULL AS VARCHAR) AS third FROM nation",
     "marker_projection": "SELECT CAST(embedding[1] AS DOUBLE) AS lat, CAST(embedding[2] AS DOUBLE) AS lon, CAST(vec_id AS VARCHAR) || ' - ' || CASE WHEN label > 2 THEN CAST(label AS VARCHAR) ELSE '' END AS tooltip, CASE WHEN label = 3 THEN 'brown' ELSE 'green' END AS color, CAST(CASE WHEN label = 3 THEN 3 ELSE 2 END AS INTEGER) AS radius FROM embeddings",
+    "scatter_points": "SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, label AS hue FROM embeddings",
+    "head_rows": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 5",
+    "range_steps": "SELECT CAST(unnest(range(0, (SELECT count(*) FROM nation), 5)) AS BIGINT) AS place",
     "unit_conversion": "SELECT l_orderkey, l_linenumber, round(l_quantity * 64 / 365, 6) AS per_day FROM lineitem",
     "tag_counts": f"SELECT tag, count(*) AS posts FROM ({_TAGS}) GROUP BY 1",
     "tag_posts": f"SELECT tag, p_partkey, p_name FROM ({_TAGS})",

@@ -242,6 +242,19 @@ def marker_projection(spark, d):
     return content.marker(df, at(0), at(1), F.col("vec_id").cast("string"), F.when(F.col("label") > 2, F.col("label").cast("string")), F.col("label") == 3)
 
 
+def scatter_points(spark, d):
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return content.points(table(spark, d, "embeddings"), at(0), at(1), F.col("label"))
+
+
+def head_rows(spark, d):
+    return relational.head(table(spark, d, "customer"), 5, "c_custkey").select("c_custkey", "c_name")
+
+
+def range_steps(spark, d):
+    return relational.steps(table(spark, d, "nation"), 5)
+
+
 def unit_conversion(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 64 / 365, 6).alias("per_day"))
 
@@ -317,7 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         global_mean_max, mean_by_x, every_fifth_year, quartiles_by_group, crosstab, null_profile, column_profile, distinct_values, melt,
         melt_skip_first, fill_mean, align_ffill_normalise, align_by_symbol, json_field, json_series, json_series_groups, density,
         density_by_group, breakout_backtest, drawdown, compound_return,
-        lead_lag_corr, region_shorten, marker_projection, unit_conversion, tag_counts, tag_posts, sorted_tags,
+        lead_lag_corr, region_shorten, marker_projection, scatter_points, head_rows, range_steps, unit_conversion, tag_counts, tag_posts, sorted_tags,
         post_keywords, list_entries, row_totals, reading_time, post_listing, project_listing, url_normalise, html_elements, compressed_html,
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators import content, relational
+
 SERIES = "results array<struct<data: array<struct<period: string, ratio: double>>>>"
 
 
@@ -62,6 +64,26 @@ def read_two_row_header(spark: SparkSession, path: str, names: Sequence[str]) ->
     return df.where(F.col(names[-1]).try_cast("double").isNotNull())
 
 
+def school_results(spark: SparkSession, path: str, fixes: Mapping[str, tuple[str, str]] = {}) -> DataFrame:
+    """region, school, code, graduates, science, language, total, city, district of a two-row-header export of graduates.
+
+    total is null where one of its parts is. city is the region's first word, shortened, and district its second; `fixes`
+    sets both for a school's code. A region that is null leaves them null.
+    """
+    names = ["region", "school", "code", "graduates", "science", "language"]
+    df = read_two_row_header(spark, path, names)
+    df = df.withColumns({n: F.col(n).try_cast("double") for n in names[3:]}).withColumn("total", relational.total(F.col("science"), F.col("language")))
+    df = df.withColumn("city", content.shorten_region(content.token(F.col("region"), 0))).withColumn("district", content.token(F.col("region"), 1))
+    for at, column in enumerate(("city", "district")):
+        df = relational.patch(df, "code", column, {code: fix[at] for code, fix in fixes.items()})
+    return df
+
+
+def empty_frame(spark: SparkSession, schema: StructType | str) -> DataFrame:
+    """No rows, of a schema that is named: for a union that rows are appended to."""
+    return spark.createDataFrame([], schema)
+
+
 def json_series(df: DataFrame, column: str, group: int | None = 0) -> DataFrame:
     """period date, ratio of {"results": [{"data": [{period, ratio}, …]}, …]}: the series of one group of `results`.
 

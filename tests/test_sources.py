@@ -54,6 +54,13 @@ def test_two_row_header(spark, tmp_path):
     assert [tuple(r) for r in sources.read_two_row_header(spark, str(tmp_path / "a.csv"), ["region", "total", "science"]).collect()] == [("x y", "3", "1"), ("z", "4", "2")]
 
 
+def test_school_results_compose_the_steps_from_path_to_frame(spark, tmp_path):
+    (tmp_path / "g.csv").write_text("region,name,code,all,sci,lang\nsub,sub,sub,sub,sub,sub\n서울특별시 강남구,a,S1,10,1,2\n경상북도 예천군,b,S2,5,,1\n,c,S3,1,0,0\n부산광역시 x,d,S4,7,2,3\n")
+    rows = {r["code"]: r for r in sources.school_results(spark, str(tmp_path / "g.csv"), {"S4": ("부산", "기장군")}).collect()}
+    assert [(rows[c]["city"], rows[c]["district"], rows[c]["total"]) for c in ("S1", "S2", "S3", "S4")] == [("서울", "강남구", 3.0), ("경북", "예천군", None), (None, None, 0.0), ("부산", "기장군", 5.0)]
+    assert sources.empty_frame(spark, "title string").columns == ["title"]
+
+
 def test_html_tables(spark):
     page = "<table><tr><th>a<th>b</tr><tr><td>1 <td>2</table><p>x<table><tr><td><b>c</b> d</td></tr></table>"
     rows = sources.html_tables(spark.createDataFrame([(1, page), (2, None), (3, "no table")], "page_id long, html string"), "page_id").collect()
