@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import content, relational, series, shape
 from ..sources import documents as sources
 
@@ -233,7 +234,7 @@ def lead_lag_corr(spark, d):
 
 def region_shorten(spark, d):
     df = table(spark, d, "nation").select("n_nationkey", F.concat(F.col("n_name"), F.lit(" X")).alias("full"), F.col("n_name"))
-    return df.select("n_nationkey", content.shorten_region(F.substring("n_name", 1, 4)).alias("short"), content.token(F.col("full"), 1).alias("second"), content.token(F.col("full"), 2).alias("third"))
+    return df.select("n_nationkey", text.shorten_region(F.substring("n_name", 1, 4)).alias("short"), text.token(F.col("full"), 1).alias("second"), text.token(F.col("full"), 2).alias("third"))
 
 
 def marker_projection(spark, d):
@@ -272,11 +273,11 @@ def sorted_tags(spark, d):
 
 
 def post_keywords(spark, d):
-    return _tagged(spark, d).select("p_partkey", content.keywords(F.col("tags")).alias("keywords"), content.column_class(F.size("tags")).alias("class"))
+    return _tagged(spark, d).select("p_partkey", text.keywords(F.col("tags")).alias("keywords"), text.column_class(F.size("tags")).alias("class"))
 
 
 def list_entries(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.posexplode(content.split_list(F.col("p_name"))).alias("place", "entry"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(text.split_list(F.col("p_name"))).alias("place", "entry"))
 
 
 def row_totals(spark, d):
@@ -286,21 +287,21 @@ def row_totals(spark, d):
 
 def reading_time(spark, d):
     """Words of each text, counted once, and the minutes that they take."""
-    words = table(spark, d, "documents").select("doc_id", content.word_count(content.strip_html(F.col("text"))).alias("words"))
-    return words.select("doc_id", "words", content.minutes_of(F.col("words")).alias("minutes"))
+    words = table(spark, d, "documents").select("doc_id", text.word_count(text.strip_html(F.col("text"))).alias("words"))
+    return words.select("doc_id", "words", text.minutes_of(F.col("words")).alias("minutes"))
 
 
 def _posts(spark, d):
     """Documents as posts: those of one language are projects, those of another say that they are none."""
     docs = table(spark, d, "documents").withColumn("project", F.when(F.col("lang") == "fr", True).when(F.col("lang") == "es", False))
     name = F.concat(F.lit("2021-09-"), F.lpad((F.col("doc_id") % 30 + 1).cast("string"), 2, "0"), F.lit("-post.md"))
-    date = content.effective_date(F.when(F.col("doc_id") % 2 == 0, F.to_date(F.lit("2021-08-26"))), name)
-    return docs.select("doc_id", content.first_text(F.col("source"), F.lit("site")).alias("title"), date.alias("date"), "project")
+    date = text.effective_date(F.when(F.col("doc_id") % 2 == 0, F.to_date(F.lit("2021-08-26"))), name)
+    return docs.select("doc_id", text.first_text(F.col("source"), F.lit("site")).alias("title"), date.alias("date"), "project")
 
 
 def post_listing(spark, d):
     posts = content.newest_first(content.listing(_posts(spark, d)), "date", "doc_id")
-    return posts.select("doc_id", "title", "date", content.date_text(F.col("date")).alias("shown"))
+    return posts.select("doc_id", "title", "date", text.date_text(F.col("date")).alias("shown"))
 
 
 def project_listing(spark, d):
@@ -308,18 +309,18 @@ def project_listing(spark, d):
 
 
 def url_normalise(spark, d):
-    return table(spark, d, "pages").select("page_id", content.canonical_url(F.col("url")).alias("canonical"), content.absolute_url(F.regexp_extract("url", "^https(.*)$", 1), "http://site").alias("absolute"))
+    return table(spark, d, "pages").select("page_id", text.canonical_url(F.col("url")).alias("canonical"), text.absolute_url(F.regexp_extract("url", "^https(.*)$", 1), "http://site").alias("absolute"))
 
 
 def html_elements(spark, d):
     html = F.col("html")
-    return table(spark, d, "pages").select("page_id", content.title(html).alias("title"), F.size(content.links(html)).alias("links"), F.length(content.compress_html(content.strip_html(html))).alias("text_length"))
+    return table(spark, d, "pages").select("page_id", text.title(html).alias("title"), F.size(text.links(html)).alias("links"), F.length(text.compress_html(text.strip_html(html))).alias("text_length"))
 
 
 def compressed_html(spark, d):
     """Pages with a <pre> of their own text between: white space inside it stays."""
     html = F.concat(F.col("html"), F.lit("<pre>\n  a  b\n</pre> \n <p>  end"))
-    return table(spark, d, "pages").select("page_id", F.md5(content.compress_html(html)).alias("digest"))
+    return table(spark, d, "pages").select("page_id", F.md5(text.compress_html(html)).alias("digest"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

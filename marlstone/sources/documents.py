@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators import content, relational
+from ..functions import text
+from ..operators import relational
 
 SERIES = "results array<struct<data: array<struct<period: string, ratio: double>>>>"
 
@@ -73,7 +74,7 @@ def school_results(spark: SparkSession, path: str, fixes: Mapping[str, tuple[str
     names = ["region", "school", "code", "graduates", "science", "language"]
     df = read_two_row_header(spark, path, names)
     df = df.withColumns({n: F.col(n).try_cast("double") for n in names[3:]}).withColumn("total", relational.total(F.col("science"), F.col("language")))
-    df = df.withColumn("city", content.shorten_region(content.token(F.col("region"), 0))).withColumn("district", content.token(F.col("region"), 1))
+    df = df.withColumn("city", text.shorten_region(text.token(F.col("region"), 0))).withColumn("district", text.token(F.col("region"), 1))
     for at, column in enumerate(("city", "district")):
         df = relational.patch(df, "code", column, {code: fix[at] for code, fix in fixes.items()})
     return df

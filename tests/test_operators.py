@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from marlstone.functions import text
 from marlstone.operators import content, relational, series, shape
 
 
@@ -110,12 +111,12 @@ def test_melt_then_crosstab_and_density(spark):
 
 def test_regions_tokens_and_reading_time(spark):
     df = spark.createDataFrame([("서울특별시",), ("충청북도",), ("abc",), (None,)], "s string")
-    assert values(df.select(content.shorten_region(F.col("s")).alias("r")), "r") == [("서울",), ("충북",), ("ab",), (None,)]
-    strict = spark.createDataFrame([("one",)], "s string").select(content.token(F.col("s"), 1, lenient=False))
+    assert values(df.select(text.shorten_region(F.col("s")).alias("r")), "r") == [("서울",), ("충북",), ("ab",), (None,)]
+    strict = spark.createDataFrame([("one",)], "s string").select(text.token(F.col("s"), 1, lenient=False))
     with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
         strict.collect()
-    text = spark.createDataFrame([("w " * 300,), ("<b>x</b>",), (None,)], "t string")
-    assert values(text.select(content.reading_minutes(F.col("t")).alias("m")), "m") == [(2,), (1,), (1,)]
+    posts = spark.createDataFrame([("w " * 300,), ("<b>x</b>",), (None,)], "t string")
+    assert values(posts.select(text.reading_minutes(F.col("t")).alias("m")), "m") == [(2,), (1,), (1,)]
 
 
 def test_empty_tables(spark):
@@ -150,18 +151,18 @@ def test_density_by_group_is_the_density_of_each_group(spark):
 def test_pre_is_kept_and_the_rest_compressed(spark):
     page = "<p> a  \n b <!-- x\ny --><PRE class=x>\n  1  <!-- kept -->\n</PRE>\n\n c<pre>2\n\n3</pre><prefix>  d</prefix><pre>  open"
     df = spark.createDataFrame([(page,), (None,), ("",)], "h string")
-    assert [r[0] for r in df.select(content.compress_html(F.col("h"))).collect()] == ["<p> a b <PRE class=x>\n  1  <!-- kept -->\n</PRE> c<pre>2\n\n3</pre><prefix> d</prefix><pre>  open", None, ""]
+    assert [r[0] for r in df.select(text.compress_html(F.col("h"))).collect()] == ["<p> a b <PRE class=x>\n  1  <!-- kept -->\n</PRE> c<pre>2\n\n3</pre><prefix> d</prefix><pre>  open", None, ""]
 
 
 def test_listings_are_ordered_and_texts_made(spark):
     df = spark.createDataFrame([(1, "2021-09-14"), (2, None), (3, "2021-10-01"), (4, "2021-09-14")], "id int, d string").withColumn("d", F.to_date("d"))
     assert values(content.newest_first(df, "d", "id"), "id") == [(3,), (1,), (4,), (2,)]
-    assert values(df.orderBy("id").select(content.date_text(F.col("d")).alias("t")), "t") == [("14 Sep 2021",), (None,), ("01 Oct 2021",), ("14 Sep 2021",)]
+    assert values(df.orderBy("id").select(text.date_text(F.col("d")).alias("t")), "t") == [("14 Sep 2021",), (None,), ("01 Oct 2021",), ("14 Sep 2021",)]
     tags = spark.createDataFrame([(["b", "a"],), (["a", "Z"],), ([],), (None,)], "tags array<string>")
     assert values(content.sorted_tags(tags), "tag", "posts") == [("Z", 1), ("a", 2), ("b", 1)]
-    assert values(tags.select(content.keywords(F.col("tags")).alias("k")), "k") == [("b, a",), ("a, Z",), (None,), (None,)]
+    assert values(tags.select(text.keywords(F.col("tags")).alias("k")), "k") == [("b, a",), ("a, Z",), (None,), (None,)]
     n = spark.createDataFrame([(1,), (2,), (3,), (7,), (None,)], "n int")
-    assert values(n.select(content.column_class(F.col("n")).alias("c")), "c") == [("",), ("half",), ("third",), ("",), ("",)]
+    assert values(n.select(text.column_class(F.col("n")).alias("c")), "c") == [("",), ("half",), ("third",), ("",), ("",)]
 
 
 def test_skip_first_and_totals_and_renames(spark):
