@@ -22,8 +22,8 @@ from .common import map_slices
 SHORT = 64
 #: Rows and bytes that a task encodes at once: enough for words of equal length to fill an array.
 ROWS, BYTES = 1024, 1 << 21
-#: Distinct words that a task remembers; beyond that it forgets all and starts again.
-REMEMBERED = 200_000
+#: Distinct words that a task remembers; beyond that it forgets those that its slice at hand has not.
+REMEMBERED = 300_000
 _NONE = np.iinfo(np.int32).max
 #: Marks before units; lone surrogates, which no UTF-8 text has.
 _WHOLE, _SPECIAL = "\ud800", "\ud801"
@@ -227,8 +227,8 @@ class ByteBpe:
             else:
                 made.append(self._units(t or ""))
         cache, wanted = self.cache, set().union(*made)
-        if len(cache) + len(wanted) > REMEMBERED:
-            cache.clear()
+        if len(cache) + len(wanted) > REMEMBERED:  # what is in use just now is what comes again soonest
+            cache = self.cache = {u: cache[u] for u in wanted if u in cache}
         new = wanted.difference(cache)
         for u in [u for u in new if u[0] == _SPECIAL]:
             cache[u] = np.int32(self.special[u[1:]]).tobytes()

@@ -27,7 +27,7 @@ SAMPLE, SAMPLE_CHARS = 3200, 12_000
 SURE = 4.0
 #: A word's vector is the sum of its subwords' embeddings over their number and DAMP; those that stand for nothing are left out.
 DAMP = 12
-#: Distinct words that a task remembers; beyond that it forgets all and starts again.
+#: Distinct words that a task remembers; beyond that it forgets those that its slice at hand has not.
 REMEMBERED = 200_000
 
 #: ASCII bytes that are neither letters nor digits are left out at a word's ends.
@@ -238,7 +238,8 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.3)
                 rows = [tokens(t or "") for t in batch.column("text").to_pylist()]
                 wanted = set().union(*rows)
                 if len(known) + len(wanted) > REMEMBERED:
-                    known.clear()
+                    for w in known.keys() - wanted:
+                        del known[w]
                 new = list(wanted.difference(known))
                 known.update(zip(new, word_logits(m.bucket_logit, new).tolist() if new else (), strict=True))
                 worst = np.array([worst_window(np.fromiter(map(known.__getitem__, r), np.float64, len(r))) for r in rows])

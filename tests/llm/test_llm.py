@@ -1,6 +1,7 @@
 """The training-data operators on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, bpe, decontamination, language_id, line_dedup, minhash, quality, sampling, token_counts, toxicity, url_filter
+from marlstone.llm import ann, bpe, common, components, decontamination, language_id, line_dedup, minhash, quality, sampling, token_counts, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, score string, lang_pred int, n_lines string, bitmap string, decoded int, predicted string"
 WORDS = ["alpha", "beta", "gamma", "delta", "Omega", "the", "of", "nord", "süd", "été", "x1"]
@@ -111,6 +112,27 @@ def test_repeated_rows_leave_a_contested_group_linked(spark):
     assert got == brute_components(list({i: (i, t.lower()) for i, t in rows}.values()), 3, 85)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_equal_union_find(spark, seed):
+    rng = random.Random(seed)
+    nodes = list(range(400))
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(220)] + [(k, k + 1) for k in range(500, 600)] + [(700, k) for k in range(701, 760)] + [(3, 3), (None, 4), (5, None), (1, 2), (2, 1)]
+    comp = {}
+
+    def root(i):
+        while comp.setdefault(i, i) != i:
+            i = comp[i]
+        return i
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            p, q = sorted((root(a), root(b)))
+            comp[q] = p
+    rng.shuffle(edges)
+    got = [(r.node, r.component) for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((i, root(i)) for i in comp if root(i) != i)
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     for n in (5, 60, 4000):
@@ -200,6 +222,18 @@ def test_leaks_equal_brute_force(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_leaks_of_a_large_benchmark_equal_those_of_a_small_one(spark, monkeypatch):
+    folder = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("more words "), "text")))
+    small = sorted(map(tuple, decontamination.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", 0)
+    large = decontamination.find_leaks(docs, bench)
+    assert small and sorted(map(tuple, large.collect())) == small
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
 # ---- tokens
 
 
@@ -214,6 +248,8 @@ def test_bpe_equals_the_tokenizers_library(spark):
     for r in got:
         ids = reference.encode(r.text or "", add_special_tokens=False).ids
         assert r.token_ids == ids and r.n_tokens == len(ids) and r.decoded == reference.decode(ids, skip_special_tokens=False)
+    at_once = {(r.doc_id, r.text): (r.token_ids, r.n_tokens, r.decoded) for r in bpe.encode(frame(spark, rows), decoded=True).collect()}
+    assert at_once == {(r.doc_id, r.text): (r.token_ids, r.n_tokens, r.decoded) for r in got}
     lengths = sorted(len(reference.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
     for r in token_counts.token_counts(frame(spark, rows)).collect():
         assert r.docs == lengths.count(r.n_tokens) and r.docs_at_least == sum(n >= r.n_tokens for n in lengths)
@@ -265,6 +301,58 @@ def test_nearest_gives_k_to_outliers_of_tight_clusters(spark):
         assert all(abs(np.linalg.norm(x[v].astype(np.float64) - x[q]) - s) < 1e-9 for _, v, s in near)
 
 
+def exact_nearest(x, ids, q, k):
+    away = np.sqrt(((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(1))
+    away[q] = np.inf
+    order = np.lexsort((ids, away))[: min(k, len(x) - 1)]
+    return [(int(ids[i]), float(away[i])) for i in order]
+
+
+def test_nearest_among_clusters_of_all_sizes_and_dimensions(spark):
+    """60 clusters of 95 and 40 of 6 with a query in each; isolated vectors far off; exact copies; two more dimensions."""
+    rng = np.random.default_rng(11)
+    parts, queries = [], []
+    for size in [95] * 60 + [6] * 40:
+        queries.append(sum(map(len, parts)))
+        parts.append(rng.normal(size=16) * 3 + rng.normal(size=(size, 16)) * 10 ** rng.uniform(-5, -1))
+    queries += [sum(map(len, parts)) + i for i in range(10)]
+    parts.append(rng.normal(size=(10, 16)) * 1000)
+    queries.append(sum(map(len, parts)))
+    parts.append(np.repeat(rng.normal(size=(1, 16)), 40, 0))
+    x = np.concatenate(parts).astype(np.float32)
+    ids = np.arange(len(x)) * 100 + 1
+    ids[queries] -= 1
+    small = rng.normal(size=(30, 3)).astype(np.float32)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(10**7 + 100 * i, v.tolist()) for i, v in enumerate(small)] + [(2 * 10**7, [1.0]), (-100, [1.0, 2.0]), (-201, [1.0, 3.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5), 100, 10).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    hits = 0
+    for q in queries:
+        want, near = exact_nearest(x, ids, q, 10), got[int(ids[q])]
+        assert sorted(near) == list(range(1, 11))
+        assert all(s == pytest.approx(math.dist(x[q].astype(float), x[np.flatnonzero(ids == v)[0]].astype(float)), abs=1e-9) for v, s in near.values())
+        hits += len({v for v, _ in want} & {v for v, _ in near.values()})
+    assert hits >= 0.98 * 10 * len(queries)
+    for i in range(30):
+        assert [v for _, (v, _) in sorted(got[10**7 + 100 * i].items())] == [v for v, _ in exact_nearest(small, np.arange(30) * 100 + 10**7, i, 10)]
+    assert 2 * 10**7 not in got and got[-100] == {1: (-201, 1.0)} and len(got) == len(queries) + 30 + 1
+
+
+def test_nearest_recall_on_the_given_vectors(spark):
+    import __spark_entry__
+
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32)
+    got = {}
+    for r in __spark_entry__.queries()["op7_nearest"](spark, folder).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    queries = np.flatnonzero(ids % 100 == 0)
+    assert set(got) == set(ids[queries].tolist()) and all(len(v) == 10 for v in got.values())
+    assert sum(len({v for v, _ in exact_nearest(x, ids, q, 10)} & set(got[int(ids[q])])) for q in queries) >= 0.98 * 10 * len(queries)
+
+
 # ---- classifiers
 
 
@@ -330,6 +418,103 @@ def test_held_out_accuracy(spark, module, label, least):
     assert len({r.score for r in edge if r.doc_id == 6}) == 1
 
 
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & MASK
+    return x ^ (x >> 31)
+
+
+def plain_hash(data, seed, factor=0x9E3779B97F4A7C15):
+    h = 0
+    for b in data:
+        h = (h * factor + int(common.mixer(seed)[b])) & MASK
+    return h
+
+
+def plain_power_hash(data, seed):
+    power = 0xC2B2AE3D27D4EB4F
+    return plain_mix(sum(int(common.mixer(seed)[b]) * pow(power, i + 1, 1 << 64) for i, b in enumerate(data)) & MASK)
+
+
+def plain_toxicity(model, text):
+    logits = []
+    for w in (text or "").lower().split():
+        data = b"<" + (w.strip(toxicity._EDGE) or w).encode() + b">"
+        slots = [plain_mix((plain_hash(data[i : i + n], 21) + n) & MASK) % toxicity.BUCKETS for n in toxicity.GRAMS for i in range(len(data) - n + 1)]
+        found = [float(model.bucket_logit[s]) for s in [*slots, plain_power_hash(data, 21) % toxicity.BUCKETS]]
+        logits.append(sum(found) / (sum(v != 0 for v in found) + toxicity.DAMP))
+    n = toxicity.WINDOW
+    worst = max(sum(logits[i : i + n]) / n for i in range(len(logits) - n + 1)) if len(logits) > n else sum(logits) / max(1, len(logits))
+    return 1 / (1 + math.exp(-(model.scale * (worst + model.bias) + model.shift)))
+
+
+def plain_language(model, text):
+    data = re.sub(b" +", b" ", bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in (" " + text.lower() + " ").encode()))
+    x = np.zeros(language_id.DIM)
+    for n in language_id.ORDERS:
+        for i in range(len(data) - n + 1):
+            x[plain_mix((plain_hash(data[i : i + n], 3) + n) & MASK) % language_id.DIM] += 1
+    x = np.sqrt(x) / np.linalg.norm(np.sqrt(x))
+    sure = lambda v: 1 / (1 + math.exp(-3 * v))
+    margin = [x @ model.family_w[:-1, f] + model.family_w[-1, f] for f in range(len(model.families))]
+    f = int(np.argmax(margin))
+    votes, least = [0.0] * len(model.members[f]), [math.inf] * len(model.members[f])
+    for k, (a, b) in enumerate(model.pairs[f]):
+        v = float(x @ model.pair_w[f][:-1, k] + model.pair_w[f][-1, k])
+        for who, m in ((a, v), (b, -v)):
+            votes[who] += (m > 0) + 1e-3 * math.tanh(m)
+            least[who] = min(least[who], m)
+    best = int(np.argmax(votes))
+    return model.members[f][best], (sure(margin[f]) if len(model.families) > 1 else 1.0) * (sure(least[best]) if len(votes) > 1 else 1.0)
+
+
+def plain_quality(model, text):
+    raw = b" " + text.encode() + b" "
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    bag = []
+    for at in range(0, len(spans), quality.PASSAGE):
+        part = spans[at : at + quality.PASSAGE]
+        begin, end = (0 if at == 0 else part[0][0]), (spans[at + quality.PASSAGE][0] if at + quality.PASSAGE < len(spans) else len(raw))
+        x = np.zeros(quality.DIM)
+        kinds = [int(quality._KIND[b]) for b in raw[begin : end + 1]]  # the pair that leads into the next passage counts here
+        for a, b in zip(kinds, kinds[1:], strict=False):
+            x[a * quality.KINDS + b] += 1
+        x[: -quality.OTHERS] = np.sqrt(x[: -quality.OTHERS] / max(1, x[: -quality.OTHERS].sum()))
+        words, n = [raw[a:b] for a, b in part], len(part)
+        x[-5] = sum(words[i] == words[i - 1] for i in range(1, n)) / n
+        x[-4] = sum(words[i] == words[i - 2] for i in range(2, n)) / n
+        x[-3] = len(set(words)) / n
+        x[-2] = min(sum(map(len, words)) / n, 40) / 10
+        x[-1] = math.log1p(n) / 4
+        bag.append(x)
+    x = np.clip((np.array(bag or [np.zeros(quality.DIM)]) - model.mean) / model.spread, -6, 6)
+    w = model.weights
+    h = np.tanh(x @ w[0] + w[1])
+    e = ((np.tanh(h @ w[2]) / (1 + np.exp(-(h @ w[3])))) @ w[4])[:, 0]
+    share = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return 1 / (1 + math.exp(-float((share @ h) @ w[5][:, 0] + w[6][0])))
+
+
+def test_scores_equal_plain_python(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    texts = [r.text for r in docs.select("text").where("length(text) < 3000").orderBy("doc_id").limit(25).collect()] + ["Ünd, \n\n (sô)  it's 12 it's it's!", "x", "\n\n a b a b a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tox, lang, qual = toxicity.train(docs, labels), language_id.train(docs), quality.train(docs, labels)
+    for r in toxicity.score_toxicity(df, tox).collect():
+        assert r.score == pytest.approx(plain_toxicity(tox, r.text), abs=1e-9)
+    for r in language_id.identify_language(df, lang).collect():
+        name, score = plain_language(lang, r.text)
+        assert r.lang_pred == name and r.score == pytest.approx(score, abs=1e-4)
+    for r in quality.score_quality(df, qual).collect():
+        assert r.score == pytest.approx(plain_quality(qual, r.text), abs=1e-4)
+
+
 def test_unseen_misspelling_shares_subwords():
     rng = random.Random(1)
     clean = [prose(rng, 30) for _ in range(200)]
@@ -361,7 +546,46 @@ def test_url_rules_and_scores(spark):
     assert [(rows[k].host, rows[k].path) for k in (0, 2, 3, 8, 12)] == [("", ""), ("", ""), ("example.com", "/en/x"), ("example.com", ""), ("b.org", "/a\nb")]
     assert [rows[k].rule for k in range(3, 12)] == ["example.com/en/", "www.example.com/en/", "com/", "net/es/", None, None, None, "net/fr/", "com/"]
     assert [rows[k].verdict for k in (3, 4, 5, 6, 10)] == ["block", "allow", "allow", "block", "block"]
-    assert rows[9].verdict == "block" and all(r.verdict in ("allow", "block") and 0 <= r.score <= 1 for r in rows.values())
+    assert rows[9].verdict == "block" and all(rows[k].verdict == "allow" for k in (0, 1, 2))
+    assert all(r.verdict in ("allow", "block") and (r.score is None) == (r.rule is not None) for r in rows.values())
+    assert all((r.verdict == "block") == (r.score >= 0.5) for r in rows.values() if r.rule is None)
+    strict = {r.page_id: r for r in url_filter.classify_urls(df, threshold=0.0).collect()}
+    assert all(strict[k].verdict == "block" for k in (0, 1, 2, 9)) and strict[4].verdict == "allow"
+    assert all(r.verdict == "allow" for r in url_filter.classify_urls(df, rules=(), labelled=()).collect())
+
+
+def test_url_regression_on_words_that_it_never_saw():
+    halves = lambda words: (words[::2], words[1::2])
+    (seen, unseen), bad = halves(url_filter.ORDINARY), url_filter.UNWANTED
+    model = url_filter.fit(url_filter.labelled_urls(400, 10, tuple(seen), tuple(bad)))
+    test = url_filter.labelled_urls(300, 77, tuple(unseen), tuple(w + "s" for w in bad))
+    hosts, paths = map(list, zip(*[url_filter._plain_split(u) for u, _ in test], strict=True))
+    score, y = url_filter.url_scores(model, hosts, paths), np.array([v for _, v in test])
+    assert (score[y == 0] < 0.5).mean() >= 0.9 and (score[y == 1] >= 0.5).mean() >= 0.75
+    alone = np.array([url_filter.url_scores(model, [h], [p])[0] for h, p in zip(hosts, paths, strict=True)])
+    assert (alone == score).all()
+    few = [math.fsum(model[0][g] for g in url_filter._grams([h], [p])[0]) / max(1, len(url_filter._grams([h], [p])[0])) ** 0.5 + model[1] for h, p in zip(hosts[:50], paths[:50], strict=True)]
+    assert np.allclose(1 / (1 + np.exp(-np.array(few))), score[:50])
+    plain = "https://university.edu/physics/lectures https://gov.example.uk/tax/forms https://github.org/project/readme https://hospital.org/appointments https://nalewi.net/teru/12.html http://blog.sherou.org/en/778".split()
+    assert (url_filter.url_scores(url_filter.fit(url_filter.labelled_urls()), *map(list, zip(*map(url_filter._plain_split, plain), strict=True))) < 0.5).all()
+
+
+def test_url_parts_and_rules_equal_sql(spark):
+    import duckdb
+
+    import __spark_entry__
+
+    folder = "/root/testdata/sf0.01"
+    got = __spark_entry__.queries()["op10_url_filter"](spark, folder).collect()
+    rules = "('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')"
+    want = duckdb.sql(f"""WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '(?s)://[^/?#]*([^?#]*)', 1) AS path FROM '{folder}/pages.parquet'),
+        r(rule, h, p, v) AS (VALUES {rules})
+        SELECT page_id, host, path, arg_max(rule, length(rule)), arg_max(v, length(rule)) FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY ALL""").fetchall()
+    assert len(got) == len(want)
+    told = {r.page_id: r for r in got}
+    for page_id, host, path, rule, verdict in want:
+        r = told[page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict)
 
 
 # ---- pipeline
@@ -388,6 +612,43 @@ def test_pipeline_equals_brute_force(spark):
         assert r.round_trip and coder.decode(np.array(r.token_ids)).decode() == want[i]
 
 
+def stage(name):
+    import corpus_pipeline
+
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def test_language_stage_rejects_what_is_no_language(spark):
+    rng = random.Random(9)
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = [(-1, "".join(rng.choice("абвгдежзиклмнопрстуфхц   ") for _ in range(900)), None, "s", 1), (-2, "12 .. 34", None, "s", 1), (-3, None, "en", "s", 1), (-4, "", "en", "s", 1)]
+    odd += [(None, docs.first().text, None, "s", 1), (-5, "the of and", None, "s", 1), (-5, "the of and", None, "s", 1)]
+    got = stage("language_id")(spark, docs.unionByName(spark.createDataFrame(odd, docs.schema)), folder).collect()
+    kept = [r.doc_id for r in got]
+    assert set(docs.select("doc_id").toPandas().doc_id) <= set(kept) and kept.count(-5) == 2 and kept.count(None) == 1
+    assert not {-1, -2, -3, -4} & set(kept) and all(r.lang for r in got)
+    assert stage("language_id")(spark, docs.withColumn("lang", F.lit(None).cast("string")), folder).count() == docs.count()
+
+
+def test_stages_bear_empty_tables_null_ids_and_repeated_rows(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(None, "word " * 50, "en", "s", 1), (None, None, None, None, None), (1, None, None, None, None), (2, "a line " * 9, "fr", None, 5), (2, "a line " * 9, "fr", None, 5)]
+    some = spark.createDataFrame(rows, docs.schema)
+    import corpus_pipeline
+
+    for name, run in corpus_pipeline.STAGES:
+        none = run(spark, docs.limit(0), folder)
+        assert none.count() == 0
+        got = run(spark, some, folder).collect()
+        if name == "bpe":
+            assert len(got) == len(rows) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got)
+        else:
+            assert none.columns == corpus_pipeline.COLUMNS
+            assert [r.doc_id for r in got].count(None) >= 1 and [r.doc_id for r in got].count(2) == 2
+
+
 def test_queries_return_their_contracts(spark):
     import __spark_entry__
 
