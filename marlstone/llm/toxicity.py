@@ -27,6 +27,8 @@ SAMPLE, SAMPLE_CHARS = 3200, 12_000
 SURE = 4.0
 #: A word's vector is the sum of its subwords' embeddings over their number and DAMP; those that stand for nothing are left out.
 DAMP = 12
+#: Score at the place that tells the labels apart best; weight of a clean document flagged against a toxic one missed.
+CUT, FALSE = 0.3, 2.0
 #: Distinct words that a task remembers; beyond that it forgets those that its slice at hand has not.
 REMEMBERED = 200_000
 
@@ -174,18 +176,28 @@ def worst_window(logits: np.ndarray) -> float:
 
 
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a logistic curve through (x, y), a little drawn towards even odds; the scale is at least 0.
+    """Scale and shift of a logistic curve through (x, y) that is CUT where the two labels are told apart best.
 
-    Clean documents weigh six times as much as toxic ones: there are more of them.
+    The scale (0 at least) is that of a logistic regression, a little drawn towards 0. The place is the one at which the
+    share of toxic documents below and FALSE times the share of clean ones above are least together; of places alike,
+    the middle of the widest stretch without documents.
     """
     a, b = 1.0, 0.0
     mid, spread = x.mean(), max(1e-6, x.std())
-    z, weight = (x - mid) / spread, np.where(y == 1, 1 / 7 / max(1, y.sum()), 6 / 7 / max(1, (1 - y).sum()))
+    z, weight = (x - mid) / spread, np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     for _ in range(500):
         g = (1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - y) * weight
         a, b = a - 1.0 * ((g * z).sum() + 2e-3 * a), b - 1.0 * (g.sum() + 2e-3 * b)
-    a = max(0.0, a)
-    return a / spread, b - a * mid / spread
+    a = max(0.0, a) / spread
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    ends = np.concatenate([[x[0] - spread], x, [x[-1] + spread]])
+    lost = np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())  # with so many documents below
+    flagged = 1 - np.concatenate([[0], np.cumsum(1 - y)]) / max(1, (1 - y).sum())
+    cost, room = lost + FALSE * flagged, ends[1:] - ends[:-1]
+    best = np.flatnonzero(cost <= cost.min() + 1e-9)
+    at = best[room[best].argmax()]
+    return a, np.log(CUT / (1 - CUT)) - a * (ends[at] + ends[at + 1]) / 2
 
 
 def fit(texts: list[str], labels: list[int], epochs: int = 100, rate: float = 0.05, seed: int = 7) -> Model | None:
@@ -218,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     return fit([rows[k] for k in order], [label_of[k] for k in order])
 
 
-def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = CUT) -> DataFrame:
     """Every row of `docs` with score double (0 to 1) and predicted int (1 from `threshold` on) added.
 
     Null, empty and blank texts have no toxic window and score what an average of 0 scores; without a model all score 0.
