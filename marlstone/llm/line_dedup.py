@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, forget, fresh, map_slices, ship, written
+from ..storage import written
+from .common import ascii_lower, fresh, map_slices, ship
 
 #: What counts as blank at a line's ends: [\x20\x09-\x0D].
 BLANK = " \t\n\x0b\x0c\r"
@@ -102,9 +103,7 @@ def duplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, par
     rows = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "place")
     order = ["h1", "h2", F.desc("doc_id"), "place"]
     n = partitions or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(rows)  # the bounds of the ranges are sampled from it, so texts are split once
     told = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(lambda it: _stream(min_docs, it), _OUT))
-    forget(rows)
 
     runs = told.where("place = -1")  # at most two a partition
     beside = Window.partitionBy("h1", "h2").orderBy("part")
@@ -162,7 +161,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     digest, bitmap = fresh("text_digest", kept), fresh("bitmap", kept)
     keyed = docs.select(*kept, "text", F.shiftright(_place(F.col("text"), F.lit(0)), 32).alias(digest))
     maps = bitmaps.select("doc_id", F.col("text_digest").alias(digest), F.col("bitmap").alias(bitmap))
-    joined = keyed.join(maps, ["doc_id", digest], "left").select(*kept, "text", bitmap)
+    # sorted and merged at every size: a broadcast that only small inputs allow would say nothing of large ones
+    joined = keyed.join(maps.hint("merge"), ["doc_id", digest], "left").select(*kept, "text", bitmap)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + ["text string, n_lines long, n_dropped long"])
 
     def make():
