@@ -148,24 +148,32 @@ def train(docs: DataFrame, learn: Column | None = None, sample: int = SAMPLE, fa
     in one language, the least text counts; null texts count nowhere.
     """
     pool = docs.where(learn) if learn is not None else docs
-    share, keys = candidates(pool, "doc_id", "lang", sample)
+    share, keys = candidates(pool, "doc_id", "lang", sample, spare=1.25)
     if not keys:
         return None
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = features(batch.column("text").to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+            x = features(batch.column("text").to_pylist()).astype(np.float16)
+            columns = [pa.array([batch.column(n).to_pylist()], kind) for n, kind in (("doc_id", pa.list_(pa.int64())), ("lang", pa.list_(pa.string())))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes()], pa.binary())], ["ids", "langs", "x"])
 
         return fn
 
     texts = pool.select("doc_id", "text", "lang").where(F.col("text").isNotNull()).join(chosen(docs.sparkSession, keys, "doc_id"), "doc_id", "left_semi")
     texts = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
-    rows = {(r["doc_id"], r["lang"]): r["x"] for r in map_slices(texts, make, "doc_id long, lang string, x binary", rows=ROWS).collect()}
-    picked = [(k, c) for c, ks in sorted(keys.items()) for k in [k for k in ks if (k, c) in rows][:share]]
+    at, parts = {}, []  # each slice's rows are one block of numbers
+    for r in map_slices(texts, make, "ids array<long>, langs array<string>, x binary", rows=ROWS).collect():
+        at |= {who: (len(parts), i) for i, who in enumerate(zip(r["ids"], r["langs"], strict=True))}
+        parts.append(np.frombuffer(r["x"], np.float16).reshape(-1, DIM))
+    picked = [(k, c) for c, ks in sorted(keys.items()) for k in [k for k in ks if (k, c) in at][:share]]
     if not picked:
         return None
-    return fit(np.stack([np.frombuffer(rows[p], np.float16) for p in picked]).astype(np.float32), [c for _, c in picked], families)
+    x = np.empty((len(picked), DIM), np.float32)
+    for i, who in enumerate(picked):
+        x[i] = parts[at[who][0]][at[who][1]]
+    del parts
+    return fit(x, [c for _, c in picked], families)
 
 
 def identify_language(docs: DataFrame, model: Model | None) -> DataFrame:

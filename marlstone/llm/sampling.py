@@ -14,8 +14,8 @@ SPARE = 2
 _RANGE = 1 << 62
 
 
-def candidates(rows: DataFrame, key: str, cls: str, total: int, max_classes: int = MAX_CLASSES) -> tuple[int, dict[object, list]]:
-    """(share, {class: keys}): the share of each class in a sample of `total`, and its keys in order of hash, SPARE * share or all.
+def candidates(rows: DataFrame, key: str, cls: str, total: int, max_classes: int = MAX_CLASSES, spare: float = SPARE) -> tuple[int, dict[object, list]]:
+    """(share, {class: keys}): the share of each class in a sample of `total`, and its keys in order of hash, spare * share or all.
 
     `rows` has key and class; nulls in either are passed over, and a key that repeats counts once a class. The share is
     FLOOR at least. Every class has one: more than `max_classes` raise a ValueError, for none is left out silently.
@@ -27,7 +27,8 @@ def candidates(rows: DataFrame, key: str, cls: str, total: int, max_classes: int
     todo = {r["c"]: r["n"] for r in rows.groupBy("c").agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect()}
     if len(todo) > max_classes:
         raise ValueError(f"more than {max_classes} different values of {cls}")
-    share, factor, out = max(FLOOR, total // max(1, len(todo))), 1.5 * SPARE, {}
+    share, factor, out = max(FLOOR, total // max(1, len(todo))), 1.5 * spare, {}
+    most = math.ceil(spare * share)
     hashed = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col("k").cast("string")), 2))
     while todo:
         cut = {c: min(_RANGE, math.ceil((factor * share + 64) / n * _RANGE)) for c, n in todo.items()}
@@ -36,8 +37,8 @@ def candidates(rows: DataFrame, key: str, cls: str, total: int, max_classes: int
         for r in hashed.where(F.col("c").isin(list(todo)) & (F.col("h") < below)).distinct().collect():
             found[r["c"]].append((r["h"], r["k"]))
         for c, keys in found.items():
-            if len(keys) >= SPARE * share or cut[c] == _RANGE:
-                out[c] = [k for _, k in sorted(keys)][: SPARE * share]
+            if len(keys) >= most or cut[c] == _RANGE:
+                out[c] = [k for _, k in sorted(keys)][:most]
                 del todo[c]
         factor *= 16
     return share, out
