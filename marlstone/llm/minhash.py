@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, map_slices, mix64, mixer, written
+from ..storage import forget, written
+from .common import map_slices, mix64, mixer
 from .components import connected
 
 #: Registers of a sketch: 2**P buckets; bits of mantissa kept beside the leading-zero count.
@@ -188,14 +189,12 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose estimated similarity does not rule the threshold out."""
     for side in "ab":
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side)
-    s = percent / 100
-    floor = s - SLACK * (s * (1 - s) / BUCKETS) ** 0.5
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             n = [batch.column(f"n_{k}").to_numpy() for k in "ab"]
-            near = similarity(_regs(batch.column("r_a")), _regs(batch.column("r_b")), *n) >= floor
+            near = similarity(_regs(batch.column("r_a")), _regs(batch.column("r_b")), *n) >= _floor(percent)
             return batch.select(["a", "b"]).filter(pa.array(near))
 
         return fn
@@ -203,18 +202,33 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return map_slices(pairs.where(fits), make, "a long, b long", rows=1024).distinct()
 
 
+def _floor(percent: int) -> float:
+    """The least estimate with which a pair is verified: SLACK standard errors below the threshold."""
+    s = percent / 100
+    return s - SLACK * (s * (1 - s) / BUCKETS) ** 0.5
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold. Texts travel, not sets: they compress."""
+    """The pairs (a, b) whose full shingle sets reach the threshold. Texts travel, not sets: they compress.
+
+    `docs` has doc_id and text; where it has registers and n as well, the estimate rules pairs out first, in the same pass.
+    """
+    judged = "registers" in docs.columns
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    docs = docs.join(ids, "doc_id", "left_semi").distinct()  # a repeated row would meet each of its like
     for side in "ab":
-        pairs = pairs.join(docs.select(F.col("doc_id").alias(side), F.col("text").alias(f"t_{side}")), side)
+        pairs = pairs.join(docs.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in docs.columns if c != "doc_id"]), side)
 
     def make():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = (batch.column(f"t_{k}").to_pylist() for k in "ab")
+            linked = np.ones(batch.num_rows, bool)
+            if judged:
+                n = [batch.column(f"n_{k}").to_numpy() for k in "ab"]
+                linked = similarity(_regs(batch.column("registers_a")), _regs(batch.column("registers_b")), *n) >= _floor(percent)
+            a, b = (batch.column(f"text_{k}").filter(pa.array(linked)).to_pylist() for k in "ab")
             own = list({*a, *b})
             sets = dict(zip(own, shingle_sets(own, width), strict=True))
-            linked = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+            for i, x, y in zip(np.flatnonzero(linked), a, b, strict=True):
                 x, y = sets[x], sets[y]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked[i] = both and 100 * both >= percent * (len(x) + len(y) - both)
@@ -225,7 +239,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return map_slices(pairs, make, "a long, b long", rows=128)
 
 
-def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of `nodes` (node, c) of different components c that may reach the threshold, by prefix filtering.
 
     Two sets that reach it share one of their n - ceil(n * percent / 100) + 1 rarest shingles, rarity counted among these
@@ -259,9 +273,7 @@ def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     # what two sets share begins with their first common shingle in this order; there, enough of both must be left
     left = f"(least(x.n - x.r, y.n - y.r) + 1) * {100 + int(percent)} >= (x.n + y.n) * {int(percent)}"
     pairs = x.join(y, ["h", "shard"]).where(f"x.c <> y.c and (y.c = y.l or x.node < y.node) and {left}")
-    pairs = written(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    forget(prefix)
-    return pairs
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), prefix
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
@@ -284,6 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     shared = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = written(bands.join(shared, "bucket").where("node <> leader"))
     to_leader = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    # written, few pairs are known to be few: they travel to the texts
     likely = written(_estimated(to_leader, nodes, percent))
     links = written(_verified(likely, docs, width, percent))
 
@@ -294,11 +307,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     placed = written(placed.select("bucket", "node", "leader", F.coalesce("c", "node").alias("c"), F.coalesce("l", "leader").alias("l")))
     contested = placed.join(placed.where("c <> l").select("bucket").distinct(), "bucket")
     contested = written(contested.select("node", "c").unionByName(contested.select(F.col("leader").alias("node"), F.col("l").alias("c"))).distinct())
-    met = _cross(contested, docs, width, percent)
-    cross = written(_estimated(met.join(to_leader, ["a", "b"], "left_anti"), nodes, percent))
-    across = written(_verified(cross, docs, width, percent))
+    met, prefix = _cross(contested, docs, width, percent)
+    # nearly all of these pairs are as like as their group: what is estimated and what is verified is joined at once
+    sides = docs.join(contested.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct().join(nodes.select(F.col("node").alias("doc_id"), "n", "registers"), "doc_id")
+    across = written(_verified(met.join(to_leader, ["a", "b"], "left_anti"), sides, width, percent).distinct())
     linked = connected(links.unionByName(copies).unionByName(across))
-    forget(likely, links, reached, placed, contested, met, cross, across, members, nodes)
+    forget(likely, links, reached, placed, contested, prefix, across, members, nodes)
     comps = linked.select(F.col("node").alias("doc_id"), "component")
     out = sketches.select("doc_id", "n_shingles").join(comps, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
