@@ -22,9 +22,9 @@ from ..storage import forget, written
 from .common import map_slices, ship
 
 #: Numbers in the sample that the lists of a dimension are fitted on, at most, and its vectors, at most.
-SAMPLE_VALUES, SAMPLE_ROWS = 1 << 22, 1 << 16
+SAMPLE_VALUES, SAMPLE_ROWS = 1 << 21, 1 << 15
 #: Sampled vectors to a list, at least, and the lists of a dimension, at most.
-PER_LIST, MAX_LISTS = 16, 4096
+PER_LIST, MAX_LISTS = 16, 2048
 #: Different dimensions beyond which a table is refused.
 MAX_DIMENSIONS = 64
 #: Columns of a block, and the test's factor.
