@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 #: Keys of a class, where it has so many, however many classes share the sample; classes beyond which sampling refuses.
 FLOOR, MAX_CLASSES = 16, 512
 #: Keys that are fetched for one that is wanted: some turn out to have no usable text.
-SPARE = 2
+SPARE = 1.25
 _RANGE = 1 << 62
 
 

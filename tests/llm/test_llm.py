@@ -361,10 +361,10 @@ def test_every_class_has_its_share_and_repeated_keys_count_once(spark):
     rows += [(i, f"c{i // 100:03}") for c in range(100) for i in range(100 * c, 100 * c + 5)] * 40
     rows += [(7, "c000")] * 3000 + [(None, "c001"), (8, None)]
     df = spark.createDataFrame(rows, "doc_id long, lang string")
-    share, got = sampling.candidates(df, "doc_id", "lang", 2000)
+    share, got = sampling.candidates(df, "doc_id", "lang", 2000, spare=2)
     assert share == 20 and len(got) == 100
     assert all(len(keys) == len(set(keys)) == 40 and {k // 100 for k in keys} == {int(c[1:])} for c, keys in got.items())
-    again = sampling.candidates(df.repartition(7), "doc_id", "lang", 2000)
+    again = sampling.candidates(df.repartition(7), "doc_id", "lang", 2000, spare=2)
     assert again == (share, got)
     assert sampling.candidates(df, "doc_id", "lang", 100)[0] == sampling.FLOOR
     settled = sampling.settled(20, got, {k for keys in got.values() for k in keys[::2]})
