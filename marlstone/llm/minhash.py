@@ -214,8 +214,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     `docs` has doc_id and text; where it has registers and n as well, the estimate rules pairs out first, in the same pass.
     """
     judged = "registers" in docs.columns
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    docs = docs.join(ids, "doc_id", "left_semi").distinct()  # a repeated row would meet each of its like
+    if not judged:  # else they are those of the pairs already
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        docs = docs.join(ids, "doc_id", "left_semi").distinct()  # a repeated row would meet each of its like
     for side in "ab":
         pairs = pairs.join(docs.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in docs.columns if c != "doc_id"]), side)
 
