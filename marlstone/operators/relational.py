@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranged
+
 #: Rows of a dimension up to which `recode` inlines it as a map literal.
 MAX_LITERAL_MAP = 200
 
@@ -133,7 +135,5 @@ def top_k(df: DataFrame, by: str, tie: str, k: int = 10) -> DataFrame:
 
 
 def every_nth(df: DataFrame, order: str, n: int) -> DataFrame:
-    """Rows 1, n + 1, 2 n + 1 … in order: for ticks of an aggregated series, as all rows meet in one task."""
-    from pyspark.sql import Window
-
-    return df.withColumn("_rn", F.row_number().over(Window.orderBy(order))).where((F.col("_rn") - 1) % n == 0).drop("_rn")
+    """Rows 1, n + 1, 2 n + 1 … in order, of a table of any size: see ranged.every_nth."""
+    return ranged.every_nth(df, [order], n)

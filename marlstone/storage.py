@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that `written` made and nobody has forgotten yet.
+_KEPT: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder for written tables below spark.checkpoint.dir, which driver and executors share.
@@ -28,14 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and the loss of an executor costs nothing already written."""
     path = shared_dir(df.sparkSession)
+    _KEPT.add(path)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _KEPT.discard(path)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables of `written` that nothing lazy reads any more."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.stored_at)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables of `written` that are still there, and count them.
+
+    Operators that need such a table return frames that read it: sweep once their results are stored elsewhere.
+    """
+    todo = sorted(_KEPT)
+    for path in todo:
+        _delete(spark, path)
+    return len(todo)
