@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontamination, language_id, line_dedup, minhash, quality, token_counts, toxicity, url_filter
+from . import ann, bpe, chat, decontamination, language_id, line_dedup, minhash, quality, token_counts, toxicity, url_filter
 from .common import bucket_of
 
 
@@ -79,11 +79,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.classify_urls(_table(spark, sf_dir, "pages", "page_id long, url string"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations", "conv_id long, turn long, role string, text string")
+    more = spark.createDataFrame([(-7, 0, "user", _CONTROL), (-7, 1, "assistant", _CONTROL)], rows.schema)
+    chats = chat.format_chats(chat.linear(rows.unionByName(more)))
+    chats = chats.withColumns({"turns": chat.read_turns(F.col("formatted")), "learned": F.array_join(chat.read_learned(F.col("formatted"), F.col("loss_mask")), "")})
+    read = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return chats.select(
+        F.col("tree_id").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(read, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+#: What the two turns of the added conversation -7 say: control strings of several templates.
+_CONTROL = r"\### Assistant: </turn> ok"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_token_counts, op3_language_id, op4_decontamination, op5_line_dedup,
         op6_bpe, op7_nearest, op8_quality, op9_minhash, op10_url_filter,
+        op12_chat_format,
     )
 }
 
@@ -123,4 +139,14 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id,
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_minhash": _OP9_SQL, "op4_decontamination": _OP4_SQL, "op5_line_dedup": _OP5_SQL}
+#: Conversations put together without a template, and the length that the template gives them.
+_OP12_SQL = r"""
+WITH c AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -7, t.k, t.r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(k, r)),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM c),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY k) AS turns,
+      coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS learned,
+      sum(length('<turn ></turn>' || chr(10)) + length(replace(replace(role, '%', '%25'), '>', '%3E')) + length(regexp_replace(text, '<(\\*)(/?turn)', '<\\\1\2', 'g'))) AS chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+"""
+
+ORACLE_SQL: dict[str, str] = {"op9_minhash": _OP9_SQL, "op4_decontamination": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op12_chat_format": _OP12_SQL}
