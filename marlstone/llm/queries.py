@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontamination, language_id, line_dedup, minhash, quality, token_counts, toxicity, url_filter
+from . import ann, bpe, centroids, chat, decontamination, language_id, line_dedup, minhash, quality, token_counts, toxicity, url_filter
 from .common import bucket_of
 
 
@@ -91,6 +91,10 @@ def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings", "vec_id long, embedding array<float>"))
+
+
 #: What the two turns of the added conversation -7 say: control strings of several templates.
 _CONTROL = r"\### Assistant: </turn> ok"
 
@@ -99,7 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity, op2_token_counts, op3_language_id, op4_decontamination, op5_line_dedup,
         op6_bpe, op7_nearest, op8_quality, op9_minhash, op10_url_filter,
-        op12_chat_format,
+        op12_chat_format, op13_centroids,
     )
 }
 
@@ -149,4 +153,23 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars, sha256(learned) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
 """
 
-ORACLE_SQL: dict[str, str] = {"op9_minhash": _OP9_SQL, "op4_decontamination": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op12_chat_format": _OP12_SQL}
+
+
+def _op13_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid, in as many rounds, on rows of single components."""
+    near = """d{r} AS MATERIALIZED (SELECT v.row, c.number, sum((v.x - c.x) * (v.x - c.x)) AS away FROM x v JOIN c{r} c ON v.j = c.j GROUP BY 1, 2),
+a{r} AS MATERIALIZED (SELECT row, arg_min(number, (away, number)) AS number, min(away) AS away FROM d{r} GROUP BY 1),
+m{r} AS (SELECT a.number, v.j, sum(v.x) AS s, count(*) AS n FROM x v JOIN a{r} a USING (row) GROUP BY 1, 2),
+c{n} AS MATERIALIZED (SELECT c.number, c.j, CASE WHEN m.n IS NULL THEN c.x ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS x FROM c{r} c LEFT JOIN m{r} m ON m.number = c.number AND m.j = c.j)"""
+    steps = ",\n".join(near.format(r=r, n=r + 1) for r in range(rounds + 1))
+    return f"""WITH v AS (SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e))) = 64),
+x AS MATERIALIZED (SELECT row, vec_id, generate_subscripts(embedding, 1) AS j, CAST(floor(256 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS x FROM v),
+s AS (SELECT row, row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), embedding) - 1 AS number FROM v WHERE vec_id IS NOT NULL QUALIFY number < {k}),
+c0 AS MATERIALIZED (SELECT s.number, x.j, x.x FROM s JOIN x USING (row)),
+{steps},
+h AS (SELECT number, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY j)) AS digest FROM c{rounds} GROUP BY 1)
+SELECT v.vec_id, CAST(a.number AS INTEGER) AS cluster, CAST(a.away AS BIGINT) AS distance, CAST(sum(a.away) OVER (PARTITION BY a.number) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.away) OVER () AS BIGINT) AS inertia, h.digest AS centroid_sha256 FROM a{rounds} a JOIN v USING (row) JOIN h USING (number)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op9_minhash": _OP9_SQL, "op4_decontamination": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op12_chat_format": _OP12_SQL, "op13_centroids": _op13_sql()}
