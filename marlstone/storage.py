@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/marlstone-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     """df as a table in the shared folder: its lineage is cut, and the loss of an executor costs nothing already written."""
     path = shared_dir(df.sparkSession)
     _KEPT.add(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
