@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, centroids, chat, decontamination, language_id, line_dedup, minhash, quality, token_counts, toxicity, url_filter
+from ..storage import written
+from . import alignment, ann, bpe, centroids, chat, decontamination, language_id, line_dedup, minhash, quality, token_counts, toxicity, url_filter
 from .common import bucket_of
 
 
@@ -79,6 +80,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.classify_urls(_table(spark, sf_dir, "pages", "page_id long, url string"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    aligned = alignment.align(documents(spark, sf_dir).select("doc_id", "text"))
+    # documents are encoded once: what the counts need of them is written
+    aligned = written(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "pairs", "times"), codec="zstd")
+    counts = alignment.count_pairs(aligned, alignment.vocabulary_size())
+    return alignment.with_counts(aligned, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations", "conv_id long, turn long, role string, text string")
     more = spark.createDataFrame([(-7, 0, "user", _CONTROL), (-7, 1, "assistant", _CONTROL)], rows.schema)
@@ -103,7 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_toxicity, op2_token_counts, op3_language_id, op4_decontamination, op5_line_dedup,
         op6_bpe, op7_nearest, op8_quality, op9_minhash, op10_url_filter,
-        op12_chat_format, op13_centroids,
+        op11_token_alignment, op12_chat_format, op13_centroids,
     )
 }
 
