@@ -34,6 +34,8 @@ _EMPTY = np.uint16(0xFFFF)
 PIECE = 1 << 17
 #: Sets that meet over one shingle in one task, at most (on average): more are dealt out over shards.
 SHARD = 512
+#: Shingles before it that each shingle of a prefix has with it.
+EARLIER = 12
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _BLANK = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -245,7 +247,8 @@ def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple
 
     Two sets that reach it share one of their n - ceil(n * percent / 100) + 1 rarest shingles, rarity counted among these
     sets. Near copies that have grown apart show it in shingles of their own and so meet nobody; a shingle that a whole
-    component shares makes no pairs within it.
+    component shares makes no pairs within it. Two sets that share several of these come out of the join at the first of
+    them, as long as no more than EARLIER of a set's own stand between: the others see an earlier one and keep still.
     """
 
     def make():
@@ -264,7 +267,8 @@ def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     rarest = Window.partitionBy("node", "own").orderBy("df", "h")
     ranked = rows.join(common, "h", "left").withColumn("df", F.coalesce("df", F.lit(1).cast("long"))).withColumn("r", F.row_number().over(rarest))
-    prefix = written(ranked.where(f"r <= n - (n * {int(percent)} + 99) div 100 + 1 and df > 1").select("h", "node", "n", "c", "r"))
+    ranked = ranked.where(f"r <= n - (n * {int(percent)} + 99) div 100 + 1 and df > 1")
+    prefix = written(ranked.withColumn("earlier", F.collect_list("h").over(rarest.rowsBetween(-EARLIER, -1))).select("h", "node", "n", "c", "r", "earlier"))
     forget(rows)
     heads = prefix.groupBy("h").agg(F.min_by("c", "node").alias("l"), F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high")
     met = prefix.join(heads.select("h", "l", F.ceil(F.col("m") / SHARD).cast("int").alias("shards")), "h")
@@ -273,7 +277,7 @@ def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple
     y = met.withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).alias("y")
     # what two sets share begins with their first common shingle in this order; there, enough of both must be left
     left = f"(least(x.n - x.r, y.n - y.r) + 1) * {100 + int(percent)} >= (x.n + y.n) * {int(percent)}"
-    pairs = x.join(y, ["h", "shard"]).where(f"x.c <> y.c and (y.c = y.l or x.node < y.node) and {left}")
+    pairs = x.join(y, ["h", "shard"]).where(f"x.c <> y.c and (y.c = y.l or x.node < y.node) and {left} and not arrays_overlap(x.earlier, y.earlier)")
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), prefix
 
 
