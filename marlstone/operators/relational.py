@@ -102,6 +102,50 @@ def append_row(df: DataFrame, **values) -> DataFrame:
     return df.unionByName(row)
 
 
+def upsert(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """`df` with the rows of `changes` by label: a label that is there is overwritten, one that is not is added.
+
+    Columns that `changes` has are taken from it, nulls as well; those that it lacks stay, and are null in new rows.
+    Labels of `changes` are unique, or the query raises; rows of `df` that share a label are all overwritten. A null label
+    is found nowhere: it stays, or is added. One join; other columns of `changes` are not read.
+    """
+    changed = [c for c in changes.columns if c in df.columns and c != key]
+    new = F.struct(F.lit(1).alias("_there"), *[F.col(f"`{c}`").cast(df.schema[c].dataType).alias(f"_c{i}") for i, c in enumerate(changed)])
+    own = changes.withColumn("_alone", F.when(F.col(f"`{key}`").isNull(), F.monotonically_increasing_id()))
+    once = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("label repeats in the changes: "), F.first(f"`{key}`").cast("string")))).otherwise(F.first("_new"))
+    own = own.withColumn("_new", new).groupBy(F.col(f"`{key}`").cast(df.schema[key].dataType).alias("_key"), "_alone").agg(once.alias("_new"))
+    made = df.withColumn("_old", F.lit(1)).join(own, F.col(f"`{key}`") == F.col("_key"), "full")
+    there, old = F.col("_new._there").isNotNull(), F.col("_old").isNotNull()
+    out = {key: F.when(old, F.col(f"`{key}`")).otherwise(F.col("_key"))}
+    out |= {c: F.when(there, F.col(f"_new._c{i}")).otherwise(F.col(f"`{c}`")) for i, c in enumerate(changed)}
+    return made.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])
+
+
+def distinct_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """value: the distinct values of all the columns together, as texts, nulls left out; one pass, summed up where it is read.
+
+    What is costly to look up is then looked up once a value, however many cells hold it.
+    """
+    cells = df.select(F.explode(F.array_distinct(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))).alias("value"))
+    return cells.where("value is not null").distinct()
+
+
+def recode_cells(df: DataFrame, columns: Sequence[str], dictionary: DataFrame) -> DataFrame:
+    """Replace values in several columns by one dictionary (value, replacement) of any size, in one pass, without cascading.
+
+    The dictionary is cut to the values that occur before it is joined; a value that it lists more than once takes the
+    least replacement, and a replacement that is null is taken. Values that are not listed stay, nulls too.
+    """
+    listed = dictionary.where("value is not null").groupBy("value").agg(F.min("replacement").alias("replacement"))
+    used = distinct_cells(df, columns).join(listed, "value")
+    out = df
+    for i, c in enumerate(columns):
+        known = used.select(F.col("value").alias(f"_v{i}"), F.col("replacement").alias(f"_r{i}"))
+        out = out.join(known, F.col(f"`{c}`").cast("string") == F.col(f"_v{i}"), "left")
+    made = {c: F.when(F.col(f"_v{i}").isNotNull(), F.col(f"_r{i}")).otherwise(F.col(f"`{c}`").cast("string")) for i, c in enumerate(columns)}
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in df.columns])
+
+
 def recode(df: DataFrame, column: str, mapping: Mapping[str, str] | DataFrame) -> DataFrame:
     """Replace values in one pass, without cascading; values that are not mapped stay.
 

@@ -10,15 +10,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shape import exact_sum, forward_fill
+from .shape import forward_fill, number
 
 
 def daily_bars(df: DataFrame, time: str, tie: str, value: str, within: Sequence[str] = ()) -> DataFrame:
-    """day, open, high, low, close, volume: ties in time are ordered by `tie`. Null times and values are left out."""
-    rows = df.where(F.col(time).isNotNull() & F.col(value).isNotNull())
+    """day, open, high, low, close, volume: ties in time are ordered by `tie`. Null times and null or NaN values are left out."""
+    rows = df.where(F.col(time).isNotNull() & number(value).isNotNull())
     at = F.struct(time, tie)
     return rows.groupBy(*within, F.to_date(time).alias("day")).agg(
-        F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"), exact_sum(value).alias("volume")
+        F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"), F.sum(value).alias("volume")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,8 @@ from ..storage import written
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str] | None = None) -> DataFrame:
     """Wide to long: ids, variable, value. Without `values`, all other columns; they need one common type."""
-    return df.unpivot(list(ids), list(values or [c for c in df.columns if c not in ids]), "variable", "value")
+    names = list(values or [c for c in df.columns if c not in ids])
+    return df.unpivot([F.col(f"`{c}`") for c in ids], [F.col(f"`{c}`") for c in names], "variable", "value")
 
 
 def skip_first(df: DataFrame, *order: str) -> DataFrame:
@@ -54,26 +56,51 @@ def count_by_ordered(df: DataFrame, x: str, hue: str, order: Sequence[str]) -> D
     return count_by(df.where(F.col(x).isin(list(order))), x, hue).withColumn("position", place)
 
 
-def exact_sum(column: str, scale: int = 2) -> Column:
-    """Sum of numbers with `scale` decimals, the same in whatever order rows come."""
-    return F.sum(F.col(column).cast(f"decimal(18,{scale})")).cast("double")
+def number(column: str) -> Column:
+    """The column, NaN as null: aggregates then skip both alike."""
+    return F.nanvl(F.col(f"`{column}`").cast("double"), F.lit(None).cast("double"))
 
 
-def mean_by(df: DataFrame, x: str, y: str, scale: int = 2) -> DataFrame:
-    """Mean of y for each x; null y are skipped."""
-    return df.groupBy(x).agg((exact_sum(y, scale) / F.count(y)).alias("mean"), F.count(y).alias("n"))
+def mean_by(df: DataFrame, x: str, y: str) -> DataFrame:
+    """mean of y for each x, and n, the number of its values; null and NaN are skipped in both. Values are not rounded."""
+    return df.groupBy(x).agg(F.avg(number(y)).alias("mean"), F.count(number(y)).alias("n"))
+
+
+def mean_interval(df: DataFrame, x: str, y: str, row_id: str, replicates: int = 200, level: float = 0.95, blocks: int = 1024) -> DataFrame:
+    """mean of y for each x and its bootstrap interval low, high: the same at every partitioning and on every run.
+
+    A Poisson bootstrap: each replicate weighs rows by Poisson numbers of mean 1 and takes the weighted mean; the interval
+    holds `level` of the replicates' means. Rows are dealt to `blocks` by a hash of their id and weighted by the block, so
+    that rows are read and summed up once, whatever the number of replicates. Null and NaN values are skipped; a null id
+    is an id like any other.
+    """
+    unit = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws("/", *parts)), 1, 12), 16, 10).cast("long")
+    rows = df.select(F.col(f"`{x}`").alias("_x"), number(y).alias("_y"), F.coalesce(F.col(f"`{row_id}`").cast("string"), F.lit("")).alias("_id")).where("_y is not null")
+    sums = rows.groupBy("_x", (unit("_id") % blocks).alias("_b")).agg(F.sum("_y").alias("_s"), F.count("_y").alias("_n"))
+    drawn = sums.withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    u = unit(F.col("_b").cast("string"), F.col("_k").cast("string"))
+    term, sure, weight = math.exp(-1), 0.0, F.lit(0)
+    for k in range(1, 13):  # the chance of 13 or more is 6e-11, less than a step of u
+        sure += term
+        term /= k
+        weight += (u >= int(sure * 16**12)).cast("int")
+    drawn = drawn.withColumn("_w", weight).groupBy("_x", "_k").agg(F.sum(F.col("_w") * F.col("_s")).alias("_s"), F.sum(F.col("_w") * F.col("_n")).alias("_n"))
+    means = drawn.groupBy("_x").agg(F.percentile(F.try_divide("_s", F.col("_n").cast("double")), [(1 - level) / 2, (1 + level) / 2]).alias("_q"))
+    whole = sums.groupBy("_x").agg((F.sum("_s") / F.sum("_n")).alias("mean"), F.sum("_n").alias("n")).withColumnRenamed("_x", "_same")
+    return means.join(whole, F.col("_x").eqNullSafe(F.col("_same"))).select(F.col("_x").alias(x), "mean", F.col("_q")[0].alias("low"), F.col("_q")[1].alias("high"), "n")
 
 
 QUARTILES = ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
 
 
 def quartiles(df: DataFrame, *keys: str, value: str) -> DataFrame:
-    """Exact lower quartile, median and upper quartile of each group, interpolated; nulls are left out.
+    """Exact lower quartile, median and upper quartile of each group, interpolated; null and NaN are left out.
 
     Equal values are counted first. The counts are ranged over partitions, their running sums taken within each and
     continued from one to the next, so that no task needs a whole group however many values it has.
+    The counts are written while the plan is built, and the result reads them: see storage.sweep.
     """
-    counts = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.select(*keys, number(value).alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     ranged = written(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
     so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -89,20 +116,47 @@ def quartiles(df: DataFrame, *keys: str, value: str) -> DataFrame:
     return found.select(*keys, *[(F.col(f"_{i}a") + (at[p] - F.floor(at[p])) * (F.col(f"_{i}b") - F.col(f"_{i}a"))).alias(n) for i, (p, n) in enumerate(QUARTILES)])
 
 
-def density(df: DataFrame, column: str, grid: Sequence[float], within: Sequence[str] = ()) -> DataFrame:
-    """x, density: Gaussian kernel density at the points of `grid`, bandwidth sd * n ** (-1/5); one curve a group.
+#: Width of a bin as a share of the bandwidth, and moments that are kept of it: a density is off by 3e-14 of its kernel's
+#: peak at most, as the next term of the series is below 1.09 * (BIN / 2) ** MOMENTS / sqrt(MOMENTS!).
+BIN, MOMENTS = 0.25, 11
+
+
+def density(df: DataFrame, column: str, grid: Sequence[float] | None = None, within: Sequence[str] = (), points: int = 200, cut: float = 3.0) -> DataFrame:
+    """x, density: Gaussian kernel density, bandwidth sd * n ** (-1/5); one curve a group, its places in order.
 
-    A point of the grid is one aggregate, so rows are summed up where they are read and nothing but sums is shuffled.
-    Nulls, NaN and rows with a null key are left out; fewer than two distinct values have null density.
+    Without `grid`, a group's curve has `points` places from `cut` bandwidths below its least value to as many above its
+    greatest. Values are binned, and of each bin the first moments around its centre are kept: the kernel's series there
+    gives each bin's share of a place's density, so that places are paid for by the bin and not by the row, and only
+    moments of bins are shuffled. Nulls, NaN and rows with a null key are left out; fewer than two distinct values have
+    null density (at the places of `grid`; without one, they have no curve).
     """
-    x, keys = F.col(column).cast("double"), list(within)
-    data = df.where(x.isNotNull() & ~F.isnan(x)).select(*keys, x.alias("_x")).dropna(subset=keys or None)
-    stats = data.groupBy(*keys).agg(F.count("_x").alias("_n"), (F.stddev_samp("_x") * F.pow(F.count("_x").cast("double"), F.lit(-0.2))).alias("_h"))
-    u = [(F.lit(float(g)) - F.col("_x")) / F.nullif(F.col("_h"), F.lit(0.0)) for g in grid]
+    keys = list(within)
+    data = df.select(*keys, number(column).alias("_x")).where("_x is not null").dropna(subset=keys or None)
+    stats = data.groupBy(*keys).agg(F.count("_x").alias("_n"), F.nullif(F.stddev_samp("_x") * F.pow(F.count("_x").cast("double"), F.lit(-0.2)), F.lit(0.0)).alias("_h"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
     both = data.join(stats, keys) if keys else data.crossJoin(F.broadcast(stats))  # without keys, one row
-    sums = both.groupBy(*keys).agg(F.first("_n").alias("_n"), F.first("_h").alias("_h"), *[F.sum(F.exp(-(v * v) / 2)).alias(f"_s{i}") for i, v in enumerate(u)])
-    points = F.array(*[F.struct(F.lit(float(g)).alias("x"), (F.col(f"_s{i}") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))).alias("density")) for i, g in enumerate(grid)])
-    return sums.select(*keys, F.inline(points))
+    place = (F.col("_x") - F.col("_low")) / F.col("_h") / BIN
+    bins = both.select(*keys, "_n", "_h", "_low", "_high", F.floor(place).alias("_bin"), ((place - F.floor(place) - 0.5) * BIN).alias("_e"))
+    power, moments = F.lit(1.0), []
+    for k in range(MOMENTS):
+        moments.append(F.sum(power).alias(f"_m{k}"))
+        power = power * F.col("_e")
+    summed = bins.groupBy(*keys, "_bin").agg(*[F.first(c).alias(c) for c in ("_n", "_h", "_low", "_high")], *moments)
+    if grid is None:
+        first, last = F.col("_low") - cut * F.col("_h"), F.col("_high") + cut * F.col("_h")
+        at = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: first + (last - first) * i / (points - 1))
+        summed = summed.where("_h is not null")
+    else:
+        at = F.array(*[F.lit(float(g)) for g in grid])
+    spread = summed.withColumn("x", F.explode(at)).withColumn("_u", (F.col("x") - F.col("_low")) / F.col("_h") - (F.col("_bin") + 0.5) * BIN)
+    # Hermite polynomials over k!, each of the two before it
+    h = [F.col(f"_h{k}") for k in range(MOMENTS)]
+    spread = spread.withColumns({"_h0": F.lit(1.0), "_h1": F.col("_u")})
+    for k in range(2, MOMENTS):
+        spread = spread.withColumn(f"_h{k}", (F.col("_u") * h[k - 1] - h[k - 2]) / k)
+    share = F.exp(-F.col("_u") * F.col("_u") / 2) * reduce(lambda a, b: a + b, [h[k] * F.col(f"_m{k}") for k in range(MOMENTS)])
+    total = F.greatest(F.sum(share), F.lit(0.0)) / (F.first("_n") * F.first("_h") * math.sqrt(2 * math.pi))
+    made = spread.groupBy(*keys, "x").agg(F.when(F.first("_h").isNotNull(), total).alias("density"))
+    return made.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "density"))).alias("_curve")).select(*keys, F.inline("_curve"))  # a row a place
 
 
 def null_counts(df: DataFrame) -> DataFrame:

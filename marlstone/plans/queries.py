@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import content, relational, series, shape
+from ..operators import content, ranged, relational, series, shape
 from ..sources import documents as sources
 
 GRID = [float(x) for x in range(0, 501, 25)]
@@ -110,18 +110,77 @@ def count_by_ordered(spark, d):
 
 def global_mean_max(spark, d):
     df = table(spark, d, "customer")
-    return df.agg((shape.exact_sum("c_acctbal") / F.count("c_acctbal")).alias("mean_balance"), F.max("c_acctbal").alias("max_balance"), F.count(F.lit(1)).alias("n"))
+    return df.agg(F.round(F.avg(shape.number("c_acctbal")), 6).alias("mean_balance"), F.max("c_acctbal").alias("max_balance"), F.count(F.lit(1)).alias("n"))
 
 
 def mean_by_x(spark, d):
     df = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_totalprice")
-    return shape.mean_by(df, "year", "o_totalprice")
+    return shape.mean_by(df, "year", "o_totalprice").withColumn("mean", F.round("mean", 6))
+
+
+def mean_interval(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("year"), "o_totalprice")
+    made = shape.mean_interval(df, "year", "o_totalprice", "o_orderkey")
+    return made.select("year", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "n")
 
 
 def every_fifth_year(spark, d):
     return relational.every_nth(table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct(), "year", 5)
 
 
+def every_fifth_row(spark, d):
+    """Of a table of rows: they are numbered over ranges."""
+    return relational.every_nth(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 5)
+
+
+def forward_fill_rows(spark, d):
+    """One series of a row an event, filled over ranges."""
+    return ranged.forward_fill(_gaps(spark, d).select("event_id", "ts", "value"), ["ts", "event_id"], ["value"]).select("event_id", "value")
+
+
+def row_drawdown(spark, d):
+    """A factor an event, compounded for each user over ranges, and what is lost since the peak."""
+    df = table(spark, d, "events").select("event_id", "user_id", "ts", (1 + (F.col("value") - 250) / 10000).alias("factor"))
+    curve = ranged.running_product(df, "factor", ["ts", "event_id"], ["user_id"])
+    made = ranged.drawdown(curve, "equity", ["ts", "event_id"], ["user_id"])
+    return made.select("event_id", F.round("equity", 6).alias("equity"), F.round("drawdown", 6).alias("drawdown"))
+
+
+def breakout_by_symbol(spark, d):
+    """The break-out of five symbols; the day before may lie in another range."""
+    events = table(spark, d, "events").withColumn("symbol", F.col("user_id") % 5)
+    bars = series.daily_bars(events, "ts", "event_id", "value", ["symbol"])
+    return ranged.breakout(bars, ["day"], within=["symbol"]).select("symbol", "day", F.round("target", 6).alias("target"), F.round("factor", 6).alias("factor"))
+
+
+def recode_all_cells(spark, d):
+    """One dictionary for two columns, made of the distinct values of both."""
+    part = table(spark, d, "part").select("p_brand", "p_type")
+    dictionary = relational.distinct_cells(part, ["p_brand", "p_type"]).where("value like '%1' or value like '%L%'").select("value", F.reverse("value").alias("replacement"))
+    return shape.count_by(relational.recode_cells(part, ["p_brand", "p_type"], dictionary), "p_brand", "p_type")
+
+
+def upsert_rows(spark, d):
+    """Every tenth customer gets a new balance; as many are added, without a nation."""
+    customer = table(spark, d, "customer")
+    tenth = customer.where("c_custkey % 10 = 0").select("c_custkey", "c_name", (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    added = tenth.select((F.col("c_custkey") + 100_000_000).alias("c_custkey"), "c_name", F.lit(None).cast("double").alias("c_acctbal"))
+    made = relational.upsert(customer, tenth.unionByName(added), "c_custkey")
+    return made.select("c_custkey", "c_name", "c_nationkey", F.round("c_acctbal", 2).alias("c_acctbal"), "c_mktsegment")
+
+
+def html_table_spans(spark, d):
+    """A table with cells over two rows and columns before each page's own markup, read back as a grid."""
+    cell = F.coalesce(F.regexp_replace("url", "[<>&]", ""), F.lit(""))
+    front = F.concat(
+        F.lit('<table><tr><th rowspan="2">page</th><th colspan=2>url</th></tr><tr><th>text<th>length</tr><tr><td rowspan="3">'), F.col("page_id").cast("string"),
+        F.lit("</td><td>"), cell, F.lit("<td>"), F.length(cell).cast("string"), F.lit("</td></tr><tr><td colspan='2'>none</td></tr></table>"),
+    )
+    pages = table(spark, d, "pages").select("page_id", F.concat(front, F.coalesce("html", F.lit(""))).alias("html"))
+    rows = sources.html_tables(pages, "page_id").where("table_no = 0")
+    return rows.select("page_id", "row_no", F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"))
+
+
 def quartiles_by_group(spark, d):
     q = shape.quartiles(table(spark, d, "events"), "event_type", value="value")
     return q.select("event_type", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")])
@@ -162,9 +221,9 @@ def _search_and_prices(spark, d, *within):
     events = table(spark, d, "events")
     days = lambda kind, *more: events.where(F.col("event_type") == kind).groupBy(F.to_date("ts").alias("day"), *more)
     user = [(F.col("user_id") % 5).alias(k) for k in within]
-    search = days("view", *user).agg((shape.exact_sum("value") / F.count("value")).alias("ratio"))
+    search = days("view", *user).agg(F.avg(shape.number("value")).alias("ratio"))
     search = search.withColumn("ratio", F.when(F.dayofmonth("day") % 3 != 0, F.col("ratio")))
-    prices = days("purchase", *user).agg(F.max("value").alias("close"), shape.exact_sum("value").alias("volume")).withColumnRenamed("day", "trade_day")
+    prices = days("purchase", *user).agg(F.max("value").alias("close"), F.sum(shape.number("value")).alias("volume")).withColumnRenamed("day", "trade_day")
     there = F.dayofmonth("trade_day") % 4 != 0
     prices = prices.withColumns({c: F.when(there, F.col(c)) for c in ("close", "volume")})
     return search, series.between_dates(prices, "trade_day", "2024-01-30", 60)
@@ -211,6 +270,12 @@ def density_by_group(spark, d):
     return shape.density(table(spark, d, "events"), "value", GRID, ["event_type"]).select("event_type", "x", F.round("density", 9).alias("density"))
 
 
+def density_own_range(spark, d):
+    """Curves at 200 places of each group's own range."""
+    made = shape.density(table(spark, d, "events"), "value", within=["event_type"])
+    return made.select("event_type", F.round("x", 6).alias("x"), F.round("density", 9).alias("density"))
+
+
 def breakout_backtest(spark, d):
     return series.breakout(_bars(spark, d)).select("day", "open", "high", "low", "close", F.round("target", 6).alias("target"), F.round("factor", 6).alias("factor"))
 
@@ -234,7 +299,7 @@ def lead_lag_corr(spark, d):
 
 def region_shorten(spark, d):
     df = table(spark, d, "nation").select("n_nationkey", F.concat(F.col("n_name"), F.lit(" X")).alias("full"), F.col("n_name"))
-    return df.select("n_nationkey", text.shorten_region(F.substring("n_name", 1, 4)).alias("short"), text.token(F.col("full"), 1).alias("second"), text.token(F.col("full"), 2).alias("third"))
+    return df.select("n_nationkey", text.shorten_region(F.col("n_name")).alias("name"), text.shorten_region(F.substring("n_name", 1, 4)).alias("short"), text.token(F.col("full"), 1).alias("second"), text.token(F.col("full"), 2).alias("third"))
 
 
 def marker_projection(spark, d):
@@ -328,9 +393,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         regex_brand_count, project_rename_swap, positional_projection, compare_filters, ratio_bands, null_coalesce, inner_join_two_keys,
         index_aligned_copy, union_outer_schema, distinct_rows, append_row, topk_nulls_last, dictionary_recode, patch_rows, count_by_ordered,
-        global_mean_max, mean_by_x, every_fifth_year, quartiles_by_group, crosstab, null_profile, column_profile, distinct_values, melt,
+        global_mean_max, mean_by_x, mean_interval, every_fifth_year, every_fifth_row, forward_fill_rows, row_drawdown, breakout_by_symbol,
+        recode_all_cells, upsert_rows, html_table_spans, quartiles_by_group, crosstab, null_profile, column_profile, distinct_values, melt,
         melt_skip_first, fill_mean, align_ffill_normalise, align_by_symbol, json_field, json_series, json_series_groups, density,
-        density_by_group, breakout_backtest, drawdown, compound_return,
+        density_by_group, density_own_range, breakout_backtest, drawdown, compound_return,
         lead_lag_corr, region_shorten, marker_projection, scatter_points, head_rows, range_steps, unit_conversion, tag_counts, tag_posts, sorted_tags,
         post_keywords, list_entries, row_totals, reading_time, post_listing, project_listing, url_normalise, html_elements, compressed_html,
     )

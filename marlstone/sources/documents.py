@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text
 from ..operators import relational
+from . import tables
 
 SERIES = "results array<struct<data: array<struct<period: string, ratio: double>>>>"
 
@@ -21,18 +21,24 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str, sep: str
     return spark.read.schema(schema).csv(path, header=True, sep=sep, mode="FAILFAST", encoding="UTF-8")
 
 
-def read_csv_in(spark: SparkSession, path: str, schema: str, encoding: str = "cp949") -> DataFrame:
-    """CSV with a header in a character set that Spark does not read, one record a line, of files of any size.
+def read_csv_in(spark: SparkSession, path: str, schema: str, encoding: str = "cp949", multiline: bool = False) -> DataFrame:
+    """CSV with a header in a character set that Spark does not read, of files of any size.
 
     Spark splits files and cells as bytes (Latin-1), which suits every set in which commas, quotes and line ends are no
     part of a longer character, as in CP949 and Shift JIS; Python then decodes batches of cells. Bytes that are not of
-    the set raise; empty fields are null.
+    the set raise; empty fields are null. With `multiline`, quoted cells may hold line ends (see quoted_records).
     """
     if encoding.lower().replace("-", "").startswith(("utf16", "utf32")):
         raise ValueError("Spark reads UTF-16 and UTF-32 itself: use read_csv")
     target = spark.createDataFrame([], schema).schema
     texts = StructType([StructField(f.name, StringType()) for f in target])
-    raw = spark.read.schema(texts).csv(path, header=True, encoding="ISO-8859-1", escape='"', enforceSchema=True, mode="FAILFAST")
+    if multiline:
+        told = F.decode("record", "ISO-8859-1")
+        options = {"escape": '"', "mode": "FAILFAST", "maxCharsPerColumn": "-1"}
+        raw = quoted_records(spark, path).where("number > 1").select(F.from_csv(told, F.lit(texts.simpleString()[7:-1].replace(":", " ")), options).alias("r")).select("r.*")
+        raw = raw.toDF(*[f.name for f in target])
+    else:
+        raw = spark.read.schema(texts).csv(path, header=True, encoding="ISO-8859-1", escape='"', enforceSchema=True, mode="FAILFAST")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -41,6 +47,33 @@ def read_csv_in(spark: SparkSession, path: str, schema: str, encoding: str = "cp
     return raw.mapInPandas(decode, texts).select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target])
 
 
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (from 1), record binary: the records of delimited files whose quoted cells may hold line ends.
+
+    A line begins a record where the quotes before it in its file are even in number. Each split counts its own; the
+    counts, a row a split, are summed up, so that a split knows whether it starts inside quotes, and where. Within a
+    split, lines are numbered and put together as they were read; a record that splits share is put together at the end,
+    where its lines meet. Files are read where they are cut, at any byte, and never as a whole.
+    """
+    raw = spark.read.text(path, lineSep="\n")
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    lines = raw.select(*at, F.col("value").cast("binary").alias("value"), quotes.alias("quotes"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes")).select("file", "split", F.coalesce(F.sum("quotes").over(before), F.lit(0)).alias("outside"))
+    so_far = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("within", F.coalesce(F.sum("quotes").over(so_far), F.lit(0))).join(splits, ["file", "split"])
+    begins = placed.withColumn("begins", ((F.col("within") + F.col("outside")) % 2 == 0).cast("long"))
+    starts = begins.groupBy("file", "split").agg(F.sum("begins").alias("begins")).select("file", "split", F.coalesce(F.sum("begins").over(before), F.lit(0)).alias("earlier"))
+    own = Window.partitionBy("file", "split").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = begins.withColumn("own", F.sum("begins").over(own)).join(starts, ["file", "split"]).select("file", "split", "line", "value", (F.col("own") + F.col("earlier")).alias("number"))
+    parts = numbered.groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("split", "line", "value"))).alias("parts"))
+    whole = F.aggregate("parts", F.lit(None).cast("binary"), lambda all_, p: F.when(all_.isNull(), p["value"]).otherwise(F.concat(all_, F.lit(b"\n"), p["value"])))
+    # a line end of two characters ends records with the first of them
+    record = F.when(F.substring(whole, -1, 1) == F.lit(b"\r"), F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole)
+    return parts.select("file", "number", record.alias("record")).where(F.length("record") > 0)
+
+
 def price_history(spark: SparkSession, path: str, start: str | None = None, end: str | None = None, symbol: str | None = None) -> DataFrame:
     """Date, Open, High, Low, Close, Volume of landed daily prices (CSV) from `start` to `end`, both included.
 
@@ -65,6 +98,43 @@ def read_two_row_header(spark: SparkSession, path: str, names: Sequence[str]) ->
     return df.where(F.col(names[-1]).try_cast("double").isNotNull())
 
 
+def sheet_rows(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """file, row_no, cells: the rows of one sheet, by name or else the first, of Excel workbooks (see tables.sheet_rows).
+
+    Spark fetches the workbooks from any store that it reads; a workbook, which holds 1,048,576 rows at most, is one task's.
+    """
+    books = spark.read.format("binaryFile").load(path).select(_file_name(), "content")
+    return books.lateralJoin(tables.sheet_rows()(F.col("content").outer(), F.lit(sheet))).select("file", "row_no", "cells")
+
+
+def read_excel(spark: SparkSession, path: str, schema: StructType | str, sheet: str | None = None, header_rows: int = 1) -> DataFrame:
+    """The rows below `header_rows` of one sheet, cells by position under the names and types of `schema`.
+
+    Null cells and those that a row lacks are null; a cell that is not of its type raises. Cells beyond the schema are
+    left out.
+    """
+    target = spark.createDataFrame([], schema).schema
+    rows = sheet_rows(spark, path, sheet).where(F.col("row_no") > header_rows)
+    return rows.select(*[F.get("cells", F.lit(i)).cast(f.dataType).alias(f.name) for i, f in enumerate(target)])
+
+
+def excel_header(spark: SparkSession, path: str, sheet: str | None = None) -> list[str]:
+    """Names of the columns of a sheet's first row: one that repeats gets .1, .2 …, one that is empty its place."""
+    row, seen, out = sheet_rows(spark, path, sheet).where("row_no = 1").select("cells").first(), {}, []
+    for i, name in enumerate(row["cells"] if row else []):
+        name = f"Unnamed: {i}" if name is None else name
+        seen[name] = seen.get(name, -1) + 1
+        out.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return out
+
+
+def excel_columns(spark: SparkSession, path: str, names: Mapping[str, str], sheet: str | None = None, header_rows: int = 1) -> DataFrame:
+    """Columns of a sheet picked by the names that excel_header gives, as texts under new names (old: new)."""
+    header = excel_header(spark, path, sheet)
+    rows = sheet_rows(spark, path, sheet).where(F.col("row_no") > header_rows)
+    return rows.select(*[F.get("cells", F.lit(header.index(old))).alias(new) for old, new in names.items()])
+
+
 def school_results(spark: SparkSession, path: str, fixes: Mapping[str, tuple[str, str]] = {}) -> DataFrame:
     """region, school, code, graduates, science, language, total, city, district of a two-row-header export of graduates.
 
@@ -104,73 +174,12 @@ def zip_series(df: DataFrame, period: str, first: str, second: str) -> DataFrame
     return df.select(F.inline(F.arrays_zip(F.col(period).alias("period"), F.col(first).alias("first"), F.col(second).alias("second"))))
 
 
-class _Tables(HTMLParser):
-    """Cells of all tables of a page, in order; a nested table's cells also stand in its own rows."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.rows: list[tuple[int, int, list[str]]] = []
-        self._open: list[list] = []  # [table number, rows so far, cells or None, text or None]
-        self._count = 0
-
-    def handle_starttag(self, tag: str, attrs) -> None:
-        if tag == "table":
-            self._open.append([self._count, 0, None, None])
-            self._count += 1
-        elif self._open and tag == "tr":
-            self._close_row()
-            self._open[-1][2] = []
-        elif self._open and tag in ("td", "th"):
-            self._close_cell()
-            if self._open[-1][2] is None:
-                self._open[-1][2] = []
-            self._open[-1][3] = []
-
-    def handle_data(self, data: str) -> None:
-        if self._open and self._open[-1][3] is not None:
-            self._open[-1][3].append(data)
-
-    def handle_endtag(self, tag: str) -> None:
-        if not self._open:
-            return
-        if tag in ("td", "th"):
-            self._close_cell()
-        elif tag == "tr":
-            self._close_row()
-        elif tag == "table":
-            self._close_row()
-            self._open.pop()
-
-    def _close_cell(self) -> None:
-        top = self._open[-1]
-        if top[3] is not None:
-            top[2].append(" ".join("".join(top[3]).split()))
-            top[3] = None
-
-    def _close_row(self) -> None:
-        self._close_cell()
-        top = self._open[-1]
-        if top[2]:
-            self.rows.append((top[0], top[1], top[2]))
-            top[1] += 1
-        top[2] = None
-
-
 def html_tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """key, table_no, row_no, cells: the rows of all tables of each page, numbered from 0. Null pages have none."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for k, page in zip(batch[key], batch[html], strict=True):
-                parser = _Tables()
-                parser.feed(page or "")
-                parser.close()
-                out += [(k, *row) for row in parser.rows]
-            yield pd.DataFrame(out, columns=[key, "table_no", "row_no", "cells"])
-
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(parse, f"`{key}` {kind}, table_no int, row_no int, cells array<string>")
+    """key, table_no, row_no, cells: the grids of all tables of each page, numbered from 0, spanned cells in every place
+    that they span (see tables.html_rows). Null pages have none."""
+    rows = pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{html}`").alias("_html"))
+    found = rows.lateralJoin(tables.html_rows()(F.col("_html").outer()))
+    return found.select(F.col("_key").alias(key), "table_no", "row_no", "cells")
 
 
 def _file_name() -> Column:
@@ -223,6 +232,28 @@ def yaml_table(spark: SparkSession, path: str, names: Sequence[str]) -> DataFram
     return rows.select("file", "place", *[_yaml_scalar("entry", n).alias(n) for n in names])
 
 
+def yaml_entries(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, place, path, value: every scalar of each YAML text, nested keys and list entries by dots (see tables.yaml_rows)."""
+    rows = texts.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    return rows.lateralJoin(tables.yaml_rows()(F.col("_text").outer())).select(F.col("_key").alias(key), "place", "path", "value")
+
+
+def yaml_settings(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """file and a column for each of `names` (paths by dots, as "markdown.auto_ids") of YAML files; null where absent."""
+    raw = spark.read.text(path, wholetext=True).select(_file_name(), "value")
+    entries = yaml_entries(raw, "file", "value")
+    made = entries.groupBy("file").agg(*[F.max(F.when(F.col("path") == n, F.col("value"))).alias(n) for n in names])
+    return raw.select("file").join(made, "file", "left")
+
+
+def yaml_records(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """file, place and the named columns of YAML files that hold a list of mappings, nested keys by dots."""
+    entries = yaml_entries(spark.read.text(path, wholetext=True).select(_file_name(), "value"), "file", "value")
+    parts = entries.withColumns({"_at": F.substring_index("path", ".", 1), "_key": F.expr("substring(path, locate('.', path) + 1)")})
+    made = parts.where(F.col("_at").rlike(r"^\d+$")).groupBy("file", F.col("_at").cast("int").alias("place"))
+    return made.agg(*[F.max(F.when(F.col("_key") == n, F.col("value"))).alias(n) for n in names])
+
+
 def feed_entries(spark: SparkSession, path: str) -> DataFrame:
     """title, link, published of the items of a landed RSS file."""
     return spark.read.schema("title string, link string, pubDate string").format("xml").option("rowTag", "item").load(path).select("title", "link", F.col("pubDate").alias("published"))

@@ -180,3 +180,67 @@ def test_align_keeps_symbols_apart(spark):
     prices = spark.createDataFrame([("p", 2, 1.0), ("q", 1, 3.0)], "s string, trade_day int, close double")
     got = sorted(values(series.align(search, prices, within=["s"]), "s", "key", "day", "ratio", "close"), key=str)
     assert got == [("p", 1, 1, 5.0, None), ("p", 2, 1, 5.0, 1.0), ("q", 1, None, None, 3.0), ("q", 2, 2, 7.0, 3.0)]
+
+
+def test_means_and_sums_do_not_round_their_input(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([("a", 0.001), ("a", 0.004), ("b", 1e17), ("b", 3e17), ("c", nan), ("c", 2.0), ("c", None), ("d", nan)], "x string, y double")
+    got = {r.x: (r["mean"], r.n) for r in shape.mean_by(df, "x", "y").collect()}
+    assert got == {"a": (0.0025, 2), "b": (2e17, 2), "c": (2.0, 1), "d": (None, 0)}
+    bars = df.where("x in ('a', 'c')").withColumn("t", F.lit("2024-01-01").cast("timestamp")).withColumn("k", F.monotonically_increasing_id())
+    got = {r.x: (r.volume, r.high) for r in series.daily_bars(bars, "t", "k", "y", ["x"]).collect()}
+    assert got == {"a": (0.005, 0.004), "c": (2.0, 2.0)}
+
+
+def test_nan_is_left_out_of_quartiles_and_densities_alike(spark):
+    df = spark.createDataFrame([(v,) for v in (2.0, 3.0, 4.0, float("nan"), None)], "v double")
+    assert values(shape.quartiles(df, value="v"), "q1", "median", "q3") == [(2.5, 3.0, 3.5)]
+
+
+def test_names_with_dots(spark):
+    df = spark.createDataFrame([(1, 2.0)], "`a.b` int, `c.d` double")
+    assert values(shape.melt(df, ["a.b"]), "`a.b`", "variable", "value") == [(1, "c.d", 2.0)]
+
+
+def test_interval_of_the_mean(spark):
+    df = spark.range(0, 3000, numPartitions=7).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE CAST(id % 3 AS STRING) END AS x", "CASE WHEN id % 100 = 7 THEN NULL WHEN id % 100 = 8 THEN double('NaN') ELSE id % 10 + 0.001 END AS y")
+    one, two = ({r.x: r for r in shape.mean_interval(d, "x", "y", "id").collect()} for d in (df, df.repartition(2, "y")))
+    assert one.keys() == {None, "1", "2"}
+    for k, r in one.items():
+        assert tuple(r)[1:] == pytest.approx(tuple(two[k])[1:], rel=1e-12)
+        (n, mean, sd), = df.where(F.col("x").eqNullSafe(F.lit(k))).select(shape.number("y").alias("y")).agg(F.count("y"), F.avg("y"), F.stddev("y")).collect()
+        half = 1.96 * sd / n**0.5
+        assert r.n == n and r["mean"] == pytest.approx(mean, rel=1e-12) and r.low < mean < r.high
+        assert r.high - r.low == pytest.approx(2 * half, rel=0.25)
+
+
+def test_binned_density_is_within_its_bound(spark):
+    data = [math.sin(k) ** 3 * 50 + (k % 7) for k in range(800)] + [400.0]
+    n, mean = len(data), sum(data) / len(data)
+    h = math.sqrt(sum((v - mean) ** 2 for v in data) / (n - 1)) * n**-0.2
+    exact = lambda x: sum(math.exp(-(((x - v) / h) ** 2) / 2) for v in data) / (n * h * math.sqrt(2 * math.pi))
+    got = shape.density(spark.createDataFrame([(v,) for v in data], "v double"), "v").collect()
+    places = sorted(r.x for r in got)
+    assert len(got) == 200 and places[0] == pytest.approx(min(data) - 3 * h) and places[-1] == pytest.approx(max(data) + 3 * h)
+    bound = 1.09 * (shape.BIN / 2) ** shape.MOMENTS / math.sqrt(math.factorial(shape.MOMENTS)) / (h * math.sqrt(2 * math.pi)) * 1.2
+    assert all(abs(r.density - exact(r.x)) <= bound + 1e-15 for r in got)
+    assert shape.density(spark.createDataFrame([(1.0,)], "v double"), "v").count() == 0
+
+
+def test_upsert_by_label(spark):
+    df = spark.createDataFrame([("24", "a", 1.0, "k"), ("25", "b", 2.0, "k"), ("25", "c", 3.0, "l"), (None, "n", 4.0, "m")], "id string, name string, v double, rest string")
+    changes = spark.createDataFrame([("25", "South Korea", None, 1), ("26", "new", 5.71, 1), (None, "x", 0.0, 1), (None, "y", 0.0, 1)], "id string, name string, v double, other int")
+    got = values(relational.upsert(df, changes, "id"), "id", "name", "v", "rest")
+    want = [("24", "a", 1.0, "k"), ("25", "South Korea", None, "k"), ("25", "South Korea", None, "l"), (None, "n", 4.0, "m"), ("26", "new", 5.71, None), (None, "x", 0.0, None), (None, "y", 0.0, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    with pytest.raises(Exception, match="label repeats"):
+        relational.upsert(df, changes.union(changes.where("id = '26'")), "id").collect()
+    assert relational.upsert(df.limit(0), changes.limit(0), "id").count() == 0
+
+
+def test_one_dictionary_for_all_cells(spark):
+    df = spark.createDataFrame([("a", "b", 1), ("b", None, 2), ("z", "a", 3)], "s string, `t.u` string, n int")
+    assert sorted(values(relational.distinct_cells(df, ["s", "t.u"]), "value")) == [("a",), ("b",), ("z",)]
+    dictionary = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d"), ("unused", "q"), (None, "n"), ("z", None)], "value string, replacement string")
+    got = relational.recode_cells(df, ["s", "t.u"], dictionary)
+    assert got.columns == df.columns and sorted(map(str, values(got, "s", "`t.u`", "n"))) == sorted(map(str, [("b", "c", 1), ("c", None, 2), (None, "b", 3)]))
