@@ -80,6 +80,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.classify_urls(_table(spark, sf_dir, "pages", "page_id long, url string"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_url_filter finds before its regression: host, path, rule, and the rule's verdict, where one fits."""
+    judged = url_filter.classify_urls(_table(spark, sf_dir, "pages", "page_id long, url string"))
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     aligned = alignment.align(documents(spark, sf_dir).select("doc_id", "text"))
@@ -112,7 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_token_counts, op3_language_id, op4_decontamination, op5_line_dedup,
-        op6_bpe, op7_nearest, op8_quality, op9_minhash, op10_url_filter,
+        op6_bpe, op7_nearest, op8_quality, op9_minhash, op10_url_filter, url_rules,
         op11_token_alignment, op12_chat_format, op13_centroids,
     )
 }
@@ -165,6 +171,15 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(learned) AS
 
 
 
+_URL_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS tail FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(tail, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(tail, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block'))
+SELECT u.page_id, host, path, (SELECT arg_max(h || p, length(h || p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
+       (SELECT arg_max(v, length(h || p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS ruled FROM u
+"""
+
+
 def _op13_sql(k: int = 40, rounds: int = 5) -> str:
     """Every vector against every centroid, in as many rounds, on rows of single components."""
     near = """d{r} AS MATERIALIZED (SELECT v.row, c.number, sum((v.x - c.x) * (v.x - c.x)) AS away FROM x v JOIN c{r} c ON v.j = c.j GROUP BY 1, 2),
@@ -182,4 +197,4 @@ SELECT v.vec_id, CAST(a.number AS INTEGER) AS cluster, CAST(a.away AS BIGINT) AS
        CAST(sum(a.away) OVER () AS BIGINT) AS inertia, h.digest AS centroid_sha256 FROM a{rounds} a JOIN v USING (row) JOIN h USING (number)"""
 
 
-ORACLE_SQL: dict[str, str] = {"op9_minhash": _OP9_SQL, "op4_decontamination": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op12_chat_format": _OP12_SQL, "op13_centroids": _op13_sql()}
+ORACLE_SQL: dict[str, str] = {"op9_minhash": _OP9_SQL, "op4_decontamination": _OP4_SQL, "op5_line_dedup": _OP5_SQL, "op12_chat_format": _OP12_SQL, "op13_centroids": _op13_sql(), "url_rules": _URL_SQL}
