@@ -6,7 +6,12 @@ the query's bound by more than the factor (1 + ERROR / sqrt(t))**2. What survive
 
 Each query probes as many lists as it needs. Its nearest lists come first, until they hold more than k vectors; the k-th
 distance found there is its bound, and of the other lists only those follow that can hold anything within it: a list
-whose centre is further away than the bound and the list's own radius together is passed over.
+whose centre is further away than the bound and the list's own radius together is passed over. A few queries are asked of
+all lists that are left; how far down a query's list of lists their neighbours were is where the others stop.
+
+Lists grow with the root of the table. Where there are more than the sample has vectors to place, centres are of two
+levels: a centre of the first, and one of the second, shared by all, for what is left of the vector. Both are small
+tables, so distances from all pairs of them are sums of a few products.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from .common import map_slices, ship
 
 #: Numbers in the sample that the lists of a dimension are fitted on, at most, and its vectors, at most.
 SAMPLE_VALUES, SAMPLE_ROWS = 1 << 21, 1 << 15
-#: Sampled vectors to a list, at least, and the lists of a dimension, at most.
-PER_LIST, MAX_LISTS = 16, 2048
+#: Sampled vectors to a centre, at least, and the centres of a level, at most.
+PER_LIST, MAX_CENTERS = 16, 2048
+#: Queries that are asked of every list that can hold a neighbour, before the others' stop is set.
+TESTED = 128
 #: Different dimensions beyond which a table is refused.
 MAX_DIMENSIONS = 64
 #: Columns of a block, and the test's factor.
@@ -36,13 +43,18 @@ _SCANNED = 256
 
 @dataclass
 class Lists:
-    """The inverted lists of one dimension. Those of several are numbered on: the first one's number is `base`."""
+    """The inverted lists of one dimension. Those of several are numbered on: the first one's number is `base`.
+
+    List i * len(inner) + j has the centre outer[i] + inner[j].
+    """
 
     base: int
     rotation: np.ndarray  # (d, d)
-    centers: np.ndarray  # (lists, d), double
+    outer: np.ndarray  # (centres of the first level, d), double
+    inner: np.ndarray  # (centres of the second, d), double; one level has a single one, the origin
     held: np.ndarray  # vectors in each list
     radius: np.ndarray  # distance of each list's furthest vector from its centre; minus infinity for an empty list
+    stop: int = 1 << 62  # how many of the other lists, the nearest first, a query probes at most
 
 
 def _squares(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -53,23 +65,47 @@ def _own_list(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.concatenate([_squares(x[i : i + 2048], centers).argmin(1) for i in range(0, len(x), 2048)])
 
 
+def place(x: np.ndarray, outer: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(list, distance from its centre) of each vector."""
+    first = _own_list(x, outer)
+    rest = x.astype(np.float64) - outer[first]
+    second = _own_list(rest, inner) if len(inner) > 1 else np.zeros(len(x), np.int64)
+    return first * len(inner) + second, np.sqrt(((rest - inner[second]) ** 2).sum(1))
+
+
+def _means(sample: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means centres."""
+    centers = sample[rng.choice(len(sample), n, replace=False)].copy()
+    for _ in range(10 if n > 1 else 1):
+        own = _own_list(sample, centers)
+        size = np.bincount(own, minlength=n)
+        sums = np.stack([np.bincount(own, sample[:, j], n) for j in range(sample.shape[1])], 1)
+        centers = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centers).astype(np.float32)
+    return centers.astype(np.float64)
+
+
 def fit(sample: np.ndarray, total: int, base: int = 0, seed: int = 17) -> Lists:
-    """Rotation and k-means centres from the sample; half the root of `total` lists, as far as the sample allows."""
+    """Rotation and k-means centres from the sample: half the root of `total` lists, in two levels where one has too few."""
     rng, (n, d) = np.random.default_rng(seed), sample.shape
     rotation = np.linalg.qr(rng.normal(size=(d, d)))[0].astype(np.float32)
-    lists = int(max(1, min(total**0.5 / 2, n / PER_LIST, MAX_LISTS)))
-    centers = sample[rng.choice(n, lists, replace=False)].copy()
-    for _ in range(10 if lists > 1 else 1):
-        own = _own_list(sample, centers)
-        size = np.bincount(own, minlength=lists)
-        sums = np.stack([np.bincount(own, sample[:, j], lists) for j in range(d)], 1)
-        centers = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], centers).astype(np.float32)
-    return Lists(base, rotation, centers.astype(np.float64), np.zeros(lists, np.int64), np.full(lists, -np.inf))
+    most = int(max(1, min(n / PER_LIST, MAX_CENTERS)))
+    wanted = max(1.0, total**0.5 / 2)
+    outer, inner = _means(sample, min(int(wanted), most), rng), np.zeros((1, d))
+    if wanted >= 2 * len(outer):
+        rest = (sample - outer[_own_list(sample, outer)]).astype(np.float32)
+        inner = _means(rest, min(int(wanted / len(outer)), most), rng)
+    lists = len(outer) * len(inner)
+    return Lists(base, rotation, outer, inner, np.zeros(lists, np.int64), np.full(lists, -np.inf))
 
 
 def center_distances(lists: Lists, q: np.ndarray) -> np.ndarray:
     """(queries, lists) distances from the centres, in double precision."""
-    return np.sqrt(np.maximum(0, _squares(q.astype(np.float64), lists.centers)))
+    q = q.astype(np.float64)
+    near = _squares(q, lists.outer)
+    if len(lists.inner) > 1:  # |q - a - b|² = |q - a|² + |b|² - 2 q b + 2 a b
+        a, b = lists.outer, lists.inner
+        near = near[:, :, None] + ((b * b).sum(1) - 2 * (q @ b.T))[:, None, :] + 2 * (a @ b.T)[None]
+    return np.sqrt(np.maximum(0, near.reshape(len(q), -1)))
 
 
 def first_lists(lists: Lists, away: np.ndarray, k: int) -> np.ndarray:
@@ -81,10 +117,21 @@ def first_lists(lists: Lists, away: np.ndarray, k: int) -> np.ndarray:
     return first
 
 
-def other_lists(lists: Lists, away: np.ndarray, k: int, bound: np.ndarray) -> np.ndarray:
-    """(queries, lists) booleans: the lists besides first_lists that can hold a vector within the bound."""
+def other_places(lists: Lists, away: np.ndarray, k: int, bound: np.ndarray) -> np.ndarray:
+    """(queries, lists): the place from 1, the nearest first, of each list besides first_lists that can hold a vector within
+    the bound; 0 for the rest."""
     slack = 1e-6 * (1 + away)
-    return (away - lists.radius - slack <= bound[:, None]) & (lists.held > 0) & ~first_lists(lists, away, k)
+    can = (away - lists.radius - slack <= bound[:, None]) & (lists.held > 0) & ~first_lists(lists, away, k)
+    order = np.argsort(np.where(can, away, np.inf), 1, kind="stable")
+    out = np.zeros(away.shape, np.int64)
+    np.put_along_axis(out, order, np.arange(1, away.shape[1] + 1)[None], 1)
+    return np.where(can, out, 0)
+
+
+def other_lists(lists: Lists, away: np.ndarray, k: int, bound: np.ndarray) -> np.ndarray:
+    """(queries, lists) booleans: those of other_places, up to the stop."""
+    places = other_places(lists, away, k, bound)
+    return (places > 0) & (places <= lists.stop)
 
 
 def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -121,8 +168,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(parts), np.float32).reshape(len(parts), -1)
 
 
-def _search(rotations: dict[int, np.ndarray], k: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
-    """The k nearest vectors of a block, within the bound, of each query.
+def _search(rotations: dict[int, np.ndarray], k: int, number: int, vectors: pa.Table, queries: pa.Table) -> pa.Table:
+    """The k nearest vectors of a block, within the bound, of each query, and the list's number.
 
     Without a bound, the block's own 2 k measured vectors are never abandoned.
     """
@@ -155,7 +202,7 @@ def _search(rotations: dict[int, np.ndarray], k: int, vectors: pa.Table, queries
             order, who = order[place < k], who[place < k]
             found.append((own[who], ids[what[order]], score[order]))
     columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", "vec_id", "score"])
+    return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(np.full(len(columns[0]), number, np.int32))], ["query_id", "vec_id", "score", "list"])
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -193,8 +240,9 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     `clean` for the rows that take part; without any, the result is empty. More than MAX_DIMENSIONS dimensions raise a
     ValueError. Other columns are not read.
 
-    Only the scans' tests can miss a neighbour: every list that can hold one is probed. The lists are fitted on a
-    bounded sample (SAMPLE_VALUES, SAMPLE_ROWS), and every vector is in one. A list of many vectors or queries is cut
+    The scans' tests can miss a neighbour, and so can the stop: the nearest lists are probed, of those that can hold a
+    neighbour, as far as the neighbours of TESTED queries were found that had no stop; with fewer queries, none stops.
+    The lists are fitted on a bounded sample (SAMPLE_VALUES, SAMPLE_ROWS), and every vector is in one. A list of many vectors or queries is cut
     into blocks by hashes of ids, so its size burdens no single task; each block sends a query's k nearest at most, and
     these are thinned out again before they are shuffled.
     """
@@ -210,18 +258,17 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     for d in sorted(sizes):
         index[d] = fit(samples.get(d, np.zeros((1, d), np.float32)), sizes[d], base)
         base += len(index[d].held)
-    deal = spark.sparkContext.broadcast({d: (m.base, m.centers) for d, m in index.items()})
+    deal = spark.sparkContext.broadcast({d: (m.base, m.outer, m.inner) for d, m in index.items()})
 
     def dealt():
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [np.array(v, np.float32) for v in batch.column("embedding").to_pylist()]
-            size, place, away = np.array([len(v) for v in rows]), np.zeros(len(rows), np.int32), np.zeros(len(rows))
+            size, own, away = np.array([len(v) for v in rows]), np.zeros(len(rows), np.int32), np.zeros(len(rows))
             for d in np.unique(size).tolist():
-                at, (first, centers) = np.flatnonzero(size == d), deal.value[d]
-                x = np.stack([rows[i] for i in at])
-                own = _own_list(x, centers)
-                place[at], away[at] = first + own, _distances(x, centers[own])
-            return pa.RecordBatch.from_arrays([pa.array(place), batch.column("vec_id"), pa.array([v.tobytes() for v in rows], pa.binary()), pa.array(away)], ["list", "vec_id", "v", "away"])
+                at, (first, outer, inner) = np.flatnonzero(size == d), deal.value[d]
+                number, away[at] = place(np.stack([rows[i] for i in at]), outer, inner)
+                own[at] = first + number
+            return pa.RecordBatch.from_arrays([pa.array(own), batch.column("vec_id"), pa.array([v.tobytes() for v in rows], pa.binary()), pa.array(away)], ["list", "vec_id", "v", "away"])
 
         return fn
 
@@ -232,16 +279,21 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         for i in range(len(m.held)):
             if m.base + i in stats:
                 m.held[i], m.radius[i] = stats[m.base + i]["n"], stats[m.base + i]["radius"]
-    known, rotations = spark.sparkContext.broadcast(index), {d: m.rotation for d, m in index.items()}
+    rotations = {d: m.rotation for d, m in index.items()}
     asked = placed.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
 
+    def matrix(raw: list[bytes], d: int) -> np.ndarray:
+        return np.frombuffer(b"".join(raw), np.float32).reshape(-1, d)
+
     def probing(bounded: bool):
+        known = spark.sparkContext.broadcast(index)
+
         def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw, lists = batch.column("v").to_pylist(), [None] * batch.num_rows
             size, bound = np.array([len(v) // 4 for v in raw]), batch.column("bound").to_numpy()
             for d in np.unique(size).tolist():
                 at, m = np.flatnonzero(size == d), known.value[d]
-                away = center_distances(m, np.frombuffer(b"".join([raw[i] for i in at]), np.float32).reshape(-1, d))
+                away = center_distances(m, matrix([raw[i] for i in at], d))
                 which = other_lists(m, away, k, bound[at]) if bounded else first_lists(m, away, k)
                 for i, row in zip(at, which, strict=True):
                     lists[i] = m.base + np.flatnonzero(row)
@@ -251,7 +303,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     def found(queries: DataFrame, bounded: bool) -> tuple[DataFrame, DataFrame]:
         """What the lists that `queries` (query_id, v, bound) probe hold within their bounds, and the table behind it."""
-        probes = written(map_slices(queries, probing(bounded), "query_id long, v binary, bound double, lists array<int>"))
+        probes = written(map_slices(queries, probing(bounded), "query_id long, v binary, bound double, lists array<int>", rows=64))
         pairs = probes.select(F.explode("lists").alias("list"), "query_id", "v", "bound")
         n_asked = {r["list"]: r["count"] for r in pairs.groupBy("list").count().collect()}  # a row a list
         cuts = [(i, -(-stats[i]["n"] // BLOCK), -(-n // QUERY_BLOCK)) for i, n in n_asked.items()]
@@ -260,16 +312,35 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         left = placed.join(cuts, "list").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int")).select("list", "vec_id", "v", "shard", every_chunk.alias("chunk"))
         right = pairs.join(cuts, "list").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")).cast("int")).select("list", "query_id", "v", "bound", "chunk", every_shard.alias("shard"))
         keys = ["list", "shard", "chunk"]
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda a, b: _search(rotations, k, a, b), "query_id long, vec_id long, score double"), probes
+        search = lambda key, a, b: _search(rotations, k, key[0].as_py(), a, b)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id long, vec_id long, score double, list int"), probes
 
     def best(rows: DataFrame) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        return rows.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        order = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+        return rows.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "list")
 
     near, probes = found(asked.withColumn("bound", F.lit(float("inf"))), False)
     near = written(best(near))
     forget(probes)
     bounds = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     bounded = asked.join(bounds, "query_id", "left").select("query_id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-    further, _ = found(bounded, True)
-    return best(near.select("query_id", "vec_id", "score").unionByName(further))
+
+    # a few queries are asked of all lists; the others stop where the last of these queries' neighbours was
+    lot = F.xxhash64("query_id", F.lit(1))
+    few = bounded.orderBy(lot, "query_id").limit(TESTED).collect()  # TESTED rows
+    tested = F.broadcast(spark.createDataFrame([(r["query_id"],) for r in few], "query_id long"))
+    exact, probes = found(bounded.join(tested, "query_id", "left_semi"), True)
+    answered = best(near.join(tested, "query_id", "left_semi").select("query_id", "vec_id", "score", "list").unionByName(exact))
+    answered = written(answered)
+    forget(probes)
+    held: dict[int, set] = {}
+    for r in answered.collect():  # k rows a tested query
+        held.setdefault(r["query_id"], set()).add(r["list"])
+    for d, m in index.items():
+        own = [r for r in few if len(r["v"]) == 4 * d]
+        if own:
+            places = other_places(m, center_distances(m, matrix([r["v"] for r in own], d)), k, np.array([r["bound"] for r in own]))
+            m.stop = max((int(row[i - m.base]) for r, row in zip(own, places, strict=True) for i in held.get(r["query_id"], ())), default=0)
+    further, _ = found(bounded.join(tested, "query_id", "left_anti"), True)
+    others = best(near.join(tested, "query_id", "left_anti").select("query_id", "vec_id", "score", "list").unionByName(further))
+    return answered.unionByName(others).drop("list")

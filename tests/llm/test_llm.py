@@ -339,6 +339,44 @@ def test_nearest_among_clusters_of_all_sizes_and_dimensions(spark):
     assert 2 * 10**7 not in got and got[-100] == {1: (-201, 1.0)} and len(got) == len(queries) + 30 + 1
 
 
+def test_lists_of_two_levels_place_and_find_as_one_centre_each(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = (np.repeat(rng.normal(size=(80, 12)), 50, 0) + rng.normal(size=(4000, 12)) * 0.1).astype(np.float32)
+    monkeypatch.setattr(ann, "MAX_CENTERS", 8)
+    lists = ann.fit(x[:2000], 4000)
+    assert (len(lists.outer), len(lists.inner), len(lists.held)) == (8, 3, 24)
+    centers = (lists.outer[:, None] + lists.inner[None]).reshape(-1, 12)
+    away = np.sqrt(((x[:50, None].astype(float) - centers[None]) ** 2).sum(2))
+    assert np.allclose(ann.center_distances(lists, x[:50]), away)
+    number, distance = ann.place(x[:50], lists.outer, lists.inner)
+    assert np.allclose(away[np.arange(50), number], distance)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10, 10).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert sorted(got) == list(range(0, 4000, 10))  # more queries than are tested
+    hits = sum(len({v for v, _ in exact_nearest(x, np.arange(4000), q, 10)} & set(near)) for q, near in got.items())
+    assert hits >= 0.97 * 10 * len(got)
+
+
+def test_stop_leaves_out_lists_by_their_place():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 6)).astype(np.float32)
+    lists = ann.fit(x, 2000)
+    own, away = ann.place(x, lists.outer, lists.inner)
+    lists.held = np.bincount(own, minlength=len(lists.held))
+    lists.radius = np.array([away[own == i].max(initial=-np.inf) for i in range(len(lists.held))])
+    q, bound = x[:40], np.full(40, 1.5)
+    near = ann.center_distances(lists, q)
+    places, can = ann.other_places(lists, near, 10, bound), ann.other_lists(lists, near, 10, bound)
+    assert ((places > 0) == can).all() and not (can & ann.first_lists(lists, near, 10)).any()
+    for row, far in zip(places, near, strict=True):
+        order = [far[i] for i in np.argsort(np.where(row > 0, row, 99))[: (row > 0).sum()]]
+        assert order == sorted(order) and sorted(row[row > 0]) == list(range(1, (row > 0).sum() + 1))
+    lists.stop = 2
+    assert (ann.other_lists(lists, near, 10, bound) == ((places > 0) & (places <= 2))).all()
+
+
 def test_nearest_recall_on_the_given_vectors(spark):
     import __spark_entry__
 
