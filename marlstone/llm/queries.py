@@ -123,15 +123,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: Leaks by brute force: all pairs of equal words on one diagonal, counted in every window of 13 item words.
+#: Leaks by brute force: all pairs of equal words on one diagonal, counted in every window of 13 item words; of shorter items, all words.
 _OP4_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id IS NOT NULL),
 i AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL),
-dp AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d WHERE len(w) >= 13),
-ip AS (SELECT item_id, generate_subscripts(w, 1) AS q, unnest(w) AS word FROM i WHERE len(w) >= 13),
-eq AS (SELECT doc_id, item_id, p - q AS diag, q FROM dp JOIN ip USING (word)),
-win AS (SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS m FROM eq)
-SELECT doc_id, item_id, CAST(max(m) AS INTEGER) AS best_match FROM win GROUP BY doc_id, item_id HAVING max(m) >= 11
+dp AS (SELECT doc_id, len(w) AS n, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM d WHERE len(w) >= 8),
+ip AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) AS q, unnest(w) AS word FROM i WHERE len(w) >= 8),
+eq AS (SELECT doc_id, item_id, ip.n, p - q AS diag, q FROM dp JOIN ip USING (word) WHERE ip.n < 13 OR dp.n >= 13),
+win AS (SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, diag ORDER BY q RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS m FROM eq)
+SELECT doc_id, item_id, CAST(max(m) AS INTEGER) AS best_match FROM win WHERE m >= least(n, 11) AND (n >= 13 OR m = n) GROUP BY doc_id, item_id
 """
 
 _OP5_SQL = r"""

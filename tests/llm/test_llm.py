@@ -222,6 +222,29 @@ def test_leaks_equal_brute_force(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_short_items_leak_where_they_stand_whole(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", broadcast)
+    monkeypatch.setattr(decontamination, "PLACES", 3)
+    rng = random.Random(6)
+    items = [(n, prose(rng, n)) for n in (5, 7, 8, 9, 11, 12, 13, 20)] + [(12, prose(rng, 9)), (20, prose(rng, 10)), (None, prose(rng, 10))]
+    rows = []
+    for _, t in items:
+        w = t.split()
+        rows += [t, prose(rng, 3) + " " + t.upper() + ", " + prose(rng, 2), " ".join(w[1:]), " ".join(w[:-1]), " ".join([*w[:-1], "other"]), " ".join([*w[:4], "other", *w[5:]]), f"{t} {t}"]
+    rows = [(k % 40, t) for k, t in enumerate(rows * 3)]
+    plain = lambda t: re.sub(r"[^\w]+|_", " ", t.lower()).split()
+    want = {(i, j): m for i, j, m in brute_leaks(rows, [x for x in items if x[0] is not None])}
+    for i, t in rows:
+        w = plain(t)
+        for j, item in items:
+            q = plain(item)
+            if j is not None and 8 <= len(q) < 13 and any(w[p : p + len(q)] == q for p in range(len(w) - len(q) + 1)):
+                want[i, j] = max(want.get((i, j), 0), len(q))
+    got = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id): r.best_match for r in got.collect()} == want and any(j == 8 for _, j in want)
+
+
 def test_leaks_of_a_large_benchmark_equal_those_of_a_small_one(spark, monkeypatch):
     folder = "/root/testdata/sf0.01"
     docs, bench = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
