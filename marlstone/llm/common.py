@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import os
 import tempfile
@@ -60,6 +61,14 @@ def slices(batch: pa.RecordBatch, rows: int, limit: int) -> Iterator[pa.RecordBa
         at = end
 
 
+def hand_back() -> None:
+    """Give memory that is free but kept back to the system: a worker that is used again starts its next task small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str, rows: int = SLICE, limit: int = SLICE_BYTES) -> DataFrame:
     """df.mapInArrow over slices of at most `rows` rows and `limit` bytes. `make` runs once a task and returns the function of a slice."""
     ship(df.sparkSession)
@@ -71,6 +80,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.R
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        hand_back()
 
     return df.mapInArrow(run, schema)
 
