@@ -34,6 +34,8 @@ _EMPTY = np.uint16(0xFFFF)
 PIECE = 1 << 17
 #: Sets that meet over one shingle in one task, at most (on average): more are dealt out over shards.
 SHARD = 512
+#: Ids of documents that are broadcast, at most (about 40 MB).
+MOST_IDS = 1 << 20
 #: Shingles before it that each shingle of a prefix has with it.
 EARLIER = 12
 
@@ -210,6 +212,12 @@ def _floor(percent: int) -> float:
     return s - SLACK * (s * (1 - s) / BUCKETS) ** 0.5
 
 
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is in `ids` (distinct, cheap to count): up to MOST_IDS are broadcast, so that no text is
+    shuffled that is not asked for."""
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, "doc_id", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold. Texts travel, not sets: they compress.
 
@@ -218,7 +226,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     judged = "registers" in docs.columns
     if not judged:  # else they are those of the pairs already
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        docs = docs.join(ids, "doc_id", "left_semi").distinct()  # a repeated row would meet each of its like
+        docs = _only(docs, ids).distinct()  # a repeated row would meet each of its like
     for side in "ab":
         pairs = pairs.join(docs.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in docs.columns if c != "doc_id"]), side)
 
@@ -261,7 +269,8 @@ def _cross(nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> tuple
 
         return fn
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
+    texts = _only(docs, nodes.select(F.col("node").alias("doc_id")).distinct())
+    texts = texts.select(F.col("doc_id").alias("node"), "text").join(nodes, "node")
     # rows that repeat a document's set count once, or the prefix would hold copies in place of shingles
     rows = written(map_slices(texts, make, "h long, node long, own long, n long, c long", rows=128).distinct())
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -314,7 +323,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     contested = written(contested.select("node", "c").unionByName(contested.select(F.col("leader").alias("node"), F.col("l").alias("c"))).distinct())
     met, prefix = _cross(contested, docs, width, percent)
     # nearly all of these pairs are as like as their group: what is estimated and what is verified is joined at once
-    sides = docs.join(contested.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct().join(nodes.select(F.col("node").alias("doc_id"), "n", "registers"), "doc_id")
+    sides = _only(docs, contested.select(F.col("node").alias("doc_id")).distinct()).distinct().join(nodes.select(F.col("node").alias("doc_id"), "n", "registers"), "doc_id")
     across = written(_verified(met.join(to_leader, ["a", "b"], "left_anti"), sides, width, percent).distinct())
     linked = connected(links.unionByName(copies).unionByName(across))
     forget(likely, links, reached, placed, contested, prefix, across, members, nodes)
