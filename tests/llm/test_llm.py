@@ -690,25 +690,55 @@ def test_url_parts_and_rules_equal_sql(spark):
 # ---- pipeline
 
 
-def test_pipeline_equals_brute_force(spark):
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage by an independent way: plain language scores, brute-force lines and shingles, leaks by SQL, the tokenizer library."""
     import corpus_pipeline
     import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from marlstone.llm import queries
+
+    folder, rng = "/root/testdata/sf0.001", random.Random(12)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    gibberish = "".join(rng.choice("абвгдежзиклмнопрстуфхц   ") for _ in range(900))
+    some = docs.where("length(text) > 300").orderBy("doc_id").first().text
+    odd = [(-1, gibberish, None, "s", 1), (-2, "12 .. 34", None, "s", 1), (-3, None, "en", "s", 1), (None, some, None, "s", 1), (-5, "quite new words", None, "s", 1), (-5, "quite new words", None, "s", 1)]
+    docs.unionByName(spark.createDataFrame(odd, docs.schema)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    model = language_id.train(spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "text", "lang"))
+
+    con = duckdb.connect()
+    rows = con.execute(f"SELECT doc_id, text, lang FROM '{tmp_path}/documents.parquet/*.parquet'").fetchall()
+    told = {t: plain_language(model, t) for t in {t for _, t, _ in rows} if t and any(map(str.isalpha, t))}
+    rows = [(i, t, c or told[t][0]) for i, t, c in rows if t in told and (len(t) < corpus_pipeline.LEAST_CHARS or told[t][1] >= corpus_pipeline.LEAST_SCORE)]
+    assert -1 not in [i for i, _, _ in rows]
+    lang = {(i, t): c for i, t, c in rows}
+    before = [(i, t) for i, t, _ in rows]
+    nameless = [x for x in before if x[0] is None]
+    kept = [(i, t) for i, t, _, _ in brute_lines([x for x in before if x[0] is not None], 40, 5)]
+    lang |= {(i, new): lang[i, t] for (i, t), (_, new) in zip([x for x in before if x[0] is not None], kept, strict=True)}
+    comp = brute_components(kept, 5, 80)
+    kept = [(i, t) for i, t in kept if comp[i] == i]
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", kept)
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    leaked = {r[0] for r in con.execute(queries.ORACLE_SQL["op4_decontamination"]).fetchall()}
+    assert leaked
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [(i, lang[i, t], tuple(coder.encode(t, add_special_tokens=False).ids)) for i, t in nameless + [x for x in kept if x[0] not in leaked]]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(map(str, ((r.doc_id, r.lang, tuple(r.token_ids)) for r in got))) == sorted(map(str, want)) and len(corpus_pipeline.STAGES) == 5
+    assert all(r.round_trip and r.n_tokens == len(r.token_ids) for r in got)
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    import corpus_pipeline
 
     folder = "/root/testdata/sf0.001"
-    docs = [(i, t) for i, t in duckdb.connect().execute(f"SELECT doc_id, text FROM '{folder}/documents.parquet'").fetchall() if t and any(map(str.isalpha, t))]
-    docs = [(i, t) for i, t, _, _ in brute_lines(docs, 40, 5)]
-    comp = brute_components(docs, 5, 80)
-    docs = [(i, t) for i, t in docs if comp[i] == i]
-    items = duckdb.connect().execute(f"SELECT item_id, text FROM '{folder}/benchmark.parquet'").fetchall()
-    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
-    leaked = {r.doc_id for r in decontamination.find_leaks(docs_df, spark.createDataFrame(items, "item_id long, text string")).collect()}
-    want = {i: t for i, t in docs if i not in leaked}
-    got = corpus_pipeline.run(spark, folder)
-    rows = {r.doc_id: r for r in got.collect()}
-    assert rows.keys() == want.keys() and len(corpus_pipeline.STAGES) == 5
-    coder = bpe.load(bpe.default_vocabulary())
-    for i, r in rows.items():
-        assert r.round_trip and coder.decode(np.array(r.token_ids)).decode() == want[i]
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def stage(name):
