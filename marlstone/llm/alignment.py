@@ -9,6 +9,7 @@ shard: two arrays, keys and counts, in a file each of the shared folder, which t
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import re
@@ -78,13 +79,24 @@ class Pieces:
         self.cache: dict[str, bytes | None] = {}
 
     def _learn(self, units: list[str]) -> None:
-        for u, ids in zip(units, self.model.encode(units, num_threads=1), strict=True):
+        """Put the ids of units into the cache; None where their bytes are not those of the unit."""
+        if not units:
+            return
+        made = self.model.encode(units, num_threads=1)
+        for k, u in enumerate(units):
             if not u:
-                ids = [self.blank]
-            own = u if u[:1] == "\n" else " " + u
-            ids = ids[1:] if u[:1] == "\n" else ids  # the blank that was put before it
-            whole = b"".join([self.bytes[i] for i in ids]) == own.encode("utf-8", "surrogatepass")
-            self.cache[u] = np.array(ids, np.int32).tobytes() if whole else None
+                made[k] = [self.blank]
+            elif u[0] == "\n":
+                made[k] = made[k][1:]  # the blank that was put before it
+        own = [(u if u[:1] == "\n" else " " + u).encode("utf-8", "surrogatepass") for u in units]
+        n = np.array([len(ids) for ids in made], np.int64)
+        ids = np.fromiter(itertools.chain.from_iterable(made), np.int32, n.sum())
+        ends = np.append(0, np.cumsum(n))
+        whole = np.diff(np.append(0, np.cumsum(self.lengths[ids]))[ends]) == np.array([len(x) for x in own])
+        if not whole.all() or b"".join([self.bytes[i] for i in ids.tolist()]) != b"".join(own):
+            whole = [ok and b"".join([self.bytes[i] for i in row]) == x for ok, row, x in zip(whole.tolist(), made, own, strict=True)]
+        raw, at = ids.tobytes(), (4 * ends).tolist()
+        self.cache.update((u, raw[a:b] if ok else None) for u, a, b, ok in zip(units, at, at[1:], whole, strict=False))
 
     def encode(self, texts: list[str | None]) -> list[bytes | None]:
         """Ids as little-endian int32 bytes; None where their bytes are not those of a blank and the text."""
@@ -100,10 +112,9 @@ class Pieces:
         if len(self.cache) + len(wanted) > REMEMBERED:
             self.cache = {u: self.cache[u] for u in wanted if u in self.cache}
         self._learn(list(wanted.difference(self.cache)))
-        out = []
+        out, odd = [], {u for u in wanted if self.cache[u] is None}
         for units in made:
-            ids = [self.cache[u] for u in units]
-            out.append(None if None in ids else b"".join(ids))
+            out.append(None if odd and not odd.isdisjoint(units) else b"".join(map(self.cache.__getitem__, units)))
         return out
 
 
