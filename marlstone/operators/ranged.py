@@ -125,6 +125,30 @@ def breakout(bars: DataFrame, order: Sequence[str], k: float = 0.5, within: Sequ
     return made.withColumn("factor", F.when(F.col("high") >= F.col("target"), F.try_divide(F.col("close"), F.col("target"))).otherwise(F.lit(1.0)))
 
 
+def align(search: DataFrame, prices: DataFrame, keep_key: bool = False, within: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """series.align for series of any length: outer join of search(day, …) and prices(trade_day, …), filled over ranges."""
+    joined = search.withColumn("key", F.col("day")).join(prices.withColumnRenamed("trade_day", "key"), ["key", *within], "full")
+    if keep_key:
+        joined = joined.withColumn("day", F.col("key"))
+    return forward_fill(joined, ["key"], [c for c in joined.columns if c != "key" and c not in within], within, partitions)
+
+
+def lagged_correlation(df: DataFrame, x: str, y: str, lags: Sequence[int], order: Sequence[str], within: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """lag, correlation: of y with x of `lag` rows before in its series, over all series together.
+
+    Rows meet by their numbers: one join for all lags, on keys that no two rows of a side share. A lag that no row
+    reaches has no correlation (null).
+    """
+    chosen = df.select(*_names(within), *_names(order), F.col(f"`{x}`").alias("_x"), F.col(f"`{y}`").alias("_y"))
+    rows = row_numbers(chosen, order, within, "_rn", partitions)
+    late = rows.select("_y", F.col("_rn").alias("_at"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(within)])
+    early = rows.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags]))).withColumn("_to", F.col("_rn") + F.col("lag"))
+    same = [F.col("_at") == F.col("_to"), *[F.col(f"_k{i}").eqNullSafe(F.col(f"`{c}`")) for i, c in enumerate(within)]]
+    found = late.join(early.select("lag", "_x", "_to", *_names(within)), same).groupBy("lag").agg(F.corr("_y", "_x").alias("correlation"))
+    every = df.sparkSession.createDataFrame([(k,) for k in lags], "lag int")
+    return every.join(found, "lag", "left")
+
+
 def every_nth(df: DataFrame, order: Sequence[str], n: int, partitions: int | None = None) -> DataFrame:
     """Rows 1, n + 1, 2 n + 1 … in order, of a table of any size."""
     numbered = row_numbers(df, order, name="_rn", partitions=partitions)

@@ -112,4 +112,10 @@ UNION ALL SELECT page_id, 4, 1, id FROM p""",
     "density_own_range": """WITH s AS (SELECT event_type, count(value) AS n, stddev_samp(value) * pow(count(value), -0.2) AS h, min(value) AS low, max(value) AS high FROM events GROUP BY 1),
 g AS (SELECT *, (low - 3 * h) + ((high + 3 * h) - (low - 3 * h)) * i / 199 AS x FROM s, range(200) t(i))
 SELECT event_type, round(x, 6) AS x, round(sum(exp(-pow((x - value) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 9) AS density FROM events JOIN g USING (event_type) GROUP BY event_type, x""",
+    "align_event_series": """WITH s AS (SELECT event_id AS day, CASE WHEN event_id % 3 <> 0 THEN value END AS ratio FROM events WHERE event_type = 'view'),
+p AS (SELECT event_id AS trade_day, CASE WHEN event_id % 4 <> 0 THEN value END AS close FROM events WHERE event_type = 'purchase'),
+j AS (SELECT coalesce(day, trade_day) AS key, day, ratio, close FROM s FULL JOIN p ON day = trade_day)
+SELECT key, last_value(day IGNORE NULLS) OVER w AS day, last_value(ratio IGNORE NULLS) OVER w AS ratio, last_value(close IGNORE NULLS) OVER w AS close FROM j WINDOW w AS (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+    "lead_lag_rows": "WITH l AS (SELECT value AS y, value AS l0, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, lag(value, 3) OVER w AS l3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)) "
+    + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS lag, round(corr(y, l{k}), 6) AS correlation FROM l" for k in range(4)),
 }

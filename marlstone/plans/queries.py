@@ -153,6 +153,19 @@ def breakout_by_symbol(spark, d):
     return ranged.breakout(bars, ["day"], within=["symbol"]).select("symbol", "day", F.round("target", 6).alias("target"), F.round("factor", 6).alias("factor"))
 
 
+def align_event_series(spark, d):
+    """Two series of a row an event, with gaps, side by side and filled over ranges."""
+    events = table(spark, d, "events")
+    of = lambda kind, every, column, day: events.where(F.col("event_type") == kind).select(F.col("event_id").alias(day), F.when(F.col("event_id") % every != 0, F.col("value")).alias(column))
+    return ranged.align(of("view", 3, "ratio", "day"), of("purchase", 4, "close", "trade_day")).select("key", "day", "ratio", "close")
+
+
+def lead_lag_rows(spark, d):
+    """Of a row an event, within users: rows meet by their numbers."""
+    made = ranged.lagged_correlation(table(spark, d, "events"), "value", "value", [0, 1, 2, 3], ["ts", "event_id"], ["user_id"])
+    return made.select("lag", F.round("correlation", 6).alias("correlation"))
+
+
 def recode_all_cells(spark, d):
     """One dictionary for two columns, made of the distinct values of both."""
     part = table(spark, d, "part").select("p_brand", "p_type")
@@ -394,6 +407,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         regex_brand_count, project_rename_swap, positional_projection, compare_filters, ratio_bands, null_coalesce, inner_join_two_keys,
         index_aligned_copy, union_outer_schema, distinct_rows, append_row, topk_nulls_last, dictionary_recode, patch_rows, count_by_ordered,
         global_mean_max, mean_by_x, mean_interval, every_fifth_year, every_fifth_row, forward_fill_rows, row_drawdown, breakout_by_symbol,
+        align_event_series, lead_lag_rows,
         recode_all_cells, upsert_rows, html_table_spans, quartiles_by_group, crosstab, null_profile, column_profile, distinct_values, melt,
         melt_skip_first, fill_mean, align_ffill_normalise, align_by_symbol, json_field, json_series, json_series_groups, density,
         density_by_group, density_own_range, breakout_backtest, drawdown, compound_return,

@@ -135,14 +135,19 @@ def excel_columns(spark: SparkSession, path: str, names: Mapping[str, str], shee
     return rows.select(*[F.get("cells", F.lit(header.index(old))).alias(new) for old, new in names.items()])
 
 
-def school_results(spark: SparkSession, path: str, fixes: Mapping[str, tuple[str, str]] = {}) -> DataFrame:
-    """region, school, code, graduates, science, language, total, city, district of a two-row-header export of graduates.
+def school_results(spark: SparkSession, path: str, fixes: Mapping[str, tuple[str, str]] = {}, sheet: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """region, school, code, graduates, science, language, total, city, district of a two-row-header table of graduates.
 
-    total is null where one of its parts is. city is the region's first word, shortened, and district its second; `fixes`
-    sets both for a school's code. A region that is null leaves them null.
+    A CSV export has these six columns in order. Of a workbook, `columns` names those of a sheet as excel_header does, in
+    the same order; what stands there in place of a number is null. total is null where one of its parts is. city is the
+    region's first word, shortened, and district its second; `fixes` sets both for a school's code. A region that is null
+    leaves them null.
     """
     names = ["region", "school", "code", "graduates", "science", "language"]
-    df = read_two_row_header(spark, path, names)
+    if columns is None:
+        df = read_two_row_header(spark, path, names)
+    else:
+        df = excel_columns(spark, path, dict(zip(columns, names, strict=True)), sheet, header_rows=2)
     df = df.withColumns({n: F.col(n).try_cast("double") for n in names[3:]}).withColumn("total", relational.total(F.col("science"), F.col("language")))
     df = df.withColumn("city", text.shorten_region(text.token(F.col("region"), 0))).withColumn("district", text.token(F.col("region"), 1))
     for at, column in enumerate(("city", "district")):

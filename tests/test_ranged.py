@@ -74,6 +74,23 @@ def test_breakout_product_and_drawdown_equal_those_of_daily_series(spark):
     assert storage.sweep(spark) == 3 and storage.sweep(spark) == 0
 
 
+def test_alignment_and_lagged_correlation_equal_those_of_daily_series(spark):
+    rng = random.Random(8)
+    days = lambda n: sorted(rng.sample(range(300), n))
+    search = spark.createDataFrame([(s, d, rng.choice([None, rng.random()])) for s in "pq" for d in days(150)], "s string, day int, ratio double")
+    prices = spark.createDataFrame([(s, d, rng.choice([None, rng.random()])) for s in "pqr" for d in days(150)], "s string, trade_day int, close double")
+    for keep in (False, True):
+        got = ranged.align(search, prices, keep, ["s"], partitions=5)
+        plain = series.align(search, prices, keep, ["s"])
+        assert told(got.select(*plain.columns)) == told(plain)
+    rows = prices.withColumn("day", F.col("trade_day"))
+    got = {r.lag: r.correlation for r in ranged.lagged_correlation(rows, "close", "trade_day", [0, 2, 500], ["day"], ["s"], partitions=4).collect()}
+    want = {r.lag: r.correlation for r in series.lagged_correlation(rows, "close", "trade_day", [0, 2, 500], ["s"]).collect()}
+    assert got.keys() == want.keys() and got[500] is None and want[500] is None
+    assert [got[k] for k in (0, 2)] == pytest.approx([want[k] for k in (0, 2)], rel=1e-9)
+    storage.sweep(spark)
+
+
 def test_a_factor_of_zero_ruins_the_rest(spark):
     df = spark.createDataFrame([(k, f) for k, f in enumerate([2.0, None, 1.5, 0.0, 3.0, 1.0])], "k int, f double")
     got = ranged.running_product(df, "f", ["k"], partitions=3).orderBy("k").collect()

@@ -75,6 +75,15 @@ def test_sheet_by_name_with_dates_blanks_and_shared_strings(spark, tmp_path):
         sources.sheet_rows(spark, str(tmp_path), "none").collect()
 
 
+def test_school_results_from_a_sheet(spark, tmp_path):
+    cell = lambda ref, v: f"<c r='{ref}' t='inlineStr'><is><t>{v}</t></is></c>" if isinstance(v, str) else "" if v is None else f"<c r='{ref}'><v>{v}</v></c>"
+    lines = [["지역", "학교명", "코드", "졸업자", "졸업자", "졸업자", "과고", "외고"], ["s"] * 8, ["서울특별시 강남구", "a", "S1", 1, 2, 10, 1, 2], ["경상북도 예천군", "b", "S2", 1, 1, 5, None, 1], [None, "c", "S3", 0, 0, 1, 0, 0]]
+    workbook(tmp_path / "g.xlsx", "".join(f"<row r='{r}'>" + "".join(cell(f"{'ABCDEFGH'[c]}{r}", v) for c, v in enumerate(line)) + "</row>" for r, line in enumerate(lines, 1)))
+    got = sources.school_results(spark, str(tmp_path / "g.xlsx"), {"S3": ("부산", "기장군")}, "2018_졸업생 (중)", ["지역", "학교명", "코드", "졸업자.2", "과고", "외고"])
+    rows = {r["code"]: (r["city"], r["district"], r["graduates"], r["total"]) for r in got.collect()}
+    assert rows == {"S1": ("서울", "강남구", 10.0, 3.0), "S2": ("경북", "예천군", 5.0, None), "S3": ("부산", "기장군", 1.0, 0.0)}
+
+
 def test_nested_yaml(spark, tmp_path):
     (tmp_path / "c.yml").write_text("# site\ntitle: 'it''s' # no\nmark:\n  ids:  true\n  deep: {a: 1, b: [x, 'y, z']}\nlist:\n- k: 1\n  l:\n    - 2\n    - 3\n- plain\nfold: >\n  one\n  two\n\n  three\nkeep: |-\n  l1\n   l2\nnone:\nurl: https://x.y/z#w\n\"q\\u0041\": \"\\\"s\\\"\"\n")
     entries = sources.yaml_entries(spark.read.text(str(tmp_path / "c.yml"), wholetext=True).selectExpr("1 AS k", "value"), "k", "value").orderBy("place")
