@@ -121,6 +121,15 @@ def quartiles(df: DataFrame, *keys: str, value: str) -> DataFrame:
 BIN, MOMENTS = 0.25, 11
 
 
+def _series() -> list[list[tuple[int, float]]]:
+    """For each power of u, the moments k that He_k(u) / k! gives it, and by which factor."""
+    he = [[1.0], [0.0, 1.0]]
+    while len(he) < MOMENTS:
+        k = len(he)
+        he.append([(a - (k - 1) * b) for a, b in zip([0.0, *he[-1]], [*he[-2], 0.0, 0.0], strict=True)])
+    return [[(k, he[k][i] / math.factorial(k)) for k in range(i, MOMENTS) if he[k][i]] for i in range(MOMENTS)]
+
+
 def density(df: DataFrame, column: str, grid: Sequence[float] | None = None, within: Sequence[str] = (), points: int = 200, cut: float = 3.0) -> DataFrame:
     """x, density: Gaussian kernel density, bandwidth sd * n ** (-1/5); one curve a group, its places in order.
 
@@ -147,13 +156,13 @@ def density(df: DataFrame, column: str, grid: Sequence[float] | None = None, wit
         summed = summed.where("_h is not null")
     else:
         at = F.array(*[F.lit(float(g)) for g in grid])
-    spread = summed.withColumn("x", F.explode(at)).withColumn("_u", (F.col("x") - F.col("_low")) / F.col("_h") - (F.col("_bin") + 0.5) * BIN)
-    # Hermite polynomials over k!, each of the two before it
-    h = [F.col(f"_h{k}") for k in range(MOMENTS)]
-    spread = spread.withColumns({"_h0": F.lit(1.0), "_h1": F.col("_u")})
-    for k in range(2, MOMENTS):
-        spread = spread.withColumn(f"_h{k}", (F.col("_u") * h[k - 1] - h[k - 2]) / k)
-    share = F.exp(-F.col("_u") * F.col("_u") / 2) * reduce(lambda a, b: a + b, [h[k] * F.col(f"_m{k}") for k in range(MOMENTS)])
+    # the series is a polynomial in the distance from the bin's centre: its coefficients are made once a bin
+    terms = [reduce(lambda a, b: a + b, [F.col(f"_m{k}") * c for k, c in row]).alias(f"_c{i}") for i, row in enumerate(_series())]
+    spread = summed.select(*keys, "_n", "_h", F.explode(at).alias("x"), "_low", "_bin", *terms)
+    u = (F.col("x") - F.col("_low")) / F.col("_h") - (F.col("_bin") + 0.5) * BIN
+    spread = spread.select(*keys, "_n", "_h", "x", u.alias("_u"), *[f"_c{i}" for i in range(MOMENTS)])
+    inner = reduce(lambda a, i: a * F.col("_u") + F.col(f"_c{i}"), range(MOMENTS - 2, -1, -1), F.col(f"_c{MOMENTS - 1}"))
+    share = F.exp(-F.col("_u") * F.col("_u") / 2) * inner
     total = F.greatest(F.sum(share), F.lit(0.0)) / (F.first("_n") * F.first("_h") * math.sqrt(2 * math.pi))
     made = spread.groupBy(*keys, "x").agg(F.when(F.first("_h").isNotNull(), total).alias("density"))
     return made.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("x", "density"))).alias("_curve")).select(*keys, F.inline("_curve"))  # a row a place
