@@ -107,38 +107,36 @@ class ByteBpe:
                 break
         return flat.reshape(out.shape)
 
-    def _merge_short(self, words: list[bytes]) -> list[np.ndarray]:
-        """Words of one length n <= SHORT. Row by row: ids of the parts, and rank[j] of parts j and j + 1."""
-        n, m = len(words[0]), len(words)
-        ids = self.byte_id[np.frombuffer(b"".join(words), np.uint8).reshape(m, n)]
-        if n == 1:
-            return list(ids)
-        rank = np.full((m, n), _NONE, np.int32)
-        rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
-        width = np.full(m, n)
-        live, col = np.arange(m), np.arange(n)
+    def _merge_short(self, words: list[bytes]) -> list[bytes]:
+        """Words of at most SHORT bytes. Row by row: the id of the part that begins at each byte, and its rank with the next.
+
+        A boundary that is deleted leaves its place empty (-1, no rank), so nothing moves: parts stay in the order of bytes.
+        """
+        n = np.array([len(w) for w in words])
+        m, widest = len(words), int(n.max())
+        # an empty place on either side stands for what does not merge
+        part = np.full((m, widest + 2), -1, np.int32)
+        part[:, 1:-1][np.arange(widest) < n[:, None]] = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
+        rank = np.full(part.shape, _NONE, np.int32)
+        rank[:, 1:-1] = self.ranks(part[:, 1:-1], part[:, 2:])
+        place = np.arange(widest + 2, dtype=np.int16)
+        before, after = np.tile(place - 1, (m, 1)), np.tile(place + 1, (m, 1))
+        live = np.arange(m)
         while len(live):
             r = rank[live]
             at = r.argmin(1)  # the leftmost of equal ranks
             low = r[np.arange(len(live)), at]
             on = low != _NONE
             live, at, low = live[on], at[on], low[on]
-            if not len(live):
-                break
-            # delete the boundary behind part `at`: the parts and ranks to the right move up by one
-            source = np.minimum(col[None, :] + (col[None, :] > at[:, None]), n - 1)
-            i, r = np.take_along_axis(ids[live], source, 1), np.take_along_axis(rank[live], source, 1)
-            width[live] -= 1
-            k, w = np.arange(len(live)), width[live]
-            i[k, at] = self.merged[low]
-            i[col[None, :] >= w[:, None]] = -1
-            r[col[None, :] >= w[:, None] - 1] = _NONE
-            left = at > 0
-            r[k[left], at[left] - 1] = self.ranks(i[k[left], at[left] - 1], i[k[left], at[left]])
-            right = at < w - 1
-            r[k[right], at[right]] = self.ranks(i[k[right], at[right]], i[k[right], at[right] + 1])
-            ids[live], rank[live] = i, r
-        return [row[:w] for row, w in zip(ids, width, strict=True)]
+            gone = after[live, at]
+            new, left, right = self.merged[low], before[live, at], after[live, gone]
+            part[live, at], part[live, gone], rank[live, gone] = new, -1, _NONE
+            after[live, at], before[live, right] = right, at
+            both = self.ranks(np.concatenate([part[live, left], new]), np.concatenate([new, part[live, right]]))
+            rank[live, left], rank[live, at] = both[: len(live)], both[len(live) :]
+        held = part >= 0
+        raw, ends = part[held].tobytes(), (4 * np.cumsum(held.sum(1))).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
     def _merge_long(self, word: bytes) -> np.ndarray:
         """The same merges in the same order, with the pairs in a heap: n log n for a word of n bytes."""
@@ -173,14 +171,14 @@ class ByteBpe:
         """Ids of each pre-token as little-endian int32 bytes."""
         out, by_length = [b""] * len(words), {}
         for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for n, group in by_length.items():
-            if n > SHORT:
+            by_length.setdefault(min((len(w) + 3) // 4, SHORT // 4 + 1), []).append(i)  # lengths of a row differ by 3 at most
+        for band, group in by_length.items():
+            if 4 * band > SHORT:
                 for i in group:
                     out[i] = self._merge_long(words[i]).tobytes()
-            elif n:
-                for i, row in zip(group, self._merge_short([words[i] for i in group]), strict=True):
-                    out[i] = row.tobytes()
+            elif band:
+                for i, ids in zip(group, self._merge_short([words[i] for i in group]), strict=True):
+                    out[i] = ids
         return out
 
     def _learn(self, units: list[str]) -> None:
