@@ -260,6 +260,28 @@ def test_leaks_of_a_large_benchmark_equal_those_of_a_small_one(spark, monkeypatc
 # ---- tokens
 
 
+def test_words_merge_alike_together_and_alone():
+    """Lengths on both sides of each band and of SHORT, against one merge at a time in a list."""
+    coder, rnd = bpe.load(bpe.default_vocabulary()), random.Random(5)
+    words = [bytes(rnd.choice(b"aeinst ") for _ in range(n)) for n in range(bpe.SHORT + 9) for _ in range(3)]
+    words += [b"a" * n for n in (1, 4, 5, bpe.SHORT - 1, bpe.SHORT, bpe.SHORT + 1)] + [bytes(rnd.randrange(256) for _ in range(20))] + words[:5]
+
+    def plain(word):
+        parts = [int(coder.byte_id[b]) for b in word]
+        while len(parts) > 1:
+            rank = coder.ranks(np.array(parts[:-1]), np.array(parts[1:]))
+            k = int(rank.argmin())
+            if rank[k] == bpe._NONE:
+                break
+            parts[k : k + 2] = [int(coder.merged[rank[k]])]
+        return np.array(parts, np.int32).tobytes()
+
+    expected = [plain(w) for w in words]
+    assert coder.merge(words) == expected
+    assert [coder.merge([w])[0] for w in words] == expected
+    assert coder.merge([]) == []
+
+
 def test_bpe_equals_the_tokenizers_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     reference = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
